@@ -36,3 +36,21 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     from cataloom.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def with_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> DataFrame:
+    """0-based consecutive index in ``order_cols`` order without a single-task
+    window: sort (range-partitioned), tag rows with their partition and
+    position, checkpoint, then add each partition's offset (one row per
+    partition, so the offsets table is tiny and broadcast)."""
+    from pyspark.sql import Window
+    tagged = cut_lineage(df.orderBy(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
+    per = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_min"))
+    offsets = per.withColumn(
+        "_off", F.coalesce(F.sum("_cnt").over(
+            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (tagged.join(F.broadcast(offsets.select("_pid", "_min", "_off")), "_pid")
+            .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_min")).cast("bigint"))
+            .drop("_pid", "_mid", "_min", "_off"))

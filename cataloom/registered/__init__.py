@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "catalog", "publish", "lineage", "text")
 
 
 def load_all() -> None:
