@@ -90,23 +90,29 @@ def lineage_closure(edges: DataFrame, roots: DataFrame, direction: str = "downst
         e = edges.select(F.col("src_dataset_id").alias("node"), F.col("dst_dataset_id").alias("next"))
     else:
         e = edges.select(F.col("dst_dataset_id").alias("node"), F.col("src_dataset_id").alias("next"))
-    e = e.where(F.col("node").isNotNull() & F.col("next").isNotNull()).distinct()
-    e = cut_lineage(e)
+    # The edge list is a scan + projection of stable input: it is re-read
+    # each round instead of copied.  Catalyst picks the join per round from
+    # the checkpointed frontier's real size: broadcast while it is small,
+    # shuffle (with AQE skew splits for a hot node) once it is large.
+    e = e.where(F.col("node").isNotNull() & F.col("next").isNotNull())
     start = roots.select(F.col(root_col).alias("root")).distinct()
-    frontier = cut_lineage(start.select("root", F.col("root").alias("node")))
-    visited = frontier
-    reached = []
+    frontier = cut_lineage(start.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")))
+    seen = [frontier]          # reliable checkpoints in spark.checkpoint.dir
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        nxt = (frontier.join(e, "node").select("root", F.col("next").alias("node")).distinct()
-               .join(visited, ["root", "node"], "left_anti"))
-        nxt = cut_lineage(nxt)
+        visited = seen[0]
+        for part in seen[1:]:
+            visited = visited.unionByName(part)
+        nxt = (frontier.select("root", "node").join(e, "node")
+               .select("root", F.col("next").alias("node")).distinct()
+               .join(visited.select("root", "node"), ["root", "node"], "left_anti"))
+        nxt = cut_lineage(nxt.withColumn("hops", F.lit(hop)))   # one reliable checkpoint per round
         if nxt.isEmpty():
             break
-        reached.append(nxt.withColumn("hops", F.lit(hop)))
-        visited = cut_lineage(visited.unionByName(nxt))
+        seen.append(nxt)
         frontier = nxt
+    reached = seen[1:]
     if not reached:
         return start.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).limit(0)
     out = reached[0]

@@ -93,13 +93,13 @@ def q_embed_text(spark, sf):
 
 @query("sanitize_vector", """
 SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims,
-       round(list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN round(CAST(x AS DOUBLE), 6) ELSE 0.0 END)), 5) AS s,
+       round(list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN round(CAST(x AS DOUBLE), 6) ELSE 0.0 END)), 6) AS s,
        round(list_max(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN round(CAST(x AS DOUBLE), 6) ELSE 0.0 END)), 6) AS mx
 FROM embeddings""")
 def q_sanitize_vector(spark, sf):
     e = t(spark, sf, "embeddings").select("vec_id", sanitize_vector("embedding").alias("v"))
     return e.select("vec_id", F.size("v").alias("dims"),
-                    F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("s"),
+                    F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("s"),
                     F.round(F.array_max("v"), 6).alias("mx"))
 
 
