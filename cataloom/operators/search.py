@@ -83,17 +83,22 @@ def theta_ilike_join(store: DataFrame, questions: DataFrame, mode: str = "normal
         (F.col("dataset_id") if "dataset_id" in cols else F.lit(None).cast("string")).alias("_qds"),
         *([F.col("k")] if "k" in cols else []))
     q = q.where(F.col("_phrase").isNotNull() & (F.length("_phrase") > 0))
+    # ILIKE is lower(a) LIKE lower(b): without a live wildcard in the phrase
+    # it is exactly a substring test on lower-cased text, which needs no
+    # per-row pattern compilation.  Only phrases with % _ or \ take the
+    # pattern path (evaluated lazily inside the CASE).
+    q = q.withColumn("_lphrase", F.lower("_phrase"))
+    s = store.withColumn("_ltext", F.lower("text_chunk"))
+    literal = F.col("_ltext").contains(F.col("_lphrase"))
     if not wildcards:
-        q = q.withColumn("_lphrase", F.lower("_phrase"))
-        s = store.withColumn("_ltext", F.lower("text_chunk"))
-        match = F.col("_ltext").contains(F.col("_lphrase"))
+        match = literal
     else:
-        s = store
-        match = F.expr("text_chunk ILIKE concat('%', _phrase, '%')")
+        q = q.withColumn("_wild", F.col("_phrase").rlike(r"[%_\\]"))
+        match = F.when(F.col("_wild"), F.expr("_ltext LIKE concat('%', _lphrase, '%')")).otherwise(literal)
     scope = F.col("_qds").isNull() | (F.col("_qds") == F.col("dataset_id"))
     parts = [s.join(F.broadcast(b), match & scope) for b in _question_blocks(q, max_block_rows)]
     out = union_all(parts)
-    return out.drop(*[c for c in ("_ltext", "_lphrase", "_qds") if c in out.columns])
+    return out.drop(*[c for c in ("_ltext", "_lphrase", "_qds", "_wild") if c in out.columns])
 
 
 def exact_topk(store: DataFrame, questions: DataFrame, k: int = EXACT_K,
