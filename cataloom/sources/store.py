@@ -134,7 +134,7 @@ def upsert_dataset(datasets: DataFrame, updates: DataFrame) -> DataFrame:
     u_names = updates.where(F.col("name").isNotNull()).select("name").distinct()
     kept = (datasets.join(maybe_broadcast(u_ids), "dataset_id", "left_anti")
             .join(maybe_broadcast(u_names), "name", "left_anti"))
-    return kept.unionByName(updates.select(*datasets.columns))
+    return kept.select(*datasets.columns).unionByName(updates.select(*datasets.columns))
 
 
 def update_attrs(target: DataFrame, updates: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -155,7 +155,7 @@ def delete_cascade(datasets: DataFrame, columns: DataFrame, edges: DataFrame,
     d = datasets.join(i, "dataset_id", "left_anti")
     c = columns.join(i, "dataset_id", "left_anti")
     e = (edges.join(i.withColumnRenamed("dataset_id", "src_dataset_id"), "src_dataset_id", "left_anti")
-         .join(i.withColumnRenamed("dataset_id", "dst_dataset_id"), "dst_dataset_id", "left_anti"))
+         .join(i.withColumnRenamed("dataset_id", "dst_dataset_id"), "dst_dataset_id", "left_anti")).select(*edges.columns)
     return d, c, e
 
 
