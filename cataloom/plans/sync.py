@@ -51,30 +51,25 @@ def sync_catalog(spark: SparkSession, tables: dict[str, DataFrame],
     return datasets, columns
 
 
-def assemble_detail(datasets: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
-    """For every dataset: meta struct, its columns sorted by name, and the
-    lineage edges touching it, newest first.
+def assemble_detail(datasets: DataFrame, columns: DataFrame,
+                    edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(detail, lineage) for every dataset.
 
-    Columns and edges are grouped per dataset before the join (one row per
-    dataset each), so the joins are 1:1 and a dataset with many edges is
-    aggregated partially before its shuffle."""
+    detail: dataset_id, meta struct, columns sorted by name (one array per
+    dataset, bounded by the table's width).  lineage: every edge touching a
+    dataset, newest first (NULL times last).  The
+    lineage is a flat, globally sorted frame rather than a per-dataset array:
+    the range partitioning of the sort on (dataset_id, time, ...) splits a
+    dataset with millions of edges over many tasks."""
     meta = datasets.select("dataset_id", F.struct(*[c for c in datasets.columns]).alias("meta"))
     cols = (columns.groupBy("dataset_id")
-            .agg(F.array_sort(F.collect_list(F.struct("column_name", "data_type")))
-                 .alias("columns")))
-    touching = (edges.select(F.col("src_dataset_id").alias("dataset_id"), F.struct(*edges.columns).alias("e"))
-                .unionByName(edges.where(F.col("src_dataset_id") != F.col("dst_dataset_id"))
-                             .select(F.col("dst_dataset_id").alias("dataset_id"),
-                                     F.struct(*edges.columns).alias("e"))))
-    # newest first, NULLs last, then by ends for a stable order
-    keyed = touching.select("dataset_id", F.struct(
-        F.when(F.col("e.updated_at").isNull(), 1).otherwise(0).alias("_null"),
-        (-F.unix_micros(F.col("e.updated_at").cast("timestamp"))).alias("_desc"),
-        F.col("e.src_dataset_id").alias("_s"), F.col("e.dst_dataset_id").alias("_d"),
-        F.col("e").alias("edge")).alias("k"))
-    lin = (keyed.groupBy("dataset_id").agg(F.array_sort(F.collect_list("k")).alias("_l"))
-           .select("dataset_id", F.transform("_l", lambda x: x["edge"]).alias("lineage")))
+            .agg(F.array_sort(F.collect_list(F.struct("column_name", "data_type"))).alias("columns")))
     empty_cols = F.array().cast("array<struct<column_name:string,data_type:string>>")
-    return (meta.join(cols, "dataset_id", "left").join(lin, "dataset_id", "left")
-            .select("dataset_id", "meta", F.coalesce("columns", empty_cols).alias("columns"),
-                    "lineage"))
+    detail = (meta.join(cols, "dataset_id", "left")
+              .select("dataset_id", "meta", F.coalesce("columns", empty_cols).alias("columns")))
+    from cataloom.operators.lineage import lineage_touching
+    ids = datasets.select("dataset_id")
+    touching = lineage_touching(edges, ids)
+    lineage = touching.orderBy(F.col("dataset_id"), F.col("updated_at").desc_nulls_last(),
+                               F.col("src_dataset_id"), F.col("dst_dataset_id"))
+    return detail, lineage

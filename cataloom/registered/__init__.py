@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("retrieval", "catalog", "publish", "lineage", "text")
+MODULES = ("retrieval", "catalog", "publish", "lineage", "text", "streaming")
 
 
 def load_all() -> None:

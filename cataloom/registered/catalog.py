@@ -303,18 +303,26 @@ SELECT d.dataset_id, d.name, d.row_count,
         WHERE e.src = d.dataset_id OR e.dst = d.dataset_id) AS lineage_text
 FROM d""")
 def q_assemble_detail(spark, sf):
-    datasets = _datasets(spark, sf)
+    from cataloom.operators.util import cut_lineage
+    datasets = cut_lineage(_datasets(spark, sf))     # one row per table, reused three times
     columns = src.list_columns(spark, load_tables(spark, sf))
     from cataloom.operators.lineage import lineage_derive
     edges = lineage_derive(datasets)
-    det = sync.assemble_detail(datasets, columns, edges)
-    return det.select(
+    det, lin = sync.assemble_detail(datasets, columns, edges)
+    # lineage_derive emits at most two edges per dataset, so the per-dataset
+    # text below is a bounded group
+    lt = (lin.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.when(F.col("updated_at").isNull(), 1).otherwise(0).alias("_n"),
+        (-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("_t"),
+        F.col("src_dataset_id").alias("_s"), F.col("dst_dataset_id").alias("_d"),
+        F.concat(F.col("src_dataset_id"), F.lit(">"), F.col("dst_dataset_id"), F.lit("@"),
+                 F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss")).alias("txt")))).alias("_l"))
+          .select("dataset_id", F.array_join(F.transform("_l", lambda x: x["txt"]), ",").alias("lineage_text")))
+    return det.join(lt, "dataset_id", "left").select(
         "dataset_id", F.col("meta.name").alias("name"), F.col("meta.row_count").alias("row_count"),
         F.array_join(F.transform("columns", lambda x: F.concat(x["column_name"], F.lit(":"),
                                                                 x["data_type"])), ",").alias("columns_text"),
-        F.array_join(F.transform("lineage", lambda x: F.concat(
-            x["src_dataset_id"], F.lit(">"), x["dst_dataset_id"], F.lit("@"),
-            F.date_format(x["updated_at"], "yyyy-MM-dd HH:mm:ss"))), ",").alias("lineage_text"))
+        "lineage_text")
 
 
 # --- joins -----------------------------------------------------------------------------------

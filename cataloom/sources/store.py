@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,24 +63,28 @@ def ensure_store(spark: SparkSession, table: str, path: str, schema: str = STORE
 
 def replace_by_dataset(spark: SparkSession, new: DataFrame, table: str,
                        dataset_ids: list[str] | None = None,
-                       on_duplicate: str = "error") -> DataFrame:
+                       on_duplicate: str = "error", files_per_dataset: int = 16) -> DataFrame:
     """Replace every listed dataset's rows by ``new``'s rows for it.
 
     Datasets present in ``new`` are rewritten with a dynamic partition
     overwrite; listed datasets with no rows are dropped (an empty input still
     deletes).  ``on_duplicate``: 'error' fails when (dataset_id, pk) repeats,
-    'keep_first' keeps the first by text.  Returns the table read back."""
+    'keep_first' keeps the first by text.  Before the write, rows are
+    clustered by (dataset_id, hash(pk) mod ``files_per_dataset``): each
+    dataset lands in at most that many files, and a dataset holding a third
+    of all rows is still written by that many tasks, not one.
+    Returns the table read back."""
     cols = spark.table(table).columns
     data = new.select(*cols)
     if on_duplicate == "keep_first":
-        w = Window.partitionBy("dataset_id", "pk").orderBy(F.col("text_chunk").asc_nulls_last())
-        data = data.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        data = dedupe_batch(data, ["dataset_id", "pk"], ["text_chunk"]).select(*cols)
     elif on_duplicate == "error":
         dup = (data.groupBy("dataset_id", "pk").agg(F.count(F.lit(1)).alias("c"))
                .where("c > 1").limit(1).collect())
         if dup:
             raise ValueError(f"duplicate key {dup[0]['dataset_id']}/{dup[0]['pk']}")
-    data = cut_lineage(data)
+    salt = F.pmod(F.xxhash64("pk"), F.lit(files_per_dataset))
+    data = cut_lineage(data.repartition("dataset_id", salt))
     present = {r[0] for r in data.select("dataset_id").distinct().collect()}
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
@@ -98,10 +102,19 @@ def replace_by_dataset(spark: SparkSession, new: DataFrame, table: str,
 # --- #13 insert_if_absent --------------------------------------------------------------------
 
 def dedupe_batch(new: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
-    """First row per key (by ``order_by``, else by all columns)."""
-    order = order_by or [c for c in new.columns if c not in keys] or keys
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """First row per key (smallest ``order_by``, else smallest row).
+
+    A ``min_by`` aggregate, not a window: partial aggregation keeps one row
+    per key per task before the shuffle, so a key repeated in a third of all
+    rows never lands in one task as a whole."""
+    rest = [c for c in new.columns if c not in keys]
+    if not rest:
+        return new.select(*keys).distinct()
+    order = order_by or rest
+    row = F.struct(*[F.col(c) for c in rest])
+    rank = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.col(c) for c in rest]).alias("_h"))
+    g = new.groupBy(*keys).agg(F.min_by(row, rank).alias("_r"))
+    return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*new.columns)
 
 
 def insert_if_absent(spark: SparkSession, new: DataFrame, target_path: str, keys: list[str],
