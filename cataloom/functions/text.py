@@ -79,6 +79,19 @@ def iso_millis(c) -> Column:
     return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+# Pattern for plain decimal text of a double (enough places for 1e-6 scale).
+PLAIN_DOUBLE_PATTERN = "0." + "#" * 24
+
+
+def plain_double_text(d) -> Column:
+    """Double as plain decimal text for exponents -6..20, as JavaScript prints
+    numbers: Java's '1.23456789E7' becomes '12345678.9', '1.0E-4' becomes
+    '0.0001' (one built-in ``format_number`` with a decimal pattern)."""
+    in_range = (F.abs(d) >= F.lit(1e-6)) & (F.abs(d) < F.lit(1e21))
+    return F.when(in_range, F.call_function("format_number", d, F.lit(PLAIN_DOUBLE_PATTERN))) \
+        .otherwise(d.cast("string"))
+
+
 def value_text(c, dt: T.DataType) -> Column:
     """Text of one value inside a chunk, chosen by type at plan time.
 
@@ -89,7 +102,11 @@ def value_text(c, dt: T.DataType) -> Column:
     if isinstance(dt, (T.DoubleType, T.FloatType)):
         d = c.cast("double")
         integral = (F.abs(d) < F.lit(1e15)) & (d == F.floor(d))
-        return F.when(integral, d.cast("bigint").cast("string")).otherwise(d.cast("string"))
+        # Java switches to exponent text outside [1e-3, 1e7): only those
+        # values take the (regex) rewrite, the rest is a plain cast
+        sci = (F.abs(d) >= F.lit(1e7)) | (F.abs(d) < F.lit(1e-3))
+        return (F.when(integral, d.cast("bigint").cast("string"))
+                .when(sci, plain_double_text(d)).otherwise(d.cast("string")))
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return iso_millis(c)
     if isinstance(dt, T.DateType):
@@ -101,3 +118,9 @@ def value_text(c, dt: T.DataType) -> Column:
     if isinstance(dt, T.BinaryType):
         return F.base64(c)
     return c.cast("string")
+
+
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a Python datetime, built from its text so
+    neither the Python process nor the session time zone can shift it."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")

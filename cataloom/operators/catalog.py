@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from cataloom.functions.text import ntz_lit
 from pyspark.sql import types as T
 
 from cataloom.functions import rules
@@ -82,10 +84,10 @@ def build_datasets(spark: SparkSession, tables: dict[str, DataFrame | None],
     out = counts.select(
         "dataset_id", F.col("table_name").alias("name"),
         src_map[F.col("table_name")].alias("source"),
-        F.lit(now).cast("timestamp_ntz").alias("created_at"),
+        ntz_lit(now).alias("created_at"),
         "row_count",
         F.lit(None).cast("bigint").alias("size_bytes"),
-        F.lit(now).cast("timestamp_ntz").alias("last_profiled_at"),
+        ntz_lit(now).alias("last_profiled_at"),
         "table_name")
     if sizes is not None:
         out = (out.drop("size_bytes")
@@ -106,37 +108,24 @@ def _distinct_expr(c: str, dt: T.DataType, approx: bool, rsd: float):
 
 def profile_table(name: str, df: DataFrame, approx: bool = False, rsd: float = 0.05) -> DataFrame:
     """(dataset_id, column_name, ordinal, row_count, null_count, distinct_count)
-    for one table.
+    for one table in a single scan and a single aggregate.
 
-    approx: one scan, one aggregate (a HyperLogLog++ sketch per column, merged
-    map-side).  exact: one single-column aggregate per column, unioned into
-    one job - each branch reads only its column from Parquet and shuffles
-    only that column's partially de-duplicated values, instead of an Expand
-    that copies every row once per column."""
+    approx: a HyperLogLog++ sketch per column, merged map-side (constant
+    memory per column).  exact: Catalyst's multi-distinct plan (each row is
+    expanded once per column and de-duplicated per task before the shuffle,
+    so the shuffle carries each task's distinct values, not every row)."""
     fields = df.schema.fields
-    ds = dataset_id_of(name)
-    if approx:
-        aggs = [F.count(F.lit(1)).alias("_rows")]
-        for i, f in enumerate(fields):
-            aggs.append(F.sum(F.when(F.col(f"`{f.name}`").isNull(), 1).otherwise(0))
-                        .cast("bigint").alias(f"_n{i}"))
-            aggs.append(_distinct_expr(f.name, f.dataType, True, rsd).cast("bigint").alias(f"_d{i}"))
-        wide = df.agg(*aggs)
-        stack = ", ".join(f"'{f.name.replace(chr(39), chr(39) * 2)}', {i + 1}, _n{i}, _d{i}"
-                          for i, f in enumerate(fields))
-        return wide.selectExpr(
-            f"'{ds}' AS dataset_id", "_rows AS row_count",
-            f"stack({len(fields)}, {stack}) AS (column_name, ordinal, null_count, distinct_count)")
-    parts = []
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        parts.append(df.agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.sum(F.when(c.isNull(), 1).otherwise(0)).cast("bigint").alias("null_count"),
-            _distinct_expr(f.name, f.dataType, False, rsd).cast("bigint").alias("distinct_count"),
-        ).select(F.lit(ds).alias("dataset_id"), F.lit(f.name).alias("column_name"),
-                 F.lit(i + 1).alias("ordinal"), "row_count", "null_count", "distinct_count"))
-    return _union_all(parts)
+        aggs.append(F.sum(F.when(F.col(f"`{f.name}`").isNull(), 1).otherwise(0))
+                    .cast("bigint").alias(f"_n{i}"))
+        aggs.append(_distinct_expr(f.name, f.dataType, approx, rsd).cast("bigint").alias(f"_d{i}"))
+    wide = df.agg(*aggs)
+    stack = ", ".join(f"'{f.name.replace(chr(39), chr(39) * 2)}', {i + 1}, _n{i}, _d{i}"
+                      for i, f in enumerate(fields))
+    return wide.selectExpr(
+        f"'{dataset_id_of(name)}' AS dataset_id", "_rows AS row_count",
+        f"stack({len(fields)}, {stack}) AS (column_name, ordinal, null_count, distinct_count)")
 
 
 def profile_columns(tables: dict[str, DataFrame], approx: bool = False,

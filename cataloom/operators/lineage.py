@@ -16,6 +16,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.functions.text import ntz_lit
+
 from cataloom.operators.util import cut_lineage, with_index
 
 EDGE_COLUMNS = ["src_dataset_id", "dst_dataset_id", "transform_type", "updated_at"]
@@ -66,7 +68,7 @@ def lineage_derive(datasets: DataFrame, now: _dt.datetime | None = None,
     ('ingest', one hour before profiling) for every dataset, and
     ``id -> <name>_mart`` ('model', at profiling time) for every third dataset
     in dataset_id order (or ``index_col`` order)."""
-    nowc = F.lit(now or _dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+    nowc = ntz_lit(now or _dt.datetime(2024, 1, 1))
     t = F.coalesce(F.col("last_profiled_at").cast("timestamp_ntz"), nowc)
     d = datasets if index_col else with_index(datasets, ["dataset_id"], "_idx")
     idx = F.col(index_col) if index_col else F.col("_idx")

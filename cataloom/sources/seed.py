@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cataloom.functions.text import dataset_id_for, table_name
+from cataloom.functions.text import dataset_id_for, table_name, ntz_lit
 from cataloom.sources.schemas import BUSINESS_DDL
 
 # ---------------------------------------------------------------------------
@@ -114,7 +114,7 @@ def seed_entity(spark: SparkSession, rows: int = 1000, seed: int = 0,
     """The 25-column seeded entity table."""
     seq = F.col("seq")
     u = lambda salt: unit(seq, seed, salt)
-    nowc = F.lit(now).cast("timestamp_ntz")
+    nowc = ntz_lit(now)
     return gen_sequence(spark, rows).select(
         seq.cast("bigint").alias("id"),
         F.concat(F.lit("user_"), seq.cast("string")).alias("username"),
@@ -160,7 +160,7 @@ def _value_for(name: str, dt: T.DataType, seq: Column, seed: int, salt: int) ->
     if isinstance(dt, T.DateType):
         return F.date_add(F.lit(POSTED_BASE), (u * 600).cast("int"))
     if isinstance(dt, (T.TimestampNTZType, T.TimestampType)):
-        return (F.lit(_dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+        return (ntz_lit(_dt.datetime(2024, 1, 1))
                 + F.make_dt_interval(secs=(u * 86400 * 600).cast("int")))
     if isinstance(dt, T.ArrayType):
         return F.array(F.concat(F.lit(f"{name}_"), seq.cast("string")))

@@ -126,3 +126,14 @@ def test_publish_summary_and_no_new_rows(spark):
     stored = spark.table(name).where("dataset_id = 't1'")
     assert stored.where(F.col("text_chunk").contains("email")).count() == 0   # PII guard
     assert stored.select("pk").distinct().count() == 200
+
+
+def test_double_text_without_exponent(spark):
+    from pyspark.sql import types as T
+
+    from cataloom.functions.text import value_text
+    vals = [12345678.9, 0.0001, -0.00012345, 2.0, 1e20, 711.56, -98765432.125]
+    df = spark.createDataFrame([(v,) for v in vals], "d double")
+    got = [r[0] for r in df.select(value_text(df.d, T.DoubleType())).collect()]
+    assert got == ["12345678.9", "0.0001", "-0.00012345", "2", "100000000000000000000", "711.56",
+                   "-98765432.125"]
