@@ -17,6 +17,7 @@ from cataloom.functions.text import ntz_lit
 from pyspark.sql import types as T
 
 from cataloom.functions import rules
+from cataloom.operators.util import spread
 from cataloom.sources.tables import dataset_id_of
 
 # Fixed clock used when the caller gives none, so results are repeatable.
@@ -120,7 +121,7 @@ def profile_table(name: str, df: DataFrame, approx: bool = False, rsd: float = 0
         aggs.append(F.sum(F.when(F.col(f"`{f.name}`").isNull(), 1).otherwise(0))
                     .cast("bigint").alias(f"_n{i}"))
         aggs.append(_distinct_expr(f.name, f.dataType, approx, rsd).cast("bigint").alias(f"_d{i}"))
-    wide = df.agg(*aggs)
+    wide = spread(df).agg(*aggs)
     stack = ", ".join(f"'{f.name.replace(chr(39), chr(39) * 2)}', {i + 1}, _n{i}, _d{i}"
                       for i, f in enumerate(fields))
     return wide.selectExpr(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cataloom.functions.vector import cosine_distance, neg_inner_product
-from cataloom.operators.util import union_all
+from cataloom.operators.util import spread, union_all
 
 # Defaults of the reference (ask: cosine k=8 in 1..25; answer: inner k=5 in 1..50).
 COSINE_K, COSINE_K_MAX = 8, 25
@@ -176,7 +176,7 @@ def _knn_block(store: DataFrame, qpdf: pd.DataFrame, metric: str) -> DataFrame:
             if len(pdf):
                 yield _local_topk(pdf, p["Q"], p["qn"], p["qids"], p["qds"], p["qk"], metric)
 
-    return store.select("dataset_id", "pk", "embedding").mapInPandas(run, HIT_SCHEMA)
+    return spread(store.select("dataset_id", "pk", "embedding")).mapInPandas(run, HIT_SCHEMA)
 
 
 def knn_batch(store: DataFrame, questions: DataFrame, k: int = COSINE_K,

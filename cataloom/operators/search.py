@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import normalize_question, preview, significant_tokens
-from cataloom.operators.util import union_all
+from cataloom.operators.util import spread, union_all
 
 # Defaults of the reference: exact k 3 in 0..10 (ask), merged cap 10 (ask),
 # max(3, k) (answer); snippet half-width 60.
@@ -88,7 +88,7 @@ def theta_ilike_join(store: DataFrame, questions: DataFrame, mode: str = "normal
     # per-row pattern compilation.  Only phrases with % _ or \ take the
     # pattern path (evaluated lazily inside the CASE).
     q = q.withColumn("_lphrase", F.lower("_phrase"))
-    s = store.withColumn("_ltext", F.lower("text_chunk"))
+    s = spread(store).withColumn("_ltext", F.lower("text_chunk"))
     literal = F.col("_ltext").contains(F.col("_lphrase"))
     if not wildcards:
         match = literal

@@ -54,3 +54,16 @@ def with_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> DataF
     return (tagged.join(F.broadcast(offsets.select("_pid", "_min", "_off")), "_pid")
             .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_min")).cast("bigint"))
             .drop("_pid", "_mid", "_min", "_off"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make sure CPU-heavy per-row work has at least the cluster's parallelism.
+
+    A table stored as a few large row groups scans in a few tasks; heavy work
+    fused onto that scan (substring tests, sketches, matmuls) would then run
+    on a few cores.  Only in that case the rows are spread round-robin; a
+    frame that already has enough partitions (any large table on a cluster)
+    is returned unchanged, so no shuffle is added at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df
