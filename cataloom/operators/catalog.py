@@ -76,9 +76,11 @@ def row_counts(spark: SparkSession, tables: dict[str, DataFrame | None]) -> Data
 
 def build_datasets(spark: SparkSession, tables: dict[str, DataFrame | None],
                    now: _dt.datetime = DEFAULT_NOW, sources: dict | None = None,
-                   sizes: DataFrame | None = None) -> DataFrame:
-    """catalog_datasets rebuilt from what exists: one row per table."""
-    counts = row_counts(spark, tables)
+                   sizes: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """catalog_datasets rebuilt from what exists: one row per table.
+    ``counts`` (dataset_id, table_name, row_count) can be passed when another
+    pass (the profile) has already counted the rows."""
+    counts = counts if counts is not None else row_counts(spark, tables)
     src = sources or {}
     src_map = F.create_map(*[x for n in tables for x in
                              (F.lit(n), F.lit(src.get(n, default_source(n))))])

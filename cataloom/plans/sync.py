@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.operators import catalog as cat
-from cataloom.sources.tables import list_columns
+from cataloom.sources.tables import dataset_id_of, list_columns
 
 # Rows above which the catalog profile switches to HyperLogLog++ distinct
 # counts (exact distinct of every column shuffles every value once).
@@ -31,17 +31,23 @@ def sync_catalog(spark: SparkSession, tables: dict[str, DataFrame],
                 spark.createDataFrame([], "dataset_id string, column_name string, data_type string, "
                                           "pii_flag boolean, null_ratio double, distinct_ratio double, "
                                           "indexed boolean"))
-    datasets = cat.build_datasets(spark, tables, now=now, sizes=sizes)
+    present = {n: df for n, df in tables.items() if df is not None}
     if approx is None:
-        counts = {r["table_name"]: r["row_count"] for r in cat.row_counts(spark, tables).collect()}
+        counts = {r["table_name"]: r["row_count"] for r in cat.row_counts(spark, present).collect()}
         groups = {True: {}, False: {}}
-        for n, df in tables.items():
+        for n, df in present.items():
             groups[counts.get(n, 0) > APPROX_ABOVE_ROWS][n] = df
         profs = [cat.profile_columns(g, approx=a, rsd=rsd) for a, g in groups.items() if g]
         prof = profs[0] if len(profs) == 1 else profs[0].unionByName(profs[1])
     else:
-        prof = cat.profile_columns(tables, approx=approx, rsd=rsd)
-    cols = list_columns(spark, tables)
+        prof = cat.profile_columns(present, approx=approx, rsd=rsd)
+    # the profile already counted every table's rows: reuse them (missing -> 0)
+    counted = prof.groupBy("dataset_id").agg(F.max("row_count").cast("bigint").alias("row_count"))
+    names = spark.createDataFrame([(dataset_id_of(n), n) for n in tables], "dataset_id string, table_name string")
+    counts_df = names.join(counted, "dataset_id", "left").select(
+        "dataset_id", "table_name", F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"))
+    datasets = cat.build_datasets(spark, tables, now=now, sizes=sizes, counts=counts_df)
+    cols = list_columns(spark, present)
     cols = cat.flag_pii(cols)
     cols = cat.flag_indexed(cols, date_names=indexed_dates) if indexed_dates else cat.flag_indexed(cols)
     columns = (cols.join(prof.select("dataset_id", "column_name", "null_ratio", "distinct_ratio"),
