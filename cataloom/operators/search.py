@@ -208,3 +208,72 @@ def unanswered(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Questions with no hit at all, with the fixed answer."""
     return (questions.select("qid").join(hits.select("qid").distinct(), "qid", "left_anti")
             .withColumn("answer", F.lit(NO_ANSWER)))
+
+
+# --- indexed exact search ------------------------------------------------------------
+
+# Whitespace split shared by the index and the questions (same classes on both
+# sides keeps the prefilter exact).
+WS_SPLIT = r"(?U)\s+"
+
+
+def token_index(store: DataFrame) -> DataFrame:
+    """(dataset_id, pk, token): the distinct whitespace-delimited lower-case
+    tokens of every chunk.  Built once (a full pass over the text) and kept as
+    a table next to the store; every later question batch probes it."""
+    toks = F.array_distinct(F.split(F.lower("text_chunk"), WS_SPLIT))
+    return (store.select("dataset_id", "pk", F.explode(toks).alias("token"))
+            .where(F.col("token") != ""))
+
+
+def token_doc_freq(index: DataFrame) -> DataFrame:
+    """(token, df): in how many chunks a token occurs (partial counts per task)."""
+    return index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def exact_topk_indexed(store: DataFrame, questions: DataFrame, index: DataFrame, k: int = EXACT_K,
+                       mode: str = "normalized", doc_freq: DataFrame | None = None,
+                       max_candidates: int = 2_000_000) -> DataFrame:
+    """Same result as ``exact_topk`` (literal matching), without testing every
+    (question, chunk) pair.
+
+    If a phrase occurs in a text, each of its *interior* tokens (whitespace
+    on both sides inside the phrase) occurs there as a whole whitespace-
+    delimited token.  So each question probes the index with its rarest
+    interior token; only those candidate chunks are read and verified with the
+    same substring test, in one pass over the store joined to the (counted,
+    bounded) candidate list.  Phrases without an interior token (one or two
+    words) use the nested-loop path.  If the candidates exceed
+    ``max_candidates``, everything uses the nested-loop path."""
+    from cataloom.operators.util import bounded_rows, cut_lineage
+    cols = set(questions.columns)
+    q = questions.select(
+        "qid", _phrase(F.col("question"), mode).alias("_phrase"),
+        (F.col("dataset_id") if "dataset_id" in cols else F.lit(None).cast("string")).alias("_qds"))
+    q = q.where(F.col("_phrase").isNotNull() & (F.length("_phrase") > 0)) \
+         .withColumn("_lphrase", F.lower("_phrase"))
+    parts = F.split(F.col("_lphrase"), WS_SPLIT)
+    toks = q.select("qid", F.size(parts).alias("_n"), F.posexplode(parts).alias("_pos", "token"))
+    interior = toks.where((F.col("_pos") > 0) & (F.col("_pos") < F.col("_n") - 1) & (F.col("token") != ""))
+    dfreq = doc_freq if doc_freq is not None else token_doc_freq(index)
+    # a question whose interior token is in no chunk has no candidate at all
+    rare = (interior.join(dfreq, "token").groupBy("qid")
+            .agg(F.min_by("token", F.struct("df", "token")).alias("token")))
+    probe = q.join(rare, "qid").select("qid", "token", "_qds", "_lphrase")
+    cand = (index.join(F.broadcast(probe), "token")
+            .where(F.col("_qds").isNull() | (F.col("_qds") == F.col("dataset_id")))
+            .select("qid", "dataset_id", "pk", "_lphrase"))
+    cand = cut_lineage(cand)
+    short_q = q.join(interior.select("qid").distinct(), "qid", "left_anti")
+    if bounded_rows(cand, max_candidates) is None:
+        return exact_topk(store, questions, k, mode)
+    verified = (store.select("dataset_id", "pk", "text_chunk")
+                .join(F.broadcast(cand), ["dataset_id", "pk"])
+                .where(F.lower("text_chunk").contains(F.col("_lphrase")))
+                .select("qid", "dataset_id", "pk", "text_chunk"))
+    short_q_in = questions.join(short_q.select("qid"), "qid", "left_semi")
+    nested = theta_ilike_join(store, short_q_in, mode).select("qid", "dataset_id", "pk", "text_chunk")
+    hits = verified.unionByName(nested)
+    w = Window.partitionBy("qid").orderBy(F.col("pk").asc_nulls_last(), F.col("dataset_id").asc_nulls_last())
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("qid", "dataset_id", "pk", "text_chunk", F.lit(0.0).alias("distance"), "rank")

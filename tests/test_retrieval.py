@@ -153,3 +153,20 @@ def test_hybrid_retrieve_and_reports(spark):
     assert tp[0].snippet.startswith("row 7 text of the thing blue")
     none = search.unanswered(qs, hits.where("qid = 1"))
     assert [(r.qid, r.answer) for r in none.collect()] == [(2, "I don't know.")]
+
+
+def test_exact_topk_indexed_equals_nested_loop(spark):
+    store, _ = _store(spark)
+    extra = spark.createDataFrame([("ds2", "x1", "Alpha  beta\tgamma, delta!", [1.0] * 8),
+                                   ("ds0", "x2", "alpha beta gamma", [1.0] * 8)], STORE)
+    store = store.unionByName(extra)
+    qs = spark.createDataFrame([(1, "text of the thing", None), (2, "blue gorilla", None),
+                                (3, "beta gamma, delta", None), (4, "row 1 text of", "ds1"),
+                                (5, "alpha beta gamma", None), (6, "no such words here", None),
+                                (7, "?!", None)], "qid long, question string, dataset_id string")
+    idx = search.token_index(store)
+    for mode in ("normalized", "raw"):
+        a = {(r.qid, r.dataset_id, r.pk, r.rank) for r in search.exact_topk(store, qs, 4, mode).collect()}
+        b = {(r.qid, r.dataset_id, r.pk, r.rank) for r in
+             search.exact_topk_indexed(store, qs, idx, 4, mode).collect()}
+        assert a == b and len(a) > 5
