@@ -40,16 +40,21 @@ def hybrid_retrieve(store: DataFrame, questions: DataFrame, k: int = ASK["k"],
                     k_exact: int = ASK["k_exact"], cap: int = ASK["cap"],
                     metric: str = "cosine", order: str = "semantic_first",
                     exact_mode: str = "normalized", wildcards: bool = False,
-                    style: str = "ask") -> DataFrame:
+                    style: str = "ask", index: DataFrame | None = None) -> DataFrame:
     """Hits per question: qid, rank, origin, dataset_id, pk, distance,
     preview, text_chunk.  ``store``: dataset_id, pk, text_chunk, embedding.
-    ``questions``: qid, question, embedding, optional dataset_id."""
+    ``questions``: qid, question, embedding, optional dataset_id.
+    ``index``: a token index of the store (``search.token_index``); when given,
+    literal exact search probes it instead of testing every pair."""
     k = knn.clamp_k(k, 1, knn.INNER_K_MAX)
     k_exact = max(0, min(search.EXACT_K_MAX if style == "ask" else knn.INNER_K_MAX, int(k_exact)))
     parts = {}
     parts["semantic"] = search.shape_hits(semantic_hits(store, questions, k, metric), style)
     if k_exact > 0:
-        ex = search.exact_topk(store, questions, k_exact, exact_mode, wildcards)
+        if index is not None and not wildcards:
+            ex = search.exact_topk_indexed(store, questions, index, k_exact, exact_mode)
+        else:
+            ex = search.exact_topk(store, questions, k_exact, exact_mode, wildcards)
         parts["exact"] = search.shape_hits(ex, style)
     names = ["semantic", "exact"] if order == "semantic_first" else ["exact", "semantic"]
     ordered = [(n, parts[n]) for n in names if n in parts]

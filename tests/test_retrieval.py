@@ -170,3 +170,13 @@ def test_exact_topk_indexed_equals_nested_loop(spark):
         b = {(r.qid, r.dataset_id, r.pk, r.rank) for r in
              search.exact_topk_indexed(store, qs, idx, 4, mode).collect()}
         assert a == b and len(a) > 5
+
+
+def test_hybrid_with_index_equals_without(spark):
+    store, rows = _store(spark)
+    qs = spark.createDataFrame([(1, "text of the thing blue", rows[7][3]), (2, "gorilla", rows[8][3])],
+                               "qid long, question string, embedding array<float>")
+    a = {tuple(r) for r in ask.hybrid_retrieve(store, qs).select("qid", "rank", "origin", "pk").collect()}
+    b = {tuple(r) for r in ask.hybrid_retrieve(store, qs, index=search.token_index(store))
+         .select("qid", "rank", "origin", "pk").collect()}
+    assert a == b
