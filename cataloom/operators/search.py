@@ -233,7 +233,7 @@ def token_doc_freq(index: DataFrame) -> DataFrame:
 
 def exact_topk_indexed(store: DataFrame, questions: DataFrame, index: DataFrame, k: int = EXACT_K,
                        mode: str = "normalized", doc_freq: DataFrame | None = None,
-                       max_candidates: int = 2_000_000) -> DataFrame:
+                       max_candidates: int = 1_000_000) -> DataFrame:
     """Same result as ``exact_topk`` (literal matching), without testing every
     (question, chunk) pair.
 
@@ -259,16 +259,20 @@ def exact_topk_indexed(store: DataFrame, questions: DataFrame, index: DataFrame,
     # a question whose interior token is in no chunk has no candidate at all
     rare = (interior.join(dfreq, "token").groupBy("qid")
             .agg(F.min_by("token", F.struct("df", "token")).alias("token")))
-    probe = q.join(rare, "qid").select("qid", "token", "_qds", "_lphrase")
+    probe = q.join(rare, "qid").select("qid", "token", "_qds")
+    # candidate keys only (about 50 bytes a row): the phrase text is joined
+    # later from the question side, so the broadcast never repeats it
     cand = (index.join(F.broadcast(probe), "token")
             .where(F.col("_qds").isNull() | (F.col("_qds") == F.col("dataset_id")))
-            .select("qid", "dataset_id", "pk", "_lphrase"))
+            .select("qid", "dataset_id", "pk"))
     cand = cut_lineage(cand)
     short_q = q.join(interior.select("qid").distinct(), "qid", "left_anti")
     if bounded_rows(cand, max_candidates) is None:
         return exact_topk(store, questions, k, mode)
+    phrases = q.join(rare.select("qid"), "qid", "left_semi").select("qid", "_lphrase")
     verified = (store.select("dataset_id", "pk", "text_chunk")
                 .join(F.broadcast(cand), ["dataset_id", "pk"])
+                .join(F.broadcast(phrases), "qid")
                 .where(F.lower("text_chunk").contains(F.col("_lphrase")))
                 .select("qid", "dataset_id", "pk", "text_chunk"))
     short_q_in = questions.join(short_q.select("qid"), "qid", "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.operators import knn, search
-from cataloom.operators.util import BROADCAST_MAX_ROWS
+HIT_KEYS_BROADCAST_ROWS = 1_000_000
 
 ASK = dict(k=knn.COSINE_K, k_exact=search.EXACT_K, cap=search.MERGE_CAP, metric="cosine",
            order="semantic_first", exact_mode="normalized", wildcards=False, style="ask")
@@ -30,7 +30,9 @@ def answer_settings(k: int = knn.INNER_K) -> dict:
 def semantic_hits(store: DataFrame, questions: DataFrame, k: int, metric: str) -> DataFrame:
     keys = knn.knn_batch(store, questions, k=k, metric=metric)
     nq = questions.count()
-    keys_side = F.broadcast(keys) if nq * k <= BROADCAST_MAX_ROWS else keys
+    # hit keys are ~60 bytes a row: up to a million rows are broadcast, so the
+    # store's text is read once and never shuffled; beyond that a shuffle join
+    keys_side = F.broadcast(keys) if nq * k <= HIT_KEYS_BROADCAST_ROWS else keys
     text = store.select("dataset_id", "pk", "text_chunk")
     return text.join(keys_side, ["dataset_id", "pk"]).select(
         "qid", "dataset_id", "pk", "text_chunk", "distance", "rank")
