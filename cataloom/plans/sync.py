@@ -41,6 +41,9 @@ def sync_catalog(spark: SparkSession, tables: dict[str, DataFrame],
         prof = profs[0] if len(profs) == 1 else profs[0].unionByName(profs[1])
     else:
         prof = cat.profile_columns(present, approx=approx, rsd=rsd)
+    # one row per column: materialised once, read by both returned frames
+    from cataloom.operators.util import cut_lineage
+    prof = cut_lineage(prof)
     # the profile already counted every table's rows: reuse them (missing -> 0)
     counted = prof.groupBy("dataset_id").agg(F.max("row_count").cast("bigint").alias("row_count"))
     names = spark.createDataFrame([(dataset_id_of(n), n) for n in tables], "dataset_id string, table_name string")
