@@ -64,6 +64,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     on a few cores.  Only in that case the rows are spread round-robin; a
     frame that already has enough partitions (any large table on a cluster)
     is returned unchanged, so no shuffle is added at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+        return df
     return df.repartition(target) if n < target else df

@@ -249,7 +249,7 @@ def q_drop_all(spark, sf):
     """Register every driver table as an external table in a fresh database,
     drop them all, verify none is left (external: no data is deleted)."""
     db = sink.unique_name("scratch")
-    spark.sql(f"CREATE DATABASE {db}")
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{scratch_path(spark, db)}'")
     for n, df in load_tables(spark, sf).items():
         spark.sql(f"CREATE TABLE {db}.{n} USING parquet LOCATION '{sf.rstrip('/')}/{n}.parquet'")
     out = sink.drop_all(spark, db)
