@@ -8,11 +8,11 @@ from cataloom.operators import catalog as cat
 from cataloom.operators import joins
 from cataloom.plans import sync
 from cataloom.queries import query, r6, t
-from cataloom.registered.fixed import (DRIVER_SCHEMAS, FIXED_NOW_SQL, columns_sql,
+from cataloom.registered.fixed import (DRIVER_SCHEMAS, columns_sql,
                                        datasets_sql, tables_in_sql)
 from cataloom.sources import tables as src
 from cataloom.sources.schemas import BUSINESS_DDL
-from cataloom.sources.tables import TABLE_NAMES, load_tables
+from cataloom.sources.tables import load_tables
 
 
 def _datasets(spark, sf):

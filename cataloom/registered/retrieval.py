@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cataloom.functions.text import normalize_question, significant_tokens
-from cataloom.functions.vector import sanitize_vector
 from cataloom.operators import knn, search
-from cataloom.operators.embed import embed_text
 from cataloom.plans import ask
 from cataloom.queries import (NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL, cos_sql,
                               dot_sql, query, question_frame, r6, store_frame, t)

@@ -9,7 +9,7 @@ from cataloom.functions import text as tx
 from cataloom.operators import search
 from cataloom.plans import ask
 from cataloom.queries import (NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL, query,
-                              question_frame, r6, store_frame, t)
+                              question_frame, store_frame, t)
 from cataloom.registered.retrieval import _hybrid_sql
 from cataloom.sources import seed
 

@@ -7,7 +7,6 @@ session has none (local tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -78,4 +77,4 @@ def is_local(path: str) -> bool:
 
 
 __all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "local_path",
-           "is_local", "SCALE_CONF", "os"]
+           "is_local", "SCALE_CONF"]
