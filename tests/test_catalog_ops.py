@@ -85,3 +85,11 @@ def test_resolve_table_root_first_existing(spark):
     assert got["ds_entity_007"][0] == "datasets/entity_007"
     assert got["ds_b"][0] == "custom/b"
     assert got["ds_c"][0] is None and got["ds_c"][1].startswith("datasets/c | demo/c")
+
+
+def test_approx_profile_within_error(spark):
+    li = src.read_table(spark, SF_SMALL, "lineitem")
+    ex = {r.column_name: r.distinct_ratio for r in cat.profile_columns({"l": li}).collect()}
+    ap = {r.column_name: r.distinct_ratio for r in cat.profile_columns({"l": li}, approx=True, rsd=0.05).collect()}
+    for c, v in ex.items():
+        assert abs(ap[c] - v) <= 3 * 0.05 * v + 1e-9, (c, v, ap[c])
