@@ -53,9 +53,9 @@ def q_row_to_chunk(spark, sf):
 
 
 @query("row_to_json", f"""
-SELECT 'ds_region' AS dataset_id, CAST(r_regionkey AS BIGINT) AS k, {json_sql('region')} AS text_chunk FROM region
+SELECT 'ds_region' AS dataset_id, CAST(r_regionkey AS BIGINT) AS k, CAST({json_sql('region')} AS VARCHAR) AS text_chunk FROM region
 UNION ALL
-SELECT 'ds_nation', CAST(n_nationkey AS BIGINT), {json_sql('nation')} FROM nation""")
+SELECT 'ds_nation', CAST(n_nationkey AS BIGINT), CAST({json_sql('nation')} AS VARCHAR) FROM nation""")
 def q_row_to_json(spark, sf):
     r = chunk.row_to_json(t(spark, sf, "region")).select(
         F.lit("ds_region").alias("dataset_id"), F.col("r_regionkey").cast("bigint").alias("k"), "text_chunk")
@@ -83,7 +83,7 @@ def q_hash_pk(spark, sf):
 
 @query("embed_text", """
 SELECT doc_id, 64 AS dims,
-       CASE WHEN regexp_matches(lower(text), '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END AS norm
+       CAST(CASE WHEN regexp_matches(lower(text), '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS norm
 FROM documents""")
 def q_embed_text(spark, sf):
     d = embed_text(t(spark, sf, "documents"), "text", dims=64)

@@ -74,7 +74,7 @@ WITH s AS ({STORE_SQL}), q AS ({QUESTIONS_SQL}),
 m AS (SELECT q.qid, s.dataset_id, s.pk,
              row_number() OVER (PARTITION BY q.qid ORDER BY s.pk, s.dataset_id) AS rank
       FROM s JOIN q ON length(q.question) > 0 AND contains(lower(s.text_chunk), lower(q.question)))
-SELECT qid, dataset_id, pk, 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 3""")
+SELECT qid, dataset_id, pk, CAST(0.0 AS DOUBLE) AS distance, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 3""")
 def q_exact_topk(spark, sf):
     hits = search.exact_topk(store_frame(spark, sf), question_frame(spark, sf), k=3, mode="raw")
     return hits.select("qid", "dataset_id", "pk", "distance", "rank")
@@ -135,7 +135,7 @@ WITH s AS ({STORE_SQL}), q AS ({QUESTIONS_SQL}),
 m AS (SELECT q.qid, s.dataset_id, s.pk,
              row_number() OVER (PARTITION BY q.qid ORDER BY s.pk, s.dataset_id) AS rank
       FROM s JOIN q ON length(q.question) > 0 AND contains(lower(s.text_chunk), lower(q.question)))
-SELECT qid, dataset_id, pk, 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 3""")
+SELECT qid, dataset_id, pk, CAST(0.0 AS DOUBLE) AS distance, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 3""")
 def q_exact_topk_indexed(spark, sf):
     """exact_topk through the token index (same oracle as exact_topk)."""
     store = store_frame(spark, sf)
