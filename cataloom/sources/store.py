@@ -41,6 +41,10 @@ def create_table_typed(spark: SparkSession, path: str, schema, table: str | None
     given); returns the table read back."""
     st = schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
     if table:
+        # materialise the (empty, typed) location first so the table never
+        # points at a missing folder
+        w0 = spark.createDataFrame([], st).write.mode("ignore")
+        (w0.partitionBy(*partition_by) if partition_by else w0).parquet(path)
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in st.fields)
         part = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
         ine = "IF NOT EXISTS " if if_not_exists else ""

@@ -21,7 +21,9 @@ def _event_time(events: DataFrame, ts: str) -> DataFrame:
     instant with the same UTC wall clock, so 1-day windows (aligned to UTC
     midnight) are exactly the wall-clock days in any session time zone."""
     if dict(events.dtypes).get(ts) == "timestamp_ntz":
-        return events.withColumn(ts, F.to_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
+        # UTC wall clock -> session wall clock -> instant (session cast)
+        wall = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(ts))
+        return events.withColumn(ts, wall.cast("timestamp"))
     return events
 
 
@@ -38,7 +40,8 @@ def start_daily_counts(events: DataFrame, ts: str, group: str, out_path: str, ch
     counts = daily_count_stream(events, ts, group, watermark)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        day = F.from_utc_timestamp(F.col("w.start"), F.current_timezone()).cast("timestamp_ntz")
+        # instant -> session wall clock -> UTC wall clock (the NTZ day)
+        day = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("w.start").cast("timestamp_ntz"))
         (batch.select("grp", day.alias("day"), "n", F.lit(batch_id).alias("batch_id"))
          .write.mode("append").parquet(out_path))
 
