@@ -25,7 +25,8 @@ def main():
     print("# Physical plans of the headline queries\n")
     print(f"Generated by `tools/show_plans.py` on `{os.path.basename(sf)}` (local[4], AQE on; the")
     print("trees are the initial AQE plans, before run-time re-planning).\n")
-    for k in ("knn_cosine", "knn_batch", "exact_topk", "hybrid_retrieve", "profile_columns_approx",
+    for k in ("knn_cosine", "knn_batch", "exact_topk", "exact_topk_indexed", "hybrid_retrieve",
+              "profile_columns_approx",
               "row_to_chunk", "lineage_closure", "row_trend"):
         df = qs[k]()
         buf = io.StringIO()
