@@ -257,8 +257,8 @@ def exact_topk_indexed(store: DataFrame, questions: DataFrame, index: DataFrame,
     interior = toks.where((F.col("_pos") > 0) & (F.col("_pos") < F.col("_n") - 1) & (F.col("token") != ""))
     dfreq = doc_freq if doc_freq is not None else token_doc_freq(index)
     # a question whose interior token is in no chunk has no candidate at all
-    rare = (interior.join(dfreq, "token").groupBy("qid")
-            .agg(F.min_by("token", F.struct("df", "token")).alias("token")))
+    rare = cut_lineage(interior.join(dfreq, "token").groupBy("qid")        # one row per question
+                       .agg(F.min_by("token", F.struct("df", "token")).alias("token")))
     probe = q.join(rare, "qid").select("qid", "token", "_qds")
     # candidate keys only (about 50 bytes a row): the phrase text is joined
     # later from the question side, so the broadcast never repeats it
