@@ -6,7 +6,8 @@ kept in lists by free space with one bit per free space that has a bin.  The
 next piece goes to the bin with the least sufficient free space (lowest set bit
 at or above its length); without one a bin is opened, and when more than
 ``open_bins`` are open the fullest closes first.  Pieces come in hash order, so
-every task sees the same mix of lengths and memory stays at ``open_bins``.
+every task sees the same mix of lengths, and in small sorted lots, the longest
+of a lot first; memory stays at ``open_bins`` bins and one lot of pieces.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import out, sub_batches
+from cataloom.llm.common import out, sub_batches, written
 
 CAPACITY = 2048
 OPEN_BINS = 4096
+#: Pieces one task packs: many, as every task ends with some bins partly filled.
+TASK_PIECES = 100_000
+#: Pieces that are looked at together, the longest first.
+LOT = 4096
 #: A longer run without white space goes to the library whose merge loop is not
 #: quadratic in the length of a word.
 LONG_WORD = 1000
@@ -135,32 +140,36 @@ class Packer:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
-         partitions: int | None = None) -> DataFrame:
+         task_pieces: int = TASK_PIECES) -> DataFrame:
     """All columns of ``pieces`` plus sequence_id and offset.
 
     ``pieces`` has a long ``length`` from 1 to ``capacity`` (others raise an
-    error).  Sequences are packed per task: ``partitions`` (default: the shuffle
-    partitions of the session) spreads pieces evenly whatever their ids, so one
-    id or source cannot fill a task; repeated rows are pieces of their own.  No
-    rows give no rows.  Columns named sequence_id or offset are replaced."""
-    pieces = pieces.drop("sequence_id", "offset")
-    n = partitions or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("_h", F.xxhash64(*pieces.columns)).repartition(n)
-    dealt = dealt.sortWithinPartitions("_h").drop("_h")
+    error).  Pieces are spread evenly over tasks of about ``task_pieces`` each,
+    whatever their ids, so one id or source cannot fill a task; repeated rows are
+    pieces of their own.  No rows give no rows.  Columns named sequence_id or
+    offset are replaced."""
+    pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
+    n = max(1, -(-pieces.count() // task_pieces))
+    dealt = pieces.withColumn("__h", F.xxhash64(*pieces.columns)).repartition(n)
+    dealt = dealt.sortWithinPartitions("__h").drop("__h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         base = TaskContext.get().partitionId() << 40
         packer = Packer(capacity, open_bins)
-        for b in batches:
-            lengths = b.column(b.schema.get_field_index("length")).to_pylist()
-            if any(x is None or not 0 < x <= capacity for x in lengths):
-                raise ValueError(f"piece lengths must be from 1 to {capacity}")
-            placed = [packer.put(x) for x in lengths]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([base + p[0] for p in placed], pa.int64()),
-                 pa.array([p[1] for p in placed], pa.int64())],
-                names=[*b.schema.names, "sequence_id", "offset"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, LOT):
+                b = batch.slice(lo, LOT)
+                lengths = b.column(b.schema.get_field_index("length")).to_pylist()
+                if any(x is None or not 0 < x <= capacity for x in lengths):
+                    raise ValueError(f"piece lengths must be from 1 to {capacity}")
+                placed = [(0, 0)] * len(lengths)
+                for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+                    placed[i] = packer.put(lengths[i])
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array([base + p[0] for p in placed], pa.int64()),
+                     pa.array([p[1] for p in placed], pa.int64())],
+                    names=[*b.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")

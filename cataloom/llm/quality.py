@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and character 3- and 4-grams are hashed to buckets; every bucket has a
+Words, character 3- and 4-grams and the pattern of word bigrams (the same word
+again or another) are hashed to buckets; every bucket has a
 learned vector, a document is the average of its vectors, and a softmax layer
 gives the class.  Training is numpy stochastic gradient descent in one task over a
 bounded sample of labelled documents; features are made where the texts are.
@@ -24,6 +25,8 @@ EPOCHS = 6
 RATE = 0.5
 #: Labelled documents the classifier is fitted on at most, chosen by a hash of the id.
 TRAIN_ROWS = 6000
+#: Buckets of the two word bigram patterns.
+REPEATED, CHANGED = 0, 1
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x3000],
                    np.uint32)
@@ -53,8 +56,14 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             power = np.cumprod(np.full(int(place.max()) + 1, _K[1], np.uint32), dtype=np.uint32)
             h = np.add.reduceat((cp[at] * _K[2] ^ cp[at]) * power[place], first, dtype=np.uint32)
             h ^= h >> np.uint32(15)
+            word_of = of[at[first]]
             buckets.append((h * _K[0]) >> shift)
-            owner.append(of[at[first]])
+            owner.append(word_of)
+            # word bigrams by their pattern: the same word again, or another
+            pair = word_of[1:] == word_of[:-1]
+            again = (h[1:] == h[:-1])[pair]
+            buckets.append(np.where(again, REPEATED, CHANGED).astype(np.uint32))
+            owner.append(word_of[1:][pair])
     if not buckets:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     return np.concatenate(buckets), np.concatenate(owner)
