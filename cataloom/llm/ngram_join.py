@@ -4,10 +4,12 @@
    class, so copies cost one row each from here on.
 2. A global order puts frequent n-grams last (counts of the whole corpus; any
    order gives the same links, this one makes short candidate lists).  Two sets
-   can only reach the threshold if the first |s| - ceil(t |s|) + 1 n-grams of
-   both share one; those prefixes are the only n-grams that are shuffled.
-3. Classes that share a prefix n-gram and have compatible sizes are connected
-   into clusters; nothing outside a cluster can link.
+   can only reach the threshold if the first |s| - ceil(t |s|) + k n-grams of
+   both share k; those prefixes are the only n-grams that are shuffled.  k grows
+   with the size, so that long texts don't meet by one chance n-gram.
+3. Classes of compatible sizes that share k prefix n-grams are connected into
+   clusters; nothing outside a cluster can link.  N-grams of few classes are
+   counted by pair; one of many classes connects all of them by itself.
 4. Each cluster, cut by size band and into blocks, goes into tries over its
    globally ordered sets.  A set is compared with a whole trie at once: common
    beginnings are counted once for all sets below, and subtrees are pruned when
@@ -38,11 +40,15 @@ PERCENT = 80
 FREQUENT = 1 << 20
 #: Seen this often, an n-gram is worth moving.
 FREQUENT_FROM = 4
+#: Sizes per required shared prefix n-gram, and the longest list that is counted by pair.
+SHARED_PER, SHORT_LIST = 50, 24
 #: Prefix lists of n-grams seen this often are dealt over SALTS tasks.
 HOT_FROM, SALTS = 512, 16
 #: Sets in one trie block, and n-grams in one on average.
 BLOCK_SETS, BLOCK_NGRAMS = 256, 1 << 20
 BAND_BITS = 7
+#: Shared n-grams of an edge that needs no count.
+SURE = 1 << 40
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -93,6 +99,12 @@ def band(n: int, percent: int = PERCENT) -> int:
     return int(math.log(n) / math.log(100 / percent) + 1e-9) if n else 0
 
 
+def shared_needed(percent: int = PERCENT) -> list[int]:
+    """By size band: how many prefix n-grams a set must share with a partner."""
+    return [max(1, int(min((100 / percent) ** b, 1e12) / SHARED_PER))
+            for b in range(1 << BAND_BITS)]
+
+
 def class_of(grams: np.ndarray, percent: int = PERCENT) -> int | None:
     """A 56-bit digest of the set and its size band; null for the empty set."""
     if not len(grams):
@@ -145,6 +157,7 @@ def _prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64())])
         known, count = frequent.value
+        needed = shared_needed(percent)
         seen: set[int] = set()
         for _, texts in sub_batches(batches, "text"):
             grams, salts, classes = [], [], []
@@ -154,12 +167,13 @@ def _prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                n = len(own) - -(-percent * len(own) // 100) + 1
+                n = len(own) - -(-percent * len(own) // 100) + needed[c & ((1 << BAND_BITS) - 1)]
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     weight = np.where(known[at] == own, count[at], 0)
                 first = np.argsort(weight, kind="stable")[:n]
+                n = len(first)
                 grams.append(own[first].view(np.int64))
                 salts.append(np.where(weight[first] >= HOT_FROM, 1 + (c >> BAND_BITS) % SALTS, 0))
                 classes.append(np.full(n, c))
@@ -171,45 +185,83 @@ def _prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
 
 
 def _cluster_edges(prefixes: DataFrame, salted: bool, partitions: int) -> DataFrame:
-    """(gram, a, b): edges that connect the size-compatible classes of one n-gram, and
-    with ``salted`` rows (gram, a, null): what each band of a salted list sends on."""
+    """(gram, a, b, n): pairs of size-compatible classes with the number of n-grams of short
+    lists they share here, and edges (n is SURE) that connect the classes of a long list;
+    with ``salted`` also rows (gram, a, null): what each band of a salted list sends on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("gram", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("gram", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
+                            ("n", pa.int64())])
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
         gram, cls = (t[c].combine_chunks().to_numpy() for c in ("gram", "cls"))
+        salt = t["salt"].combine_chunks().to_numpy() if salted else np.ones(len(cls), np.int32)
         bands = cls & ((1 << BAND_BITS) - 1)
         order = np.lexsort((cls, bands, gram))
-        gram, cls, bands = gram[order], cls[order], bands[order]
-        salt = t["salt"].combine_chunks().to_numpy()[order] if salted else None
+        gram, cls, bands, salt = gram[order], cls[order], bands[order], salt[order]
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])])
+        gram, cls, bands, salt = gram[new], cls[new], bands[new], salt[new]
+        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        size = np.diff(start, append=len(cls))
+        long = np.repeat((size > SHORT_LIST) | (salt[start] > 0), size)
+        yield from _pairs(schema, *_short_pairs(cls[~long], bands[~long], size[~long[start]]))
+        gram, cls, bands, salt = gram[long], cls[long], bands[long], salt[long]
+        if not len(cls):
+            return
         same = gram[1:] == gram[:-1]
         head = np.flatnonzero(np.concatenate([[True], ~same | (bands[1:] != bands[:-1])]))
         # every class of a band with the band's first, and that with the next band's first
         star = np.repeat(head, np.diff(head, append=len(cls)))
-        yield from _edges(schema, gram, cls[star], cls)
-        if len(head) > 1:
-            a, b = head[:-1], head[1:]
-            near = (gram[a] == gram[b]) & (bands[b] - bands[a] <= 1)
-            yield from _edges(schema, gram[a[near]], cls[a[near]], cls[b[near]])
-        if salted:
-            hot = salt[head] > 0  # dealt by salt: its classes may be elsewhere too
+        a, b = head[:-1], head[1:]
+        near = (gram[a] == gram[b]) & (bands[b] - bands[a] <= 1)
+        yield from _pairs(schema, np.concatenate([cls[star], cls[a[near]]]),
+                          np.concatenate([cls, cls[b[near]]]), SURE)
+        if salted:  # dealt by salt: classes of this n-gram may be elsewhere too
+            hot = head[salt[head] > 0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[head[hot]]), pa.array(cls[head[hot]]),
-                 pa.nulls(int(hot.sum()), pa.int64())], schema=schema)
+                [pa.array(gram[hot]), pa.array(cls[hot]), pa.nulls(len(hot), pa.int64()),
+                 pa.array(np.zeros(len(hot), np.int64))], schema=schema)
 
     keys = ["gram", "salt"] if salted else ["gram"]
-    return prefixes.repartition(partitions, *keys).mapInArrow(run, "gram long, a long, b long")
+    return prefixes.repartition(partitions, *keys).mapInArrow(
+        run, "gram long, a long, b long, n long")
+
+
+def _short_pairs(cls: np.ndarray, bands: np.ndarray, size: np.ndarray
+                 ) -> tuple[np.ndarray, np.ndarray]:
+    """All size-compatible pairs of each of the lists laid one after another."""
+    of = np.repeat(np.arange(len(size)), size)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = np.flatnonzero(np.repeat(size > 1, size))
+    for gap in range(1, SHORT_LIST):
+        at = at[at + gap < len(cls)]
+        at = at[of[at] == of[at + gap]]
+        near = at[bands[at + gap] - bands[at] <= 1]
+        a.append(np.minimum(cls[near], cls[near + gap]))
+        b.append(np.maximum(cls[near], cls[near + gap]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _pairs(schema: pa.Schema, a: np.ndarray, b: np.ndarray, sure: int = 0
+           ) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs without loops, counted unless ``sure``."""
+    a, b = a[a != b], b[a != b]
+    if not len(a):
+        return
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    n = np.full(len(first), sure) if sure else np.diff(first, append=len(a))
+    yield out(schema, np.zeros(len(first), np.int64), a[first], b[first], n)
 
 
-def _edges(schema: pa.Schema, gram: np.ndarray, a: np.ndarray, b: np.ndarray
-           ) -> Iterator[pa.RecordBatch]:
-    """Distinct edges of this task, without loops."""
-    keep = a != b
-    if keep.any():
-        pairs = np.unique(np.stack([a[keep], b[keep]]), axis=1)
-        yield out(schema, np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1])
+def _enough(edges: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that share as many prefix n-grams as their sizes ask."""
+    needed = F.array(*map(F.lit, shared_needed(percent)))
+    low = F.least(*(F.col(c).bitwiseAND((1 << BAND_BITS) - 1).cast("int") for c in "ab"))
+    return (edges.groupBy("a", "b").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= F.element_at(needed, low + 1)).select("a", "b"))
 
 
 class Trie:
@@ -437,8 +489,8 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, size: int = WORDS,
     edges = written(_cluster_edges(_prefixes(docs, frequent, size, percent), True, parts),
                     "cluster-edges")
     sent = edges.filter("b is null").select("gram", F.col("a").alias("cls"))
-    top = _cluster_edges(sent, False, parts).select("a", "b")
-    clusters = components(edges.filter("b is not null").select("a", "b").unionByName(top))
+    pairs = edges.filter("b is not null").unionByName(_cluster_edges(sent, False, parts))
+    clusters = components(_enough(pairs, percent))
 
     reps = (clusters.join(classes, F.col("node") == F.col("cls"))
             .select("root", "cls", "n", F.col("rep.row").alias("rep_row")))
