@@ -2,14 +2,17 @@
 
 1. ``signatures``: every document's set of n-gram hashes; equal sets form one
    class, so copies cost one row each from here on.
-2. A global order puts frequent n-grams last (counts of the whole corpus; any
-   order gives the same links, this one makes short candidate lists).  Two sets
-   can only reach the threshold if the first |s| - ceil(t |s|) + k n-grams of
-   both share k; those prefixes are the only n-grams that are shuffled.  k grows
-   with the size, so that long texts don't meet by one chance n-gram.
-3. Classes of compatible sizes that share k prefix n-grams are connected into
-   clusters; nothing outside a cluster can link.  N-grams of few classes are
-   counted by pair; one of many classes connects all of them by itself.
+2. Candidates share *links of the order*: pairs of n-grams that are neighbours
+   in a set ordered by hash.  Each n-gram that only one of two sets has breaks at
+   most two links, so sets of similarity t share at least (2t - 1) |s| - 1 links,
+   while texts that share a passage or a few chance n-grams share almost none.
+   A global order puts frequent links last (counts of the whole corpus; any order
+   gives the same result, this one makes short candidate lists).  The first
+   links - needed + k links of both sets then share k, and those prefixes are all
+   that is shuffled.  k grows with the size of the set.
+3. Classes of compatible sizes that share k prefix links are connected into
+   clusters; nothing outside a cluster can reach the threshold.  Links of few
+   classes are counted by pair; one of many connects all of them by itself.
 4. Each cluster, cut by size band and into blocks, goes into tries over its
    globally ordered sets.  A set is compared with a whole trie at once: common
    beginnings are counted once for all sets below, and subtrees are pruned when
@@ -35,15 +38,17 @@ from cataloom.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-#: N-grams that are moved to the end of the order: those seen most, up to this
-#: many (12 bytes each when broadcast; a bound on an ordering hint only).
+#: Links that are moved to the end of the order: those seen most, up to this
+#: many (16 bytes each when broadcast; a bound on an ordering hint only).
 FREQUENT = 1 << 20
-#: Seen this often, an n-gram is worth moving.
+#: Seen this often, a link is worth moving.
 FREQUENT_FROM = 4
-#: Sizes per required shared prefix n-gram, and the longest list that is counted by pair.
-SHARED_PER, SHORT_LIST = 50, 24
-#: Prefix lists of n-grams seen this often are dealt over SALTS tasks.
+#: N-grams per required shared prefix link, and the longest list that is counted by pair.
+SHARED_PER, SHORT_LIST = 50, 8
+#: Prefix lists of links seen this often are dealt over SALTS tasks.
 HOT_FROM, SALTS = 512, 16
+#: Prefix links one task looks at together (20 bytes each).
+TASK_LINKS = 2_000_000
 #: Sets in one trie block, and n-grams in one on average.
 BLOCK_SETS, BLOCK_NGRAMS = 256, 1 << 20
 BAND_BITS = 7
@@ -99,8 +104,19 @@ def band(n: int, percent: int = PERCENT) -> int:
     return int(math.log(n) / math.log(100 / percent) + 1e-9) if n else 0
 
 
+def links_of(grams: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """What candidates must share, in order: hashes of neighbours in the ordered set (the
+    n-grams themselves below 70 percent, where links are too few), and at least how many
+    of them two sets at the threshold have in common."""
+    if percent < 70:
+        return grams, -(-percent * len(grams) // 100)
+    with np.errstate(over="ignore"):
+        links = mix64(grams[:-1] * _ORDER[20] + grams[1:] * _ORDER[21])
+    return links, -(-(2 * percent - 100) * len(grams) // 100) - 1
+
+
 def shared_needed(percent: int = PERCENT) -> list[int]:
-    """By size band: how many prefix n-grams a set must share with a partner."""
+    """By size band: how many prefix links a set must share with a partner."""
     return [max(1, int(min((100 / percent) ** b, 1e12) / SHARED_PER))
             for b in range(1 << BAND_BITS)]
 
@@ -115,7 +131,7 @@ def class_of(grams: np.ndarray, percent: int = PERCENT) -> int | None:
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """docs (id, row, text) -> (kind, id, row, cls, n): kind 0 has one row per document;
-    kind 1 (cls an n-gram, n a count) the n-grams a task saw more than once."""
+    kind 1 (cls a link, n a count) the links a task saw in more than one class."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +158,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if c is not None and c not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(c)
-                    held.append(grams)
+                    held.append(links_of(grams, percent)[0])
             yield out(schema, np.zeros(len(n), np.int64), batch.column(0), batch.column(1), cls, n)
             if sum(map(len, held)) > 4_000_000:
                 yield from repeated()
@@ -153,7 +169,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
-    """(gram, salt, cls) of the prefix n-grams of every class a task meets."""
+    """(gram, salt, cls) of the prefix links of every class a task meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64())])
         known, count = frequent.value
@@ -167,7 +183,8 @@ def _prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                n = len(own) - -(-percent * len(own) // 100) + needed[c & ((1 << BAND_BITS) - 1)]
+                own, shared = links_of(own, percent)
+                n = len(own) - shared + needed[c & ((1 << BAND_BITS) - 1)]
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -185,7 +202,7 @@ def _prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
 
 
 def _cluster_edges(prefixes: DataFrame, salted: bool, partitions: int) -> DataFrame:
-    """(gram, a, b, n): pairs of size-compatible classes with the number of n-grams of short
+    """(gram, a, b, n): pairs of size-compatible classes with the number of links of short
     lists they share here, and edges (n is SURE) that connect the classes of a long list;
     with ``salted`` also rows (gram, a, null): what each band of a salted list sends on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +274,7 @@ def _pairs(schema: pa.Schema, a: np.ndarray, b: np.ndarray, sure: int = 0
 
 
 def _enough(edges: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs that share as many prefix n-grams as their sizes ask."""
+    """(a, b) of the pairs that share as many prefix links as their sizes ask."""
     needed = F.array(*map(F.lit, shared_needed(percent)))
     low = F.least(*(F.col(c).bitwiseAND((1 << BAND_BITS) - 1).cast("int") for c in "ab"))
     return (edges.groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -484,8 +501,8 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, size: int = WORDS,
         F.min(F.struct("id", "row")).alias("rep"), F.min("id").alias("low"),
         F.first("n").alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                total * (100 - percent) // 100 // 2_000_000)
+    parts = max(spark.sparkContext.defaultParallelism,
+                total * 2 * (100 - percent) // 100 // TASK_LINKS)
     edges = written(_cluster_edges(_prefixes(docs, frequent, size, percent), True, parts),
                     "cluster-edges")
     sent = edges.filter("b is null").select("gram", F.col("a").alias("cls"))
