@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cataloom.functions.vector import cosine_distance, neg_inner_product
+from cataloom.operators.search import scope_column
 from cataloom.operators.util import spread, union_all
 
 # Defaults of the reference (ask: cosine k=8 in 1..25; answer: inner k=5 in 1..50).
@@ -184,12 +185,14 @@ def knn_batch(store: DataFrame, questions: DataFrame, k: int = COSINE_K,
     """Top-k store rows for every question.
 
     ``questions``: qid (long), embedding, optional dataset_id (NULL = all) and
-    optional per-question k.  Returns qid, dataset_id, pk, distance, rank."""
+    optional per-question k; 'all' and blank scopes mean all, questions without
+    a vector have no hits.  Returns qid, dataset_id, pk, distance, rank."""
     cols = set(questions.columns)
     q = questions.select(
         F.col("qid").cast("long").alias("qid"), "embedding",
-        (F.col("dataset_id") if "dataset_id" in cols else F.lit(None)).cast("string").alias("dataset_id"),
+        scope_column(F.col("dataset_id") if "dataset_id" in cols else F.lit(None)).alias("dataset_id"),
         (F.col("k") if "k" in cols else F.lit(k)).cast("long").alias("k"))
+    q = q.where(F.col("embedding").isNotNull())
     # Size check before anything is shipped: rows x dims x 8 bytes per block.
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n, d = int(stats["n"] or 0), int(stats["d"] or 0)

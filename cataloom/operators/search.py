@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import normalize_question, preview, significant_tokens
-from cataloom.operators.util import spread, union_all
+from cataloom.operators.util import BROADCAST_MAX_BYTES, spread, union_all
 
 # Defaults of the reference: exact k 3 in 0..10 (ask), merged cap 10 (ask),
 # max(3, k) (answer); snippet half-width 60.
@@ -44,6 +44,12 @@ def scope_id(dataset_id: str | None) -> str | None:
     return None if (not d or d == "all") else d
 
 
+def scope_column(c) -> Column:
+    """The same rule for a column of scopes: NULL where there is no filter."""
+    d = F.trim(_c(c).cast("string"))
+    return F.when((d != "") & (d != "all"), d)
+
+
 def optional_filter(store: DataFrame, dataset_id: str | None = None) -> DataFrame:
     """``$1 IS NULL OR dataset_id = $1`` decided at plan time, so a given id is
     an equality filter Parquet can push down (and partition pruning on a store
@@ -60,10 +66,11 @@ def _phrase(q: Column, mode: str) -> Column:
 
 
 def _question_blocks(q: DataFrame, max_rows: int) -> list[DataFrame]:
-    n = q.count()
-    if n <= max_rows:
+    """Blocks of at most about ``max_rows`` questions and BROADCAST_MAX_BYTES of phrases."""
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_phrase")).alias("b")).first()
+    nb = max(math.ceil(size["n"] / max_rows), math.ceil((size["b"] or 0) * 2 / BROADCAST_MAX_BYTES))
+    if nb <= 1:
         return [q]
-    nb = math.ceil(n / max_rows)
     keyed = q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(nb)))
     return [keyed.where(F.col("_blk") == b).drop("_blk") for b in range(nb)]
 
@@ -80,7 +87,7 @@ def theta_ilike_join(store: DataFrame, questions: DataFrame, mode: str = "normal
     q = questions.select(
         "qid",
         _phrase(F.col("question"), mode).alias("_phrase"),
-        (F.col("dataset_id") if "dataset_id" in cols else F.lit(None).cast("string")).alias("_qds"),
+        scope_column(F.col("dataset_id") if "dataset_id" in cols else F.lit(None)).alias("_qds"),
         *([F.col("k")] if "k" in cols else []))
     q = q.where(F.col("_phrase").isNotNull() & (F.length("_phrase") > 0))
     # ILIKE is lower(a) LIKE lower(b): without a live wildcard in the phrase
@@ -94,6 +101,9 @@ def theta_ilike_join(store: DataFrame, questions: DataFrame, mode: str = "normal
         match = literal
     else:
         q = q.withColumn("_wild", F.col("_phrase").rlike(r"[%_\\]"))
+        # a backslash that escapes nothing stands for itself
+        q = q.withColumn("_lphrase", F.when(F.col("_wild"), F.regexp_replace(
+            "_lphrase", r"(?<!\\)(?:\\\\)*\\(?![%_\\])", "$0\\\\")).otherwise(F.col("_lphrase")))
         match = F.when(F.col("_wild"), F.expr("_ltext LIKE concat('%', _lphrase, '%')")).otherwise(literal)
     scope = F.col("_qds").isNull() | (F.col("_qds") == F.col("dataset_id"))
     parts = [s.join(F.broadcast(b), match & scope) for b in _question_blocks(q, max_block_rows)]
@@ -114,9 +124,7 @@ def exact_topk(store: DataFrame, questions: DataFrame, k: int = EXACT_K,
     w = Window.partitionBy("qid").orderBy(F.col("pk").asc_nulls_last(),
                                           F.col("dataset_id").asc_nulls_last())
     ranked = hits.withColumn("rank", F.row_number().over(w))
-    limit = F.col("k") if "k" in hits.columns else F.lit(k)
-    ranked = ranked.where(F.col("rank") <= (k if "k" not in hits.columns else EXACT_K_MAX))
-    ranked = ranked.where(F.col("rank") <= limit)
+    ranked = ranked.where(F.col("rank") <= (F.col("k") if "k" in hits.columns else F.lit(k)))
     return ranked.select("qid", "dataset_id", "pk", "text_chunk",
                          F.lit(0.0).alias("distance"), "rank")
 
@@ -232,8 +240,7 @@ def token_doc_freq(index: DataFrame) -> DataFrame:
 
 
 def exact_topk_indexed(store: DataFrame, questions: DataFrame, index: DataFrame, k: int = EXACT_K,
-                       mode: str = "normalized", doc_freq: DataFrame | None = None,
-                       max_candidates: int = 1_000_000) -> DataFrame:
+                       mode: str = "normalized", doc_freq: DataFrame | None = None) -> DataFrame:
     """Same result as ``exact_topk`` (literal matching), without testing every
     (question, chunk) pair.
 
@@ -241,15 +248,15 @@ def exact_topk_indexed(store: DataFrame, questions: DataFrame, index: DataFrame,
     on both sides inside the phrase) occurs there as a whole whitespace-
     delimited token.  So each question probes the index with its rarest
     interior token; only those candidate chunks are read and verified with the
-    same substring test, in one pass over the store joined to the (counted,
-    bounded) candidate list.  Phrases without an interior token (one or two
-    words) use the nested-loop path.  If the candidates exceed
-    ``max_candidates``, everything uses the nested-loop path."""
-    from cataloom.operators.util import bounded_rows, cut_lineage
+    same substring test, in one pass over the store joined to the candidate
+    list (broadcast while its counted size is small, else a shuffle join).
+    Phrases without an interior token (one or two words) use the nested-loop
+    path.  A ``k`` column of the questions holds as in ``exact_topk``."""
+    from cataloom.operators.util import cut_lineage, maybe_broadcast
     cols = set(questions.columns)
     q = questions.select(
         "qid", _phrase(F.col("question"), mode).alias("_phrase"),
-        (F.col("dataset_id") if "dataset_id" in cols else F.lit(None).cast("string")).alias("_qds"))
+        scope_column(F.col("dataset_id") if "dataset_id" in cols else F.lit(None)).alias("_qds"))
     q = q.where(F.col("_phrase").isNotNull() & (F.length("_phrase") > 0)) \
          .withColumn("_lphrase", F.lower("_phrase"))
     parts = F.split(F.col("_lphrase"), WS_SPLIT)
@@ -262,22 +269,23 @@ def exact_topk_indexed(store: DataFrame, questions: DataFrame, index: DataFrame,
     probe = q.join(rare, "qid").select("qid", "token", "_qds")
     # candidate keys only (about 50 bytes a row): the phrase text is joined
     # later from the question side, so the broadcast never repeats it
-    cand = (index.join(F.broadcast(probe), "token")
+    cand = (index.join(maybe_broadcast(probe), "token")
             .where(F.col("_qds").isNull() | (F.col("_qds") == F.col("dataset_id")))
             .select("qid", "dataset_id", "pk"))
     cand = cut_lineage(cand)
     short_q = q.join(interior.select("qid").distinct(), "qid", "left_anti")
-    if bounded_rows(cand, max_candidates) is None:
-        return exact_topk(store, questions, k, mode)
     phrases = q.join(rare.select("qid"), "qid", "left_semi").select("qid", "_lphrase")
     verified = (store.select("dataset_id", "pk", "text_chunk")
-                .join(F.broadcast(cand), ["dataset_id", "pk"])
-                .join(F.broadcast(phrases), "qid")
+                .join(maybe_broadcast(cand), ["dataset_id", "pk"])
+                .join(phrases, "qid")
                 .where(F.lower("text_chunk").contains(F.col("_lphrase")))
                 .select("qid", "dataset_id", "pk", "text_chunk"))
     short_q_in = questions.join(short_q.select("qid"), "qid", "left_semi")
     nested = theta_ilike_join(store, short_q_in, mode).select("qid", "dataset_id", "pk", "text_chunk")
     hits = verified.unionByName(nested)
     w = Window.partitionBy("qid").orderBy(F.col("pk").asc_nulls_last(), F.col("dataset_id").asc_nulls_last())
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    limit = F.lit(k)
+    if "k" in cols:
+        hits, limit = hits.join(questions.select("qid", "k"), "qid"), F.col("k")
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return ranked.select("qid", "dataset_id", "pk", "text_chunk", F.lit(0.0).alias("distance"), "rank")

@@ -28,6 +28,8 @@ def answer_settings(k: int = knn.INNER_K) -> dict:
 
 
 def semantic_hits(store: DataFrame, questions: DataFrame, k: int, metric: str) -> DataFrame:
+    # a question without a vector has no semantic half
+    questions = questions.where(F.col("embedding").isNotNull())
     keys = knn.knn_batch(store, questions, k=k, metric=metric)
     nq = questions.count()
     # hit keys are ~60 bytes a row: up to a million rows are broadcast, so the
@@ -48,7 +50,7 @@ def hybrid_retrieve(store: DataFrame, questions: DataFrame, k: int = ASK["k"],
     ``questions``: qid, question, embedding, optional dataset_id.
     ``index``: a token index of the store (``search.token_index``); when given,
     literal exact search probes it instead of testing every pair."""
-    k = knn.clamp_k(k, 1, knn.INNER_K_MAX)
+    k = knn.clamp_k(k, 1, knn.COSINE_K_MAX if style == "ask" else knn.INNER_K_MAX)
     k_exact = max(0, min(search.EXACT_K_MAX if style == "ask" else knn.INNER_K_MAX, int(k_exact)))
     parts = {}
     parts["semantic"] = search.shape_hits(semantic_hits(store, questions, k, metric), style)

@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.functions import rules
+from cataloom.functions.vector import sanitize_vector
 from cataloom.operators.chunk import chunk_frame, pk_expr, row_to_json
 from cataloom.operators.embed import embed_text
 from cataloom.operators.util import union_all
 from cataloom.sources import store as sink
 from cataloom.sources.tables import scan_rows_limit
 
-PUBLISH_LIMIT = 200
-
 
 def publish_chunks(tables: dict[str, DataFrame], limit: int | None = None,
                    include=None, exclude=None, guard: str | None = rules.PUBLISH_PII,
@@ -35,36 +34,34 @@ def publish_chunks(tables: dict[str, DataFrame], limit: int | None = None,
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], store_table: str,
-            limit: int | None = PUBLISH_LIMIT, include=None, exclude=None,
+            limit: int | None = None, include=None, exclude=None,
             embedder: Callable | None = None, dims: int = 64, truncate: bool = True,
             on_duplicate: str = "error", hash_key: bool = False) -> DataFrame:
     """Publish every dataset into the store table; returns the summary
-    (dataset_id, status, total_rows, inserted, target)."""
+    (dataset_id, status, total_rows, inserted, target): rows of the input, and
+    rows this run wrote.  ``truncate=False`` appends the rows whose key the
+    table doesn't have.  Vectors are stored rounded and finite."""
     chunks = publish_chunks(tables, limit, include, exclude, hash_key=hash_key)
-    vectors = embed_text(chunks, "text_chunk", dims=dims, embedder=embedder)
+    vectors = _stored(embed_text(chunks, "text_chunk", dims=dims, embedder=embedder))
     if truncate:
-        after = sink.replace_by_dataset(spark, vectors, store_table, list(tables), on_duplicate)
-        target = after
+        added = sink.replace_by_dataset(spark, vectors, store_table, list(tables), on_duplicate)
+        added = added.where(F.col("dataset_id").isin(list(tables)))
     else:
-        target, _ = sink.insert_if_absent(spark, vectors, _table_location(spark, store_table),
-                                          ["dataset_id", "pk"], partition_by=["dataset_id"])
-    counts = (target.where(F.col("dataset_id").isin(list(tables)))
-              .groupBy("dataset_id").agg(F.count(F.lit(1)).alias("inserted")))
+        added = sink.append_absent(spark, vectors, store_table, ["dataset_id", "pk"])
+    counts = added.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("inserted"))
+    totals = chunks.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("total_rows"))
     names = spark.createDataFrame([(d,) for d in tables], "dataset_id string")
-    out = names.join(counts, "dataset_id", "left").withColumn(
-        "inserted", F.coalesce("inserted", F.lit(0)).cast("bigint"))
+    out = names.join(totals, "dataset_id", "left").join(counts, "dataset_id", "left")
+    for c in ("total_rows", "inserted"):
+        out = out.withColumn(c, F.coalesce(c, F.lit(0)).cast("bigint"))
     return out.select(
         "dataset_id",
         F.when(F.col("inserted") > 0, F.lit("published")).otherwise(F.lit("no-new-rows")).alias("status"),
-        F.col("inserted").alias("total_rows"), "inserted", F.lit(store_table).alias("target"))
+        "total_rows", "inserted", F.lit(store_table).alias("target"))
 
 
-def _table_location(spark: SparkSession, table: str) -> str:
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()
-    for r in rows:
-        if r[0] == "Location":
-            return r[1]
-    raise ValueError(f"no location for {table}")
+def _stored(vectors: DataFrame) -> DataFrame:
+    return vectors.withColumn("embedding", sanitize_vector("embedding").cast("array<float>"))
 
 
 def publish_append(spark: SparkSession, resolved: DataFrame, warehouse: str, store_path: str,
@@ -91,7 +88,7 @@ def publish_append(spark: SparkSession, resolved: DataFrame, warehouse: str, sto
     if not parts:
         return summary.withColumn("total_rows", F.lit(0).cast("bigint")).withColumn(
             "inserted", F.lit(0).cast("bigint"))
-    batch = embed_text(union_all(parts), "text_chunk", dims=dims, embedder=embedder)
+    batch = _stored(embed_text(union_all(parts), "text_chunk", dims=dims, embedder=embedder))
     batch = batch.select("dataset_id", "pk", "text_chunk", "embedding")
     totals = batch.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("total_rows"))
     before = _keys_or_empty(spark, store_path)
@@ -106,7 +103,7 @@ def publish_append(spark: SparkSession, resolved: DataFrame, warehouse: str, sto
 
 def _keys_or_empty(spark: SparkSession, path: str) -> DataFrame:
     from cataloom.operators.util import cut_lineage
-    try:
-        return cut_lineage(spark.read.parquet(path).select("dataset_id", "pk"))
-    except Exception:  # noqa: BLE001 - no store yet
+    store = sink.read_or_none(spark, path)
+    if store is None:
         return spark.createDataFrame([], "dataset_id string, pk string")
+    return cut_lineage(store.select("dataset_id", "pk"))

@@ -10,37 +10,25 @@ from pyspark.sql import functions as F
 from cataloom.operators import catalog as cat
 from cataloom.sources.tables import dataset_id_of, list_columns
 
-# Rows above which the catalog profile switches to HyperLogLog++ distinct
-# counts (exact distinct of every column shuffles every value once).
-APPROX_ABOVE_ROWS = 50_000_000
-
 
 def sync_catalog(spark: SparkSession, tables: dict[str, DataFrame],
-                 now: _dt.datetime = cat.DEFAULT_NOW, approx: bool | None = None,
+                 now: _dt.datetime = cat.DEFAULT_NOW, approx: bool = False,
                  sizes: DataFrame | None = None, rsd: float = 0.05,
                  indexed_dates=None) -> tuple[DataFrame, DataFrame]:
     """(catalog_datasets, catalog_columns) rebuilt in one pass.
 
     Datasets: one row per table with its row count.  Columns: every column
     with type text, PII flag, indexed flag and null/distinct ratios (always
-    the 7-column form).  No tables -> two empty frames.  ``approx=None``
-    picks exact or approximate distinct per table from its row count (a
-    footer-only count)."""
+    the 7-column form).  No tables -> two empty frames.  Distinct counts are
+    exact; ``approx=True`` asks for HyperLogLog++ counts of relative error
+    ``rsd`` instead.  The size of a table never changes the method."""
     if not tables:
         return (spark.createDataFrame([], cat.DATASETS_SCHEMA),
                 spark.createDataFrame([], "dataset_id string, column_name string, data_type string, "
                                           "pii_flag boolean, null_ratio double, distinct_ratio double, "
                                           "indexed boolean"))
     present = {n: df for n, df in tables.items() if df is not None}
-    if approx is None:
-        counts = {r["table_name"]: r["row_count"] for r in cat.row_counts(spark, present).collect()}
-        groups = {True: {}, False: {}}
-        for n, df in present.items():
-            groups[counts.get(n, 0) > APPROX_ABOVE_ROWS][n] = df
-        profs = [cat.profile_columns(g, approx=a, rsd=rsd) for a, g in groups.items() if g]
-        prof = profs[0] if len(profs) == 1 else profs[0].unionByName(profs[1])
-    else:
-        prof = cat.profile_columns(present, approx=approx, rsd=rsd)
+    prof = cat.profile_columns(present, approx=approx, rsd=rsd)
     # one row per column: materialised once, read by both returned frames
     from cataloom.operators.util import cut_lineage
     prof = cut_lineage(prof)

@@ -38,10 +38,10 @@ def r6(c) -> F.Column:
 # --- shared frames ----------------------------------------------------------------
 
 def store_frame(spark: SparkSession, sf: str) -> DataFrame:
-    """The embedding store: documents joined with their vectors."""
+    """The embedding store: every document, with its vector if it has one."""
     d = t(spark, sf, "documents")
     e = t(spark, sf, "embeddings")
-    return d.join(e, d.doc_id == e.vec_id).select(
+    return d.join(e, d.doc_id == e.vec_id, "left").select(
         F.col("source").alias("dataset_id"), F.col("doc_id").cast("string").alias("pk"),
         F.col("text").alias("text_chunk"), "embedding")
 
@@ -57,7 +57,7 @@ def question_frame(spark: SparkSession, sf: str) -> DataFrame:
 STORE_SQL = """
   SELECT d.source AS dataset_id, CAST(d.doc_id AS VARCHAR) AS pk, d.text AS text_chunk,
          e.embedding AS embedding
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"""
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"""
 QUESTIONS_SQL = """
   SELECT b.item_id AS qid, b.text AS question, e.embedding AS qv
   FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id"""

@@ -72,13 +72,6 @@ def q_resolve_table_root(spark, sf):
     return src.resolve_table_root(_datasets(spark, sf), listing)
 
 
-@query("gen_sequence", "SELECT range AS seq FROM range(1, (SELECT count(*) FROM customer) + 1)")
-def q_gen_sequence(spark, sf):
-    from cataloom.sources.seed import gen_sequence
-    n = t(spark, sf, "customer").count()
-    return gen_sequence(spark, n)
-
-
 # --- column classification over driver tables + business schemas ------------------------
 
 def _all_columns(spark, sf):

@@ -143,11 +143,11 @@ def q_publish_summary(spark, sf):
 
 
 @query("replace_by_dataset", """
-SELECT source AS dataset_id, CAST(count(*) AS BIGINT) AS n
-FROM documents WHERE source NOT IN ('src0') GROUP BY source""")
+SELECT source AS dataset_id, CAST(doc_id AS VARCHAR) AS pk, text AS text_chunk FROM documents""")
 def q_replace_by_dataset(spark, sf):
-    """Publish all documents by source, then replace again with src0 empty:
-    src0's partition must be gone, the others rewritten."""
+    """Publish all documents by source, replace with src0 empty (its rows and
+    files go, the others are rewritten), then append all again: only src0's
+    rows are absent and come back."""
     d = t(spark, sf, "documents")
     name = sink.unique_name("store")
     sink.ensure_store(spark, name, scratch_path(spark, "store"))
@@ -156,9 +156,29 @@ def q_replace_by_dataset(spark, sf):
                      F.array().cast("array<float>").alias("embedding"))
     ids = [r[0] for r in d.select("source").distinct().collect()]
     sink.replace_by_dataset(spark, first, name, ids)
-    second = first.where(F.col("dataset_id") != "src0")
-    after = sink.replace_by_dataset(spark, second, name, ids)
-    return after.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    sink.replace_by_dataset(spark, first.where(F.col("dataset_id") != "src0"), name, ids)
+    sink.append_absent(spark, first, name, ["dataset_id", "pk"])
+    return spark.table(name).select("dataset_id", "pk", "text_chunk")
+
+
+@query("publish_incremental", """
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_mktsegment <> 'BUILDING') AS a FROM customer)
+SELECT 1 AS run, 'customer' AS dataset_id, 'published' AS status, a AS total_rows, a AS inserted, a AS stored FROM c
+UNION ALL SELECT 2, 'customer', 'published', n, n - a, n FROM c
+UNION ALL SELECT 3, 'customer', 'no-new-rows', n, 0, n FROM c""")
+def q_publish_incremental(spark, sf):
+    """Appending publish of a growing table: new, added, nothing to add; the
+    rows are counted through the table."""
+    c = t(spark, sf, "customer")
+    name = sink.unique_name("store")
+    sink.ensure_store(spark, name, scratch_path(spark, "store"))
+    runs = []
+    for i, rows in enumerate((c.where(F.col("c_mktsegment") != "BUILDING"), c, c), 1):
+        s = pub.publish(spark, {"customer": rows}, name, dims=16, truncate=False)
+        runs.append(cut_lineage(s.select(
+            F.lit(i).alias("run"), "dataset_id", "status", "total_rows", "inserted",
+            F.lit(spark.table(name).count()).cast("bigint").alias("stored"))))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
 @query("insert_if_absent", """
@@ -175,21 +195,6 @@ def q_insert_if_absent(spark, sf):
                      F.countDistinct("o_orderkey").alias("keys_after"))
 
 
-@query("create_table_typed", """
-SELECT column_name, data_type, CAST(0 AS BIGINT) AS n_rows
-FROM information_schema.columns WHERE table_name = 'customer'""")
-def q_create_table_typed(spark, sf):
-    """An empty typed table with customer's schema, read back: its columns,
-    DuckDB-style type names, and its row count (0)."""
-    from cataloom.sources.tables import type_name
-    src = t(spark, sf, "customer")
-    out = sink.create_table_typed(spark, scratch_path(spark, "typed"), src.schema)
-    n = out.count()
-    duck = {"integer": "INTEGER", "bigint": "BIGINT", "varchar": "VARCHAR", "double": "DOUBLE"}
-    rows = [(f.name, duck[type_name(f.dataType)], n) for f in out.schema.fields]
-    return spark.createDataFrame(rows, "column_name string, data_type string, n_rows bigint")
-
-
 @query("upsert_dataset", """
 WITH d AS (SELECT CAST(c_custkey AS VARCHAR) AS dataset_id, c_name AS name, c_mktsegment AS source FROM customer),
 u AS (SELECT CAST(c_custkey + 1000000 AS VARCHAR) AS dataset_id, c_name AS name, 'upd' AS source
@@ -242,20 +247,6 @@ def q_delete_cascade(spark, sf):
             .unionByName(e.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("frame"), "n")))
 
 
-@query("drop_all", f"""
-SELECT unnest([{', '.join(repr(x) for x in sorted(DRIVER_SCHEMAS))}]) AS table_name, true AS dropped,
-       CAST(0 AS BIGINT) AS left_after""")
-def q_drop_all(spark, sf):
-    """Register every driver table as an external table in a fresh database,
-    drop them all, verify none is left (external: no data is deleted)."""
-    db = sink.unique_name("scratch")
-    spark.sql(f"CREATE DATABASE {db} LOCATION '{scratch_path(spark, db)}'")
-    for n, df in load_tables(spark, sf).items():
-        spark.sql(f"CREATE TABLE {db}.{n} USING parquet LOCATION '{sf.rstrip('/')}/{n}.parquet'")
-    out = sink.drop_all(spark, db)
-    return out
-
-
 @query("publish_append", """
 SELECT dataset_id, run, CAST(total_rows AS BIGINT) AS total_rows, CAST(inserted AS BIGINT) AS inserted FROM (
   SELECT 'ds_region' AS dataset_id, 1 AS run, (SELECT count(*) FROM region) AS total_rows,

@@ -128,73 +128,27 @@ def q_table_name(spark, sf):
 
 
 @query("id_to_entity", """
-SELECT c_custkey, nullif(regexp_extract('ds_entity_' || lpad(CAST(c_custkey AS VARCHAR), 3, '0'),
+SELECT c_custkey, nullif(regexp_extract('ds_entity_' || CASE WHEN c_custkey < 1000 THEN lpad(CAST(c_custkey AS VARCHAR), 3, '0')
+                                                     ELSE CAST(c_custkey AS VARCHAR) END,
                                         '^ds_(entity_\\d{3})$', 1), '') AS entity
 FROM customer""")
 def q_id_to_entity(spark, sf):
     c = t(spark, sf, "customer")
-    ids = F.concat(F.lit("ds_entity_"), F.lpad(F.col("c_custkey").cast("string"), 3, "0"))
+    digits = F.col("c_custkey").cast("string")
+    ids = F.concat(F.lit("ds_entity_"),
+                   F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")))
     return c.select("c_custkey", tx.id_to_entity(ids).alias("entity"))
 
 
-@query("plan_entities", """
-WITH cand(cand_idx, logical, source) AS (VALUES """ + ", ".join(
-    f"({i}, '{n}', '{s}')" for i, (n, s) in enumerate(seed.ENTITY_CANDIDATES)) + """),
-p AS (SELECT range AS i, range % 27 AS cand_idx, range // 27 + 1 AS rep
-      FROM range(0, (SELECT count(*) FROM supplier)))
-SELECT i, CASE WHEN rep > 1 THEN logical || '_' || CAST(rep AS VARCHAR) ELSE logical END AS logical, source,
-       lower(regexp_replace(CASE WHEN rep > 1 THEN logical || '_' || CAST(rep AS VARCHAR) ELSE logical END,
-                            '[^A-Za-z0-9]+', '_', 'g')) AS table_name,
-       'ds_' || lower(regexp_replace(CASE WHEN rep > 1 THEN logical || '_' || CAST(rep AS VARCHAR) ELSE logical END,
-                                     '[^A-Za-z0-9]+', '_', 'g')) AS dataset_id
-FROM p JOIN cand USING (cand_idx)""")
-def q_plan_entities(spark, sf):
-    """One planned entity per supplier row (wraps over the 27 candidates)."""
-    n = t(spark, sf, "supplier").count()
-    return seed.plan_entities(spark, n)
-
-
 @query("rotate_source", """
 WITH s(si, source) AS (VALUES """ + ", ".join(
     f"({i}, '{s}')" for i, s in enumerate(seed.DEMO_SOURCES)) + """),
 o(source, oi, opt) AS (VALUES """ + ", ".join(
     f"('{s}', {j}, '{o}')" for s in seed.DEMO_SOURCES for j, o in enumerate(seed.SOURCE_NAME_OPTIONS[s])) + """)
-SELECT c.c_custkey AS i, s.source, o.opt || '_' || lpad(CAST(c.c_custkey AS VARCHAR), 2, '0') AS name
+SELECT c.c_custkey AS i, s.source, o.opt || '_' || 
+       lpad(CAST(c.c_custkey AS VARCHAR), (SELECT length(CAST(max(c_custkey) AS VARCHAR)) FROM customer)::INTEGER, '0') AS name
 FROM customer c JOIN s ON s.si = ((c.c_custkey - 1) % 14 + 14) % 14
 JOIN o ON o.source = s.source AND o.oi = ((c.c_custkey - 1) % 4 + 4) % 4""")
 def q_rotate_source(spark, sf):
     c = t(spark, sf, "customer").select(F.col("c_custkey").alias("i"))
     return seed.rotate_source(c, "i").select("i", "source", "name")
-
-
-@query("seed_entity", """
-SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT id) AS BIGINT) AS ids,
-       CAST(min(id) AS BIGINT) AS min_id, CAST(max(id) AS BIGINT) AS max_id,
-       CAST(count(DISTINCT email) AS BIGINT) AS emails
-FROM (SELECT range AS id, 'user' || CAST(range AS VARCHAR) || '@example.com' AS email
-      FROM range(1, (SELECT count(*) FROM customer) + 1))""")
-def q_seed_entity(spark, sf):
-    """One seeded row per customer row."""
-    n = t(spark, sf, "customer").count()
-    e = seed.seed_entity(spark, rows=n)
-    return e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"),
-                 F.min("id").alias("min_id"), F.max("id").alias("max_id"),
-                 F.countDistinct("email").alias("emails"))
-
-
-@query("seed_business_schemas", """
-SELECT table_name, n_columns, (SELECT CAST(count(*) AS BIGINT) FROM supplier) AS n_rows
-FROM (VALUES """ + ", ".join(f"('{n}', {len(seed.split_ddl(d))})" for n, d in seed.BUSINESS_DDL.items())
-       + """) v(table_name, n_columns)""")
-def q_seed_business_schemas(spark, sf):
-    """All 31 business tables with one row per supplier row each: (table,
-    columns, rows)."""
-    n = t(spark, sf, "supplier").count()
-    tabs = seed.seed_business_schemas(spark, rows=n)
-    frames = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(name).alias("table_name"), F.lit(len(df.columns)).alias("n_columns"), "n_rows")
-        for name, df in tabs.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out

@@ -53,7 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        # Only reached in local tests: no cluster folder was given.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # local tests: no cluster folder was given
         conf = tempfile.mkdtemp(prefix="cataloom-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -65,18 +67,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/cataloom-tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (for listing helpers in local mode)."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-def is_local(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "local_path",
-           "is_local", "SCALE_CONF"]
+__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "SCALE_CONF"]

@@ -220,9 +220,15 @@ def plan_entities(spark: SparkSession, n: int, candidates: DataFrame | None = No
 
 
 def rotate_source(df: DataFrame, idx_col: str = "i", sources=DEMO_SOURCES,
-                  options=SOURCE_NAME_OPTIONS) -> DataFrame:
-    """source = sources[(i - 1) % n]; name = options[source][(i - 1) % 4] + '_' + zero-padded i."""
+                  options=SOURCE_NAME_OPTIONS, width: int | None = None) -> DataFrame:
+    """source = sources[(i - 1) % n]; name = options[source][(i - 1) % 4] + '_' + zero-padded i.
+
+    Numbers are padded to ``width`` digits, by default those of the largest
+    (one number is read); a longer number is never cut."""
     i = F.col(idx_col)
+    if width is None:
+        width = df.agg(F.max(F.length(i.cast("string")))).first()[0] or 1
+    digits = i.cast("string")
     src_arr = F.array(*[F.lit(s) for s in sources])
     source = F.element_at(src_arr, (F.pmod(i - 1, F.lit(len(sources))) + 1).cast("int"))
     opt_map = F.create_map(*[x for s in sources for x in
@@ -230,4 +236,4 @@ def rotate_source(df: DataFrame, idx_col: str = "i", sources=DEMO_SOURCES,
     opts = opt_map[source]
     base = F.element_at(opts, (F.pmod(i - 1, F.size(opts)) + 1).cast("int"))
     return df.withColumn("source", source).withColumn(
-        "name", F.concat(base, F.lit("_"), F.lpad(i.cast("string"), 2, "0")))
+        "name", F.concat(base, F.lit("_"), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))))

@@ -14,12 +14,15 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cataloom.operators.util import BROADCAST_MAX_ROWS, cut_lineage, maybe_broadcast
 
+# Rows of one written file of a dataset.
+ROWS_PER_FILE = 1_000_000
 STORE_SCHEMA = "dataset_id string, pk string, text_chunk string, embedding array<float>"
 
 
@@ -67,42 +70,59 @@ def ensure_store(spark: SparkSession, table: str, path: str, schema: str = STORE
 
 def replace_by_dataset(spark: SparkSession, new: DataFrame, table: str,
                        dataset_ids: list[str] | None = None,
-                       on_duplicate: str = "error", files_per_dataset: int = 16) -> DataFrame:
+                       on_duplicate: str = "error", rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Replace every listed dataset's rows by ``new``'s rows for it.
 
     Datasets present in ``new`` are rewritten with a dynamic partition
-    overwrite; listed datasets with no rows are dropped (an empty input still
-    deletes).  ``on_duplicate``: 'error' fails when (dataset_id, pk) repeats,
-    'keep_first' keeps the first by text.  Before the write, rows are
-    clustered by (dataset_id, hash(pk) mod ``files_per_dataset``): each
-    dataset lands in at most that many files, and a dataset holding a third
-    of all rows is still written by that many tasks, not one.
-    Returns the table read back."""
+    overwrite; a listed dataset with no rows is overwritten by nothing, which
+    removes its files, and its partition is dropped.  ``on_duplicate``: 'error'
+    fails when (dataset_id, pk) repeats, 'keep_first' keeps the first by text.
+    Rows are materialised once, then clustered by (dataset_id, hash(pk) mod the
+    dataset's row count over ``rows_per_file``), so the number of writing tasks
+    of a dataset follows its size.  Returns the table read back."""
     cols = spark.table(table).columns
     data = new.select(*cols)
     if on_duplicate == "keep_first":
         data = dedupe_batch(data, ["dataset_id", "pk"], ["text_chunk"]).select(*cols)
-    elif on_duplicate == "error":
+    data = cut_lineage(data)
+    if on_duplicate == "error":
         dup = (data.groupBy("dataset_id", "pk").agg(F.count(F.lit(1)).alias("c"))
                .where("c > 1").limit(1).collect())
         if dup:
             raise ValueError(f"duplicate key {dup[0]['dataset_id']}/{dup[0]['pk']}")
-    salt = F.pmod(F.xxhash64("pk"), F.lit(files_per_dataset))
-    data = cut_lineage(data.repartition("dataset_id", salt))
-    present = {r[0] for r in data.select("dataset_id").distinct().collect()}
+    sizes = data.groupBy("dataset_id").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_files"))
+    present = {r[0] for r in sizes.select("dataset_id").collect()}  # catalog names
+    dealt = (data.join(sizes, "dataset_id")
+             .repartition("dataset_id", F.pmod(F.xxhash64("pk"), F.col("_files"))).select(*cols))
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         if present:
-            data.write.insertInto(table, overwrite=True)
+            dealt.write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    none = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in data.schema
+                     if f.name != "dataset_id")
     for d in sorted(set(dataset_ids or []) - present):
+        spark.sql(f"INSERT OVERWRITE TABLE {_ident(table)} PARTITION (dataset_id = {_lit(d)}) "
+                  f"SELECT {none} WHERE false")
         spark.sql(f"ALTER TABLE {_ident(table)} DROP IF EXISTS PARTITION (dataset_id = {_lit(d)})")
     spark.catalog.refreshTable(table)
     return spark.table(table)
 
 
+def append_absent(spark: SparkSession, new: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """Append the rows of ``new`` whose key the *table* doesn't have, through the
+    table, so its partitions are known; returns the rows that were added."""
+    cols = spark.table(table).columns
+    batch = dedupe_batch(new.select(*cols), keys)
+    fresh = cut_lineage(batch.join(spark.table(table).select(*keys), keys, "left_anti").select(*cols))
+    fresh.write.insertInto(table)
+    spark.catalog.refreshTable(table)
+    return fresh
+
+
 # --- #13 insert_if_absent --------------------------------------------------------------------
 
 def dedupe_batch(new: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
@@ -121,6 +141,16 @@ def dedupe_batch(new: DataFrame, keys: list[str], order_by: list[str] | None = N
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*new.columns)
 
 
+def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path``; None only when the path does not exist."""
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def insert_if_absent(spark: SparkSession, new: DataFrame, target_path: str, keys: list[str],
                      order_by: list[str] | None = None, fmt: str = "parquet",
                      partition_by: list[str] | None = None) -> tuple[DataFrame, int]:
@@ -128,11 +158,8 @@ def insert_if_absent(spark: SparkSession, new: DataFrame, target_path: str, keys
     anti join against the target's keys, append.  Returns (target after,
     number of rows actually inserted)."""
     batch = dedupe_batch(new, keys, order_by)
-    try:
-        existing = spark.read.format(fmt).load(target_path).select(*keys)
-        fresh = batch.join(existing, keys, "left_anti")
-    except Exception:  # noqa: BLE001 - the target does not exist yet
-        fresh = batch
+    existing = read_or_none(spark, target_path, fmt)
+    fresh = batch if existing is None else batch.join(existing.select(*keys), keys, "left_anti")
     fresh = cut_lineage(fresh)          # count and write the same rows
     n = fresh.count()
     w = fresh.write.mode("append").format(fmt)
@@ -146,7 +173,8 @@ def insert_if_absent(spark: SparkSession, new: DataFrame, target_path: str, keys
 
 def upsert_dataset(datasets: DataFrame, updates: DataFrame) -> DataFrame:
     """Delete rows whose id *or* name matches an update, then add the updates.
-    The OR is two left-anti equi joins."""
+    The OR is two left-anti equi joins; repeated updates of an id count once."""
+    updates = dedupe_batch(updates.select(*datasets.columns), ["dataset_id"])
     u_ids = updates.select("dataset_id").distinct()
     u_names = updates.where(F.col("name").isNotNull()).select("name").distinct()
     kept = (datasets.join(maybe_broadcast(u_ids), "dataset_id", "left_anti")
@@ -156,7 +184,8 @@ def upsert_dataset(datasets: DataFrame, updates: DataFrame) -> DataFrame:
 
 def update_attrs(target: DataFrame, updates: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """``UPDATE target SET cols = updates.cols WHERE key matches`` (NULL in an
-    update keeps the old value)."""
+    update keeps the old value); of repeated updates of a key the smallest row counts."""
+    updates = dedupe_batch(updates.select(key, *cols), [key])
     u = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
     j = target.join(u, key, "left")
     for c in cols:

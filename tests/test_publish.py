@@ -137,3 +137,42 @@ def test_double_text_without_exponent(spark):
     got = [r[0] for r in df.select(value_text(df.d, T.DoubleType())).collect()]
     assert got == ["12345678.9", "0.0001", "-0.00012345", "2", "100000000000000000000", "711.56",
                    "-98765432.125"]
+
+
+def test_publish_whole_table_and_append_through_it(spark):
+    name = sink.unique_name("store")
+    path = scratch_path(spark, "store")
+    sink.ensure_store(spark, name, path)
+    rows = spark.range(1000).withColumn("v", F.lit("x"))
+    got = [pub.publish(spark, {"d": df}, name, dims=4, truncate=False).first()[1:4]
+           for df in (rows.limit(1), rows, rows)]
+    assert got == [("published", 1, 1), ("published", 1000, 999), ("no-new-rows", 1000, 0)]
+    assert spark.table(name).count() == 1000
+    assert pub.publish(spark, {"d": rows}, name, dims=4).first()[1:4] == ("published", 1000, 1000)
+    sink.replace_by_dataset(spark, spark.table(name).limit(0), name, ["d"])
+    assert spark.table(name).count() == 0
+    assert pub.publish(spark, {"d": rows}, name, dims=4, truncate=False).first()[3] == 1000
+    assert spark.table(name).count() == 1000
+
+
+def test_stored_vectors_are_finite(spark):
+    name = sink.unique_name("store")
+    sink.ensure_store(spark, name, scratch_path(spark, "store"))
+    pub.publish(spark, {"d": spark.range(3)}, name, dims=2,
+                embedder=lambda texts: [[float("nan"), 0.12345678]] * len(texts))
+    assert {tuple(r.embedding) for r in spark.table(name).collect()} == {(0.0, float(np.float32(0.123457)))}
+
+
+def test_repeated_updates_count_once(spark):
+    t = spark.createDataFrame([("a", "n", 1)], "dataset_id string, name string, x int")
+    u = spark.createDataFrame([("a", "m", 3), ("a", "l", 2)], "dataset_id string, name string, x int")
+    assert sink.update_attrs(t, u, "dataset_id", ["name"]).collect() == [("a", "l", 1)]
+    assert sink.upsert_dataset(t, u).collect() == [("a", "l", 2)]
+
+
+def test_only_a_missing_path_is_no_table(spark, tmp_path):
+    assert sink.read_or_none(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        sink.read_or_none(spark, str(tmp_path / "bad")).count()

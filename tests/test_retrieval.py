@@ -183,3 +183,33 @@ def test_hybrid_with_index_equals_without(spark):
     b = {tuple(r) for r in ask.hybrid_retrieve(store, qs, index=search.token_index(store))
          .select("qid", "rank", "origin", "pk").collect()}
     assert a == b
+
+
+def _texts(spark, n=30):
+    return spark.createDataFrame(
+        [("a" if i % 2 else "b", f"{i:03d}", f"row c:\\path {i} 100%", [1.0, float(i)]) for i in range(n)],
+        "dataset_id string, pk string, text_chunk string, embedding array<float>")
+
+
+def test_scope_words_backslash_and_own_k(spark):
+    q = spark.createDataFrame(
+        [(1, "C:\\PATH", "all", 20), (2, "c:\\path", " ", 30), (3, "path", "a", 12), (4, "100\\%", None, 2),
+         (5, "path 7 \\", None, 5)], "qid long, question string, dataset_id string, k long")
+    store = _texts(spark)
+    hits = search.exact_topk(store, q, mode="raw", wildcards=True)
+    got = {r.qid: r["count"] for r in hits.groupBy("qid").count().collect()}
+    assert got == {1: 20, 2: 30, 3: 12, 4: 2}
+    lit = q.where("qid < 4")
+    want = {tuple(r) for r in search.exact_topk(store, lit, mode="raw").collect()}
+    idx = search.token_index(store)
+    assert {tuple(r) for r in search.exact_topk_indexed(store, lit, idx, mode="raw").collect()} == want
+    assert len(want) == 62
+
+
+def test_questions_without_a_vector_keep_their_exact_half(spark):
+    q = spark.createDataFrame([(1, "path 3", None, "all"), (2, "path 4", [1.0, 2.0], "all"), (3, "none", None, "a")],
+                              "qid long, question string, embedding array<float>, dataset_id string")
+    hits = ask.hybrid_retrieve(_texts(spark), q, k=40, cap=100, exact_mode="raw", style="ask")
+    got = {(r.qid, r.origin): r["count"] for r in hits.groupBy("qid", "origin").count().collect()}
+    assert got[(1, "exact")] == 1 and got[(2, "semantic")] == 25 and (1, "semantic") not in got
+    assert not any(k[0] == 3 for k in got)
