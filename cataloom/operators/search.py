@@ -101,9 +101,11 @@ def theta_ilike_join(store: DataFrame, questions: DataFrame, mode: str = "normal
         match = literal
     else:
         q = q.withColumn("_wild", F.col("_phrase").rlike(r"[%_\\]"))
-        # a backslash that escapes nothing stands for itself
+        # a backslash that escapes nothing stands for itself; a run of % is one %
         q = q.withColumn("_lphrase", F.when(F.col("_wild"), F.regexp_replace(
             "_lphrase", r"(?<!\\)(?:\\\\)*\\(?![%_\\])", "$0\\\\")).otherwise(F.col("_lphrase")))
+        q = q.withColumn("_lphrase", F.when(F.col("_wild"), F.regexp_replace(
+            "_lphrase", r"(?<!\\)%%+", "%")).otherwise(F.col("_lphrase")))
         match = F.when(F.col("_wild"), F.expr("_ltext LIKE concat('%', _lphrase, '%')")).otherwise(literal)
     scope = F.col("_qds").isNull() | (F.col("_qds") == F.col("dataset_id"))
     parts = [s.join(F.broadcast(b), match & scope) for b in _question_blocks(q, max_block_rows)]

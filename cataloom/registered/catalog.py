@@ -321,10 +321,12 @@ def q_assemble_detail(spark, sf):
 # --- joins -----------------------------------------------------------------------------------
 
 @query("anti_join_new", """
-SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+SELECT c_custkey FROM customer c WHERE NOT EXISTS (
+  SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""")
 def q_anti_join_new(spark, sf):
     c = t(spark, sf, "customer").select("c_custkey")
-    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(
+        F.col("o_custkey").alias("c_custkey"))
     return joins.anti_join_new(c, o, ["c_custkey"])
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cataloom.operators import knn, search
 from cataloom.plans import ask
-from cataloom.queries import (NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL, cos_sql,
-                              dot_sql, query, question_frame, r6, store_frame, t)
+from cataloom.queries import (ASK_SQL, IN_SCOPE_SQL, NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL,
+                              ask_frame, cos_sql, dot_sql, query, question_frame, r6, store_frame, t)
 
 # Query vector of the single-query searches: the vector of the first
 # benchmark item (vec_id = min(item_id)), read as one row.
@@ -81,12 +81,12 @@ def q_exact_topk(spark, sf):
 
 
 @query("theta_ilike_join", f"""
-WITH s AS ({STORE_SQL}), q AS ({QUESTIONS_SQL})
+WITH s AS ({STORE_SQL}), q AS ({ASK_SQL})
 SELECT q.qid, s.dataset_id, s.pk FROM s JOIN q
-  ON length({NORM_SQL.format(x='q.question')}) > 0
+  ON length({NORM_SQL.format(x='q.question')}) > 0 AND {IN_SCOPE_SQL}
  AND contains(lower(s.text_chunk), {NORM_SQL.format(x='q.question')})""")
 def q_theta_ilike_join(spark, sf):
-    j = search.theta_ilike_join(store_frame(spark, sf), question_frame(spark, sf), mode="normalized")
+    j = search.theta_ilike_join(store_frame(spark, sf), ask_frame(spark, sf), mode="normalized")
     return j.select("qid", "dataset_id", "pk")
 
 
@@ -100,12 +100,13 @@ def _hybrid_sql(k, k_exact, cap, metric, order, exact_mode, wildcards, style):
     o_sem, o_ex = (0, 1) if order == "semantic_first" else (1, 0)
     bad = "NULL" if style == "ask" else "0.0"
     return f"""
-WITH s AS ({STORE_SQL}), q AS ({QUESTIONS_SQL}),
-sd AS (SELECT q.qid, s.dataset_id, s.pk, s.text_chunk, {dist} AS distance FROM s, q),
+WITH s AS ({STORE_SQL}), q AS ({ASK_SQL}),
+sd AS (SELECT q.qid, s.dataset_id, s.pk, s.text_chunk, {dist} AS distance FROM s, q
+       WHERE q.qv IS NOT NULL AND {IN_SCOPE_SQL}),
 sem AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, dataset_id, pk) AS rnk FROM sd),
 ex AS (SELECT q.qid, s.dataset_id, s.pk, s.text_chunk, 0.0 AS distance,
               row_number() OVER (PARTITION BY q.qid ORDER BY s.pk, s.dataset_id) AS rnk
-       FROM s JOIN q ON length({phrase}) > 0 AND {match}),
+       FROM s JOIN q ON length({phrase}) > 0 AND {match} AND {IN_SCOPE_SQL}),
 allh AS (SELECT *, 'semantic' AS origin, {o_sem} AS o FROM sem WHERE rnk <= {k}
          UNION ALL SELECT *, 'exact' AS origin, {o_ex} AS o FROM ex WHERE rnk <= {k_exact}),
 dd AS (SELECT *, row_number() OVER (PARTITION BY qid, dataset_id, pk ORDER BY o, rnk) AS n FROM allh),
@@ -118,14 +119,14 @@ FROM m WHERE rank <= {cap}"""
 
 @query("hybrid_retrieve", _hybrid_sql(**ask.ASK))
 def q_hybrid_retrieve(spark, sf):
-    hits = ask.hybrid_retrieve(store_frame(spark, sf), question_frame(spark, sf), **ask.ASK)
+    hits = ask.hybrid_retrieve(store_frame(spark, sf), ask_frame(spark, sf), **ask.ASK)
     return hits.select("qid", "rank", "origin", "dataset_id", "pk", r6("distance").alias("distance"),
                        "preview")
 
 
 @query("hybrid_answer", _hybrid_sql(**ask.answer_settings(5)))
 def q_hybrid_answer(spark, sf):
-    hits = ask.hybrid_answer(store_frame(spark, sf), question_frame(spark, sf), k=5)
+    hits = ask.hybrid_answer(store_frame(spark, sf), ask_frame(spark, sf), k=5)
     return hits.select("qid", "rank", "origin", "dataset_id", "pk", r6("distance").alias("distance"),
                        "preview")
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cataloom.functions import text as tx
 from cataloom.operators import search
 from cataloom.plans import ask
-from cataloom.queries import (NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL, query,
-                              question_frame, store_frame, t)
+from cataloom.queries import (ASK_SQL, NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL, ask_frame,
+                              query, question_frame, store_frame, t)
 from cataloom.registered.retrieval import _hybrid_sql
 from cataloom.sources import seed
 
@@ -28,9 +28,9 @@ def q_normalize_question(spark, sf):
 @query("significant_tokens", f"""
 SELECT conv_id, turn, CAST(len({TOKENS_SQL.format(x='text')}) AS INTEGER) AS n_tokens,
        array_to_string({TOKENS_SQL.format(x='text')}, ' ') AS tokens
-FROM conversations WHERE role = 'user'""")
+FROM conversations""")
 def q_significant_tokens(spark, sf):
-    c = t(spark, sf, "conversations").where(F.col("role") == "user")
+    c = t(spark, sf, "conversations")
     toks = tx.significant_tokens("text")
     return c.select("conv_id", "turn", F.size(toks).alias("n_tokens"), F.array_join(toks, " ").alias("tokens"))
 
@@ -58,7 +58,7 @@ def _hits_sql() -> str:
 SELECT qid, origin, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT dataset_id || '/' || pk) AS BIGINT) AS n_keys
 FROM ({_hybrid_sql(**ask.ASK)}) h GROUP BY qid, origin""")
 def q_merge_dedupe(spark, sf):
-    h = ask.hybrid_retrieve(store_frame(spark, sf), question_frame(spark, sf), **ask.ASK)
+    h = ask.hybrid_retrieve(store_frame(spark, sf), ask_frame(spark, sf), **ask.ASK)
     return h.groupBy("qid", "origin").agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct(F.concat("dataset_id", F.lit("/"), "pk")).alias("n_keys"))
@@ -83,14 +83,14 @@ SELECT qid, sha256(string_agg('#' || CAST(rank AS VARCHAR) || ' [dataset=' || da
        CAST(sum(length(text_chunk)) AS BIGINT) AS text_chars
 FROM ({_hits_sql()}) h GROUP BY qid""")
 def q_context_string(spark, sf):
-    h = ask.hybrid_retrieve(store_frame(spark, sf), question_frame(spark, sf), **ask.ASK)
+    h = ask.hybrid_retrieve(store_frame(spark, sf), ask_frame(spark, sf), **ask.ASK)
     ctx = search.context_string(h, "full")
     chars = h.groupBy("qid").agg(F.sum(F.length("text_chunk")).cast("bigint").alias("text_chars"))
     return ctx.join(chars, "qid").select("qid", F.sha2("context", 256).alias("context_sha"), "text_chars")
 
 
 @query("token_presence", f"""
-WITH h AS ({_hits_sql()}), q AS ({QUESTIONS_SQL}),
+WITH h AS ({_hits_sql()}), q AS ({ASK_SQL}),
 tk AS (SELECT qid, unnest({TOKENS_SQL.format(x='question')}) AS token,
               generate_subscripts({TOKENS_SQL.format(x='question')}, 1) - 1 AS pos FROM q),
 j AS (SELECT h.qid, h.dataset_id, h.pk, tk.pos, tk.token, lower(h.text_chunk) AS low,
@@ -100,7 +100,7 @@ SELECT qid, dataset_id, pk, CAST(pos AS INTEGER) AS pos, token, idx >= 0 AS pres
             CAST(least(length(low), idx + 60) - greatest(0, idx - 60) AS BIGINT)) END AS snippet
 FROM j""")
 def q_token_presence(spark, sf):
-    qs = question_frame(spark, sf)
+    qs = ask_frame(spark, sf)
     h = ask.hybrid_retrieve(store_frame(spark, sf), qs, **ask.ASK)
     tp = search.token_presence(h, qs)
     return tp.select("qid", "dataset_id", "pk", F.col("pos").cast("int").alias("pos"), "token", "present",
@@ -108,10 +108,10 @@ def q_token_presence(spark, sf):
 
 
 @query("unanswered", f"""
-WITH q AS ({QUESTIONS_SQL}), h AS ({_hybrid_sql(**ask.ASK)})
+WITH q AS ({ASK_SQL}), h AS ({_hybrid_sql(**ask.ASK)})
 SELECT qid, 'I don''t know.' AS answer FROM q WHERE qid NOT IN (SELECT qid FROM h)""")
 def q_unanswered(spark, sf):
-    qs = question_frame(spark, sf)
+    qs = ask_frame(spark, sf)
     h = ask.hybrid_retrieve(store_frame(spark, sf), qs, **ask.ASK)
     return search.unanswered(qs, h)
 
