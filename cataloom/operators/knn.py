@@ -114,11 +114,10 @@ def _local_topk(pdf: pd.DataFrame, Q: np.ndarray, qn: np.ndarray, qids: np.ndarr
                 qds: list, qk: np.ndarray, metric: str) -> pd.DataFrame:
     n, d = len(pdf), Q.shape[1]
     E = np.zeros((n, d), dtype=np.float64)
-    ok = np.zeros(n, dtype=bool)
-    for i, v in enumerate(pdf["embedding"].to_numpy()):
-        if v is not None and len(v) == d:
-            E[i] = v
-            ok[i] = True
+    vectors = pdf["embedding"].to_numpy()
+    ok = np.fromiter((v is not None and len(v) == d for v in vectors), bool, n)
+    if ok.any():
+        E[ok] = np.stack(vectors[ok])
     dots = E @ Q.T                                    # n x m
     if metric == "cosine":
         en = np.sqrt((E * E).sum(axis=1))
@@ -159,6 +158,14 @@ def _local_topk(pdf: pd.DataFrame, Q: np.ndarray, qn: np.ndarray, qids: np.ndarr
     return pd.concat(out, ignore_index=True)
 
 
+def _first_k(hits: pd.DataFrame, qids: np.ndarray, qk: np.ndarray) -> pd.DataFrame:
+    """The k nearest hits of each question, NULL distances last."""
+    hits = hits.sort_values(["qid", "distance", "dataset_id", "pk"], na_position="last",
+                            kind="mergesort")
+    limit = hits["qid"].map(dict(zip(qids.tolist(), qk.tolist())))
+    return hits[hits.groupby("qid").cumcount() < limit]
+
+
 def _knn_block(store: DataFrame, qpdf: pd.DataFrame, metric: str) -> DataFrame:
     spark = store.sparkSession
     Q = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["embedding"]])
@@ -172,10 +179,16 @@ def _knn_block(store: DataFrame, qpdf: pd.DataFrame, metric: str) -> DataFrame:
     bc = spark.sparkContext.broadcast(payload)
 
     def run(it):
+        # a running top-k: at most k rows leave a task for each question
         p = bc.value
+        held, most = [], max(10_000, 4 * int(p["qk"].sum()))
         for pdf in it:
             if len(pdf):
-                yield _local_topk(pdf, p["Q"], p["qn"], p["qids"], p["qds"], p["qk"], metric)
+                held.append(_local_topk(pdf, p["Q"], p["qn"], p["qids"], p["qds"], p["qk"], metric))
+            if sum(map(len, held)) > most:
+                held = [_first_k(pd.concat(held, ignore_index=True), p["qids"], p["qk"])]
+        if held:
+            yield _first_k(pd.concat(held, ignore_index=True), p["qids"], p["qk"])
 
     return spread(store.select("dataset_id", "pk", "embedding")).mapInPandas(run, HIT_SCHEMA)
 

@@ -48,20 +48,26 @@ def sync_catalog(spark: SparkSession, tables: dict[str, DataFrame],
     return datasets, columns
 
 
+#: What the detail shows of a column, by name.
+DETAIL_FIELDS = ("column_name", "data_type", "pii_flag", "null_ratio", "distinct_ratio", "indexed")
+
+
 def assemble_detail(datasets: DataFrame, columns: DataFrame,
                     edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(detail, lineage) for every dataset.
 
     detail: dataset_id, meta struct, columns sorted by name (one array per
-    dataset, bounded by the table's width).  lineage: every edge touching a
+    dataset, bounded by the table's width), each with the fields of the catalog
+    that ``columns`` has: type, PII flag, null and distinct ratio, indexed.  lineage: every edge touching a
     dataset, newest first (NULL times last).  The
     lineage is a flat, globally sorted frame rather than a per-dataset array:
     the range partitioning of the sort on (dataset_id, time, ...) splits a
     dataset with millions of edges over many tasks."""
     meta = datasets.select("dataset_id", F.struct(*[c for c in datasets.columns]).alias("meta"))
+    fields = [c for c in DETAIL_FIELDS if c in columns.columns]
     cols = (columns.groupBy("dataset_id")
-            .agg(F.array_sort(F.collect_list(F.struct("column_name", "data_type"))).alias("columns")))
-    empty_cols = F.array().cast("array<struct<column_name:string,data_type:string>>")
+            .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("columns")))
+    empty_cols = F.array().cast(cols.schema["columns"].dataType)
     detail = (meta.join(cols, "dataset_id", "left")
               .select("dataset_id", "meta", F.coalesce("columns", empty_cols).alias("columns")))
     from cataloom.operators.lineage import lineage_touching

@@ -93,3 +93,15 @@ def test_approx_profile_within_error(spark):
     ap = {r.column_name: r.distinct_ratio for r in cat.profile_columns({"l": li}, approx=True, rsd=0.05).collect()}
     for c, v in ex.items():
         assert abs(ap[c] - v) <= 3 * 0.05 * v + 1e-9, (c, v, ap[c])
+
+
+def test_detail_has_all_fields_of_a_column(spark):
+    from cataloom.plans import sync
+    t = spark.createDataFrame([(1, None), (2, "x"), (3, "x")], "customer_id int, email string")
+    d, c = sync.sync_catalog(spark, {"people": t})
+    edges = spark.createDataFrame([], "src_dataset_id string, dst_dataset_id string, transform_type string, "
+                                      "updated_at timestamp")
+    detail, _ = sync.assemble_detail(d, c, edges)
+    got = {x.column_name: x.asDict() for x in detail.first().columns}
+    want = {r.column_name: {k: r[k] for k in sync.DETAIL_FIELDS} for r in c.collect()}
+    assert got == want and got["email"]["pii_flag"] and abs(got["email"]["null_ratio"] - 1 / 3) < 1e-4
