@@ -17,6 +17,7 @@ from cataloom.functions.text import ntz_lit
 from pyspark.sql import types as T
 
 from cataloom.functions import rules
+from cataloom.operators.util import spread
 from cataloom.sources.tables import dataset_id_of
 
 # Fixed clock used when the caller gives none, so results are repeatable.
@@ -101,27 +102,78 @@ def build_datasets(spark: SparkSession, tables: dict[str, DataFrame | None],
 
 # --- #37 profile_columns ----------------------------------------------------------
 
-def _distinct_expr(c: str, dt: T.DataType, approx: bool, rsd: float):
-    col = F.col(f"`{c}`")
-    if isinstance(dt, T.MapType):           # maps are not comparable: serialize
-        col = F.to_json(col)
-    return F.approx_count_distinct(col, rsd) if approx else F.count_distinct(col)
-
-
-def profile_table(name: str, df: DataFrame, approx: bool = False, rsd: float = 0.05) -> DataFrame:
-    """(dataset_id, column_name, ordinal, row_count, null_count, distinct_count)
-    for one table in a single scan and a single aggregate.
-
-    approx: a HyperLogLog++ sketch per column, merged map-side (constant
-    memory per column).  exact: Catalyst's multi-distinct plan (each row is
-    expanded once per column and de-duplicated per task before the shuffle,
-    so the shuffle carries each task's distinct values, not every row)."""
+# Longest value that is compared as it is; longer ones by their SHA-256.
+INLINE_BYTES = 31
+
+
+def _short(c: F.Column, plain: F.Column) -> F.Column:
+    return F.when(F.octet_length(c) > INLINE_BYTES, F.sha2(c.cast("binary"), 256)).otherwise(plain)
+
+
+def _slots(name: str, dt: T.DataType) -> F.Column:
+    """A column's value as struct(i long, d double, s string): one slot is set,
+    none for NULL, and equal slots mean equal values of that column."""
+    c = F.col("`" + name.replace("`", "``") + "`")
+    i, d, s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, (T.IntegralType, T.BooleanType)):
+        i = c.cast("long")
+    elif isinstance(dt, T.DateType):
+        i = F.unix_date(c).cast("long")
+    elif isinstance(dt, T.TimestampType):
+        i = F.unix_micros(c)
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
+        d = c.cast("double")
+    elif isinstance(dt, T.StringType):
+        s = _short(c, c)
+    elif isinstance(dt, T.BinaryType):
+        s = _short(c, F.hex(c))
+    elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.FloatType, T.DoubleType)):
+        text = F.to_json(F.transform(c.cast("array<double>"), lambda x: x + F.lit(0.0)))
+        s = _short(text, text)                  # + 0.0: one zero, as in a grouping
+    elif isinstance(dt, (T.ArrayType, T.StructType, T.MapType)):
+        s = _short(F.to_json(c), F.to_json(c))
+    else:                                       # decimals, zone-less times, intervals
+        s = c.cast("string")
+    return F.struct(i.alias("i"), d.alias("d"), s.alias("s"))
+
+
+def _exact_profile(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """Counts of all columns of all tables by one aggregation.
+
+    Each value becomes a narrow row (column number, value; long values as
+    digests), rows are counted per (column, value) with map-side combine, then
+    per column: every table is read once and a hot value is one row a task."""
+    names, frames = [], []
+    for table, df in tables.items():
+        first, fields = len(names), df.schema.fields
+        names += [(first + j, dataset_id_of(table), f.name, j + 1) for j, f in enumerate(fields)]
+        numbers = [str(first + j) for j in range(len(fields))]
+        values = spread(df).select(*[_slots(f.name, f.dataType).alias(n)
+                                     for n, f in zip(numbers, fields)])
+        frames.append(values.unpivot([], numbers, "c", "v").select(F.col("c").cast("int"), "v.*"))
+    per_value = _union_all(frames).groupBy("c", "i", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    null = F.col("i").isNull() & F.col("d").isNull() & F.col("s").isNull()
+    per_column = per_value.groupBy("c").agg(
+        F.sum("n").alias("row_count"), F.sum(F.when(null, F.col("n")).otherwise(0)).alias("null_count"),
+        F.sum(F.when(null, 0).otherwise(1)).alias("distinct_count"))
+    schema = spark.createDataFrame(names, "c int, dataset_id string, column_name string, ordinal int")
+    return schema.join(per_column, "c", "left").select(        # an empty table has no values
+        "dataset_id", "column_name", "ordinal",
+        *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n)
+          for n in ("row_count", "null_count", "distinct_count")])
+
+
+def _sketch_profile(name: str, df: DataFrame, rsd: float) -> DataFrame:
+    """The same counts of one table with a HyperLogLog++ sketch per column,
+    merged map-side (constant memory per column)."""
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
-        aggs.append(F.sum(F.when(F.col(f"`{f.name}`").isNull(), 1).otherwise(0))
-                    .cast("bigint").alias(f"_n{i}"))
-        aggs.append(_distinct_expr(f.name, f.dataType, approx, rsd).cast("bigint").alias(f"_d{i}"))
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.MapType):           # maps are not comparable: serialize
+            col = F.to_json(col)
+        aggs.append(F.count_if(col.isNull()).alias(f"_n{i}"))
+        aggs.append(F.approx_count_distinct(col, rsd).cast("bigint").alias(f"_d{i}"))
     wide = df.agg(*aggs)
     stack = ", ".join(f"'{f.name.replace(chr(39), chr(39) * 2)}', {i + 1}, _n{i}, _d{i}"
                       for i, f in enumerate(fields))
@@ -137,8 +189,11 @@ def profile_columns(tables: dict[str, DataFrame], approx: bool = False,
     ratio = count / rows, NULL for an empty table.  ``approx=True`` uses
     HyperLogLog++ (one sketch per partition, merged map-side) instead of an
     exact distinct, which at scale avoids one shuffle of every value."""
-    per = [profile_table(n, df, approx, rsd) for n, df in tables.items()]
-    return _union_all(per).select(
+    if approx:
+        counts = _union_all([_sketch_profile(n, df, rsd) for n, df in tables.items()])
+    else:
+        counts = _exact_profile(next(iter(tables.values())).sparkSession, tables)
+    return counts.select(
         "dataset_id", "column_name", "ordinal", "row_count",
         F.try_divide(F.col("null_count").cast("double"), F.col("row_count")).alias("null_ratio"),
         F.try_divide(F.col("distinct_count").cast("double"), F.col("row_count")).alias("distinct_ratio"))

@@ -92,11 +92,10 @@ def lineage_closure(edges: DataFrame, roots: DataFrame, direction: str = "downst
         e = edges.select(F.col("src_dataset_id").alias("node"), F.col("dst_dataset_id").alias("next"))
     else:
         e = edges.select(F.col("dst_dataset_id").alias("node"), F.col("src_dataset_id").alias("next"))
-    # The edge list is a scan + projection of stable input: it is re-read
-    # each round instead of copied.  Catalyst picks the join per round from
-    # the checkpointed frontier's real size: broadcast while it is small,
-    # shuffle (with AQE skew splits for a hot node) once it is large.
-    e = e.where(F.col("node").isNotNull() & F.col("next").isNotNull())
+    # Laid out once by node: no round reads the source again, and a round whose
+    # frontier is too large to broadcast shuffles only the frontier.
+    e = cut_lineage(e.where(F.col("node").isNotNull() & F.col("next").isNotNull())
+                    .repartition("node"))
     start = roots.select(F.col(root_col).alias("root")).distinct()
     frontier = cut_lineage(start.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")))
     seen = [frontier]          # reliable checkpoints in spark.checkpoint.dir

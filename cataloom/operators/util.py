@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 # Bytes above which a side is never broadcast.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# Bytes of a read split (the default of spark.sql.files.maxPartitionBytes).
+SPLIT_BYTES = 128 * 1024 * 1024
+# Stored bytes that are worth a task of their own.
+MIN_TASK_BYTES = 1024 * 1024
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
@@ -56,17 +60,27 @@ def with_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> DataF
             .drop("_pid", "_mid", "_min", "_off"))
 
 
+def _file_bytes(spark, path: str) -> int:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Make sure CPU-heavy per-row work has at least the cluster's parallelism.
-
-    A table stored as a few large row groups scans in a few tasks; heavy work
-    fused onto that scan (substring tests, sketches, matmuls) would then run
-    on a few cores.  Only in that case the rows are spread round-robin; a
-    frame that already has enough partitions (any large table on a cluster)
-    is returned unchanged, so no shuffle is added at scale."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+    """Round-robin an input that is too small to fill the cluster.
+
+    A table in fewer files than cores, with less than one read split of bytes
+    per core, scans in a few tasks, and CPU-heavy work fused onto the scan
+    would run on a few cores.  Only then the rows are shuffled: at most
+    ``SPLIT_BYTES`` per core ever move.  Decided from the file list of the plan
+    and at most as many file lengths as cores; no job runs."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= target:
+        return df
+    size = sum(_file_bytes(spark, f) for f in files)
+    if size >= target * SPLIT_BYTES:
         return df
-    return df.repartition(target) if n < target else df
+    n = min(target, size // MIN_TASK_BYTES)
+    return df.repartition(n) if n > len(files) else df
