@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions.text import ntz_lit
 
-from cataloom.operators.util import cut_lineage, with_index
+from cataloom.operators.util import spread, union_all, with_index, written
 
 EDGE_COLUMNS = ["src_dataset_id", "dst_dataset_id", "transform_type", "updated_at"]
 # Fixed values of the derived lineage: edge kinds and the 1 hour lag of ingest.
@@ -92,34 +92,26 @@ def lineage_closure(edges: DataFrame, roots: DataFrame, direction: str = "downst
         e = edges.select(F.col("src_dataset_id").alias("node"), F.col("dst_dataset_id").alias("next"))
     else:
         e = edges.select(F.col("dst_dataset_id").alias("node"), F.col("src_dataset_id").alias("next"))
-    # Laid out once by node: no round reads the source again, and a round whose
-    # frontier is too large to broadcast shuffles only the frontier.
-    e = cut_lineage(e.where(F.col("node").isNotNull() & F.col("next").isNotNull())
-                    .repartition("node"))
+    # Edges and rounds are written tables: no round reads the source again, and
+    # Catalyst plans each join from real sizes (a small frontier is broadcast, a
+    # large one is shuffled, with AQE splits for a hot node).
+    e = written(spread(e.where(F.col("node").isNotNull() & F.col("next").isNotNull())), "edges")
     start = roots.select(F.col(root_col).alias("root")).distinct()
-    frontier = cut_lineage(start.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")))
-    seen = [frontier]          # reliable checkpoints in spark.checkpoint.dir
+    frontier = written(start.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")), "hop")
+    seen = [frontier]
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        visited = seen[0]
-        for part in seen[1:]:
-            visited = visited.unionByName(part)
         nxt = (frontier.select("root", "node").join(e, "node")
                .select("root", F.col("next").alias("node")).distinct()
-               .join(visited.select("root", "node"), ["root", "node"], "left_anti"))
-        nxt = cut_lineage(nxt.withColumn("hops", F.lit(hop)))   # one reliable checkpoint per round
+               .join(union_all(seen).select("root", "node"), ["root", "node"], "left_anti"))
+        nxt = written(nxt.withColumn("hops", F.lit(hop)), "hop")   # one table per round
         if nxt.isEmpty():
             break
         seen.append(nxt)
         frontier = nxt
     reached = seen[1:]
-    if not reached:
-        return start.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).limit(0)
-    out = reached[0]
-    for r in reached[1:]:
-        out = out.unionByName(r)
-    return out
+    return union_all(reached) if reached else seen[0].limit(0)
 
 
 def lineage_dangling(nodes: DataFrame, edges: DataFrame, node_col: str = "node_id") -> DataFrame:

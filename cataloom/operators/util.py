@@ -42,6 +42,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared scratch folder: lineage is cut,
+    and later joins are planned from its real size."""
+    from cataloom.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> DataFrame:
     """0-based consecutive index in ``order_cols`` order without a single-task
     window: sort (range-partitioned), tag rows with their partition and
