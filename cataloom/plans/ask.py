@@ -9,10 +9,15 @@ the (bounded: questions x k) hit list with the store.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.operators import knn, search
+from cataloom.operators.embed import embed_text
+from cataloom.operators.util import cut_lineage
+
 HIT_KEYS_BROADCAST_ROWS = 1_000_000
 
 ASK = dict(k=knn.COSINE_K, k_exact=search.EXACT_K, cap=search.MERGE_CAP, metric="cosine",
@@ -40,16 +45,32 @@ def semantic_hits(store: DataFrame, questions: DataFrame, k: int, metric: str) -
         "qid", "dataset_id", "pk", "text_chunk", "distance", "rank")
 
 
+def embed_questions(questions: DataFrame, dims: int = 64,
+                    embedder: Callable | None = None) -> DataFrame:
+    """Questions with the vector of their text, computed once; blank texts and
+    texts without a word (zero vector) have none."""
+    said = F.length(F.trim(F.coalesce("question", F.lit("")))) > 0
+    q = embed_text(questions, "question", dims, embedder)
+    return cut_lineage(q.withColumn("embedding", F.when(
+        said & F.exists("embedding", lambda x: x != 0), F.col("embedding"))))
+
+
 def hybrid_retrieve(store: DataFrame, questions: DataFrame, k: int = ASK["k"],
                     k_exact: int = ASK["k_exact"], cap: int = ASK["cap"],
                     metric: str = "cosine", order: str = "semantic_first",
                     exact_mode: str = "normalized", wildcards: bool = False,
-                    style: str = "ask", index: DataFrame | None = None) -> DataFrame:
+                    style: str = "ask", index: DataFrame | None = None, dims: int = 64,
+                    embedder: Callable | None = None) -> DataFrame:
     """Hits per question: qid, rank, origin, dataset_id, pk, distance,
     preview, text_chunk.  ``store``: dataset_id, pk, text_chunk, embedding.
-    ``questions``: qid, question, embedding, optional dataset_id.
+    ``questions``: qid, question, optional embedding and dataset_id.  Questions
+    without an ``embedding`` column are embedded here with ``embedder`` (the one the
+    store was embedded with; default: the built-in one of ``dims``); a blank
+    question has no vector.
     ``index``: a token index of the store (``search.token_index``); when given,
     literal exact search probes it instead of testing every pair."""
+    if "embedding" not in questions.columns:
+        questions = embed_questions(questions, dims, embedder)
     k = knn.clamp_k(k, 1, knn.COSINE_K_MAX if style == "ask" else knn.INNER_K_MAX)
     k_exact = max(0, min(search.EXACT_K_MAX if style == "ask" else knn.INNER_K_MAX, int(k_exact)))
     parts = {}
@@ -67,8 +88,8 @@ def hybrid_retrieve(store: DataFrame, questions: DataFrame, k: int = ASK["k"],
                          "preview", "text_chunk")
 
 
-def hybrid_answer(store: DataFrame, questions: DataFrame, k: int = knn.INNER_K) -> DataFrame:
-    return hybrid_retrieve(store, questions, **answer_settings(k))
+def hybrid_answer(store: DataFrame, questions: DataFrame, k: int = knn.INNER_K, **kw) -> DataFrame:
+    return hybrid_retrieve(store, questions, **answer_settings(k), **kw)
 
 
 def ask_batch(store: DataFrame, questions: DataFrame, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cataloom.operators import knn, search
+from cataloom.operators.embed import embed_text
 from cataloom.plans import ask
 from cataloom.queries import (ASK_SQL, IN_SCOPE_SQL, NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL,
                               ask_frame, cos_sql, dot_sql, query, question_frame, r6, store_frame, t)
@@ -124,6 +125,16 @@ def q_hybrid_retrieve(spark, sf):
                        "preview")
 
 
+@query("hybrid_retrieve_text")
+def q_hybrid_retrieve_text(spark, sf):
+    """Ask with question texts only: every document and every question is embedded
+    by the built-in embedder (its hash has no SQL form, so there is no oracle)."""
+    store = embed_text(store_frame(spark, sf).drop("embedding"))
+    hits = ask.hybrid_retrieve(store, ask_frame(spark, sf).drop("embedding"), **ask.ASK)
+    return hits.select("qid", "rank", "origin", "dataset_id", "pk", r6("distance").alias("distance"),
+                       "preview")
+
+
 @query("hybrid_answer", _hybrid_sql(**ask.answer_settings(5)))
 def q_hybrid_answer(spark, sf):
     hits = ask.hybrid_answer(store_frame(spark, sf), ask_frame(spark, sf), k=5)

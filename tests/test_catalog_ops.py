@@ -105,3 +105,34 @@ def test_detail_has_all_fields_of_a_column(spark):
     got = {x.column_name: x.asDict() for x in detail.first().columns}
     want = {r.column_name: {k: r[k] for k in sync.DETAIL_FIELDS} for r in c.collect()}
     assert got == want and got["email"]["pii_flag"] and abs(got["email"]["null_ratio"] - 1 / 3) < 1e-4
+
+
+def test_exact_profile_of_every_type(spark):
+    long_a, long_b = "x" * 40 + "a", "x" * 40 + "b"
+    df = spark.sql(f"""
+        SELECT * FROM VALUES
+          (1, 0.0D, 'a', X'00', true, DATE'2024-01-01', TIMESTAMP'2024-01-01 00:00:00', 1.10BD, array(0.0D), map('k', 1), named_struct('p', 1, 'q', 'x')),
+          (2, -0.0D, '{long_a}', X'0000', false, DATE'2024-01-02', TIMESTAMP'2024-01-01 00:00:00.000001', 1.1BD, array(-0.0D), map('k', 2), named_struct('p', 1, 'q', 'y')),
+          (2, double('NaN'), '{long_b}', X'00', NULL, DATE'2024-01-02', NULL, 1.20BD, array(0.0D, 0.0D), map('k', 1), NULL),
+          (NULL, double('NaN'), '', NULL, true, NULL, TIMESTAMP'2024-01-01 00:00:00', NULL, NULL, NULL, named_struct('p', NULL, 'q', 'y'))
+        AS t(i, d, s, b, f, day, ts, dec, arr, m, st)""").withColumn("we`ird", F.col("s")).withColumn(
+            "ntz", F.col("ts").cast("timestamp_ntz"))
+    rows = {r.column_name: r for r in cat.profile_columns({"t": df}).collect()}
+    for n in df.columns:
+        c = F.col("`" + n.replace("`", "``") + "`")
+        want = df.agg(F.count_distinct(F.to_json(c) if n == "m" else c), F.count_if(c.isNull())).first()
+        assert (rows[n].distinct_ratio * 4, rows[n].null_ratio * 4) == tuple(want), n
+    assert [rows[n].ordinal for n in df.columns] == list(range(1, len(df.columns) + 1))
+
+
+def test_spread_only_of_small_inputs_in_few_files(spark, monkeypatch):
+    from cataloom.operators import util
+    li = src.read_table(spark, SF_SMALL, "lineitem")
+    assert util.spread(li, 4) is li                             # too small to be worth a task
+    monkeypatch.setattr(util, "MIN_TASK_BYTES", 1024)
+    spread = util.spread(li, 4)
+    assert spread is not li and spread.count() == li.count()
+    monkeypatch.setattr(util, "SPLIT_BYTES", 1024)
+    assert util.spread(li, 4) is li                             # large: the scan has splits enough
+    few = spark.range(10)
+    assert util.spread(few, 4) is few                           # not a file scan

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions.text import normalize_question, significant_tokens
 from cataloom.operators import knn, search
+from cataloom.operators.embed import embed_text
 from cataloom.plans import ask
 
 STORE = "dataset_id string, pk string, text_chunk string, embedding array<float>"
@@ -213,3 +214,22 @@ def test_questions_without_a_vector_keep_their_exact_half(spark):
     got = {(r.qid, r.origin): r["count"] for r in hits.groupBy("qid", "origin").count().collect()}
     assert got[(1, "exact")] == 1 and got[(2, "semantic")] == 25 and (1, "semantic") not in got
     assert not any(k[0] == 3 for k in got)
+
+
+def test_hybrid_retrieve_embeds_question_texts(spark):
+    texts = ["red apple pie", "green apple tart", "blue whale song", "apple", "whale watching", ""]
+    store = embed_text(spark.createDataFrame(
+        [("d", str(i), x) for i, x in enumerate(texts)], "dataset_id string, pk string, text_chunk string"))
+    questions = spark.createDataFrame(
+        [(1, "apple pie"), (2, "whale"), (3, "  "), (4, "?!"), (5, None)], "qid long, question string")
+    hits = ask.hybrid_retrieve(store, questions, k=2, k_exact=0).collect()
+    vectors = {r.pk: np.asarray(r.embedding, dtype=np.float64) for r in store.collect()}
+    asked = embed_text(questions, "question").where("qid < 3").collect()
+    for q in asked:
+        v = np.asarray(q.embedding, dtype=np.float64)
+        sims = sorted((1 - v @ w / (np.linalg.norm(v) * np.linalg.norm(w)), pk)
+                      for pk, w in vectors.items() if np.linalg.norm(w) > 0)
+        got = sorted((r["rank"], r.distance, r.pk) for r in hits if r.qid == q.qid)
+        assert [p for _, _, p in got] == [p for _, p in sims[:2]]
+        assert np.allclose([d for _, d, _ in got], [d for d, _ in sims[:2]])
+    assert {r.qid for r in hits} == {1, 2}          # blank, wordless and null questions
