@@ -17,7 +17,7 @@ from cataloom.functions.text import ntz_lit
 from pyspark.sql import types as T
 
 from cataloom.functions import rules
-from cataloom.operators.util import spread
+from cataloom.operators.util import maybe_broadcast, spread
 from cataloom.sources.tables import dataset_id_of
 
 # Fixed clock used when the caller gives none, so results are repeatable.
@@ -212,7 +212,7 @@ def flag_indexed(columns: DataFrame, rules_df: DataFrame | None = None,
     out = columns.withColumn("indexed", rules.indexed("column_name", date_names))
     if rules_df is not None:
         extra = rules_df.select("dataset_id", "column_name").distinct().withColumn("_r", F.lit(True))
-        out = (out.join(F.broadcast(extra), ["dataset_id", "column_name"], "left")
+        out = (out.join(maybe_broadcast(extra), ["dataset_id", "column_name"], "left")
                .withColumn("indexed", F.col("indexed") | F.coalesce("_r", F.lit(False)))
                .drop("_r"))
     return out

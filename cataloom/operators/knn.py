@@ -100,6 +100,11 @@ def knn_inner(store: DataFrame, qvec, k: int = INNER_K, dataset_id: str | None =
     return _knn_one(store, qvec, answer_k(k), "inner", dataset_id)
 
 
+# Cells of the distance matrix a task holds at once (8 bytes each).
+MATRIX_CELLS = 4_000_000
+# Rows at a question's cut kept beyond k before the tie order is applied.
+TIES_KEPT = 64
+
 # --- batch --------------------------------------------------------------------
 
 HIT_SCHEMA = T.StructType([
@@ -110,52 +115,49 @@ HIT_SCHEMA = T.StructType([
 ])
 
 
-def _local_topk(pdf: pd.DataFrame, Q: np.ndarray, qn: np.ndarray, qids: np.ndarray,
-                qds: list, qk: np.ndarray, metric: str) -> pd.DataFrame:
-    n, d = len(pdf), Q.shape[1]
+def _local_topk(pdf: pd.DataFrame, p: dict, metric: str) -> pd.DataFrame:
+    """Candidates of one Arrow batch: per question the rows up to the k-th distance
+    (all ties at the cut), NULL distances only where fewer than k are left.
+    Questions are taken in groups that keep the distance matrix bounded."""
+    n, d = len(pdf), p["Q"].shape[1]
     E = np.zeros((n, d), dtype=np.float64)
     vectors = pdf["embedding"].to_numpy()
     ok = np.fromiter((v is not None and len(v) == d for v in vectors), bool, n)
     if ok.any():
         E[ok] = np.stack(vectors[ok])
-    dots = E @ Q.T                                    # n x m
-    if metric == "cosine":
-        en = np.sqrt((E * E).sum(axis=1))
-        denom = en[:, None] * qn[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
+    en = np.sqrt((E * E).sum(axis=1))
+    ds, pks = pdf["dataset_id"].to_numpy(), pdf["pk"].to_numpy()
+    found = []
+    step = max(1, MATRIX_CELLS // n)
+    for lo in range(0, len(p["Q"]), step):
+        q = slice(lo, lo + step)
+        dots = p["Q"][q] @ E.T                            # questions x rows
+        if metric == "cosine":
+            denom = p["qn"][q, None] * en[None, :]
             dist = np.where(denom > 0, 1.0 - dots / np.where(denom > 0, denom, 1.0), np.nan)
-    else:
-        dist = -dots
-    dist[~ok, :] = np.nan
-    ds = pdf["dataset_id"].to_numpy()
-    pks = pdf["pk"].to_numpy()
-    out = []
-    for j in range(Q.shape[0]):
-        col = dist[:, j]
-        allowed = np.ones(n, dtype=bool) if qds[j] is None else (ds == qds[j])
-        k = int(qk[j])
-        valid = allowed & ~np.isnan(col)
-        nv = int(valid.sum())
-        if nv > k:
-            kth = np.partition(col[valid], k - 1)[k - 1]
-            sel = valid & (col <= kth)                # ties at the cut are kept
         else:
-            sel = valid.copy()
-            if nv < k:                                # NULL distances sort last
-                sel |= allowed & np.isnan(col)
-        idx = np.nonzero(sel)[0]
-        if len(idx) == 0:
-            continue
-        part = pd.DataFrame({"qid": qids[j], "dataset_id": ds[idx], "pk": pks[idx],
-                             "distance": col[idx]})
-        part = part.sort_values(["distance", "dataset_id", "pk"], na_position="last",
-                                kind="mergesort").head(k)
-        out.append(part)
-    if not out:
-        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in
-                             (("qid", "int64"), ("dataset_id", "object"), ("pk", "object"),
-                              ("distance", "float64"))})
-    return pd.concat(out, ignore_index=True)
+            dist = -dots
+        dist[:, ~ok] = np.nan
+        open_to = np.ones(dist.shape, bool)
+        for j, scope in enumerate(p["qds"][q]):
+            if scope is not None:
+                open_to[j] = ds == scope
+        dist[~open_to] = np.nan
+        k = np.clip(p["qk"][q], 1, n)
+        kth = np.partition(dist, np.unique(k) - 1, axis=1)[np.arange(len(k)), k - 1]  # NaN last
+        take = dist <= kth[:, None]
+        few = np.isnan(kth)
+        take[few] = open_to[few]
+        for j in np.flatnonzero(take.sum(axis=1) > k + TIES_KEPT):   # a crowd at the cut
+            at = np.flatnonzero(take[j])
+            order = pd.DataFrame({"x": dist[j, at], "d": ds[at], "p": pks[at]}).sort_values(
+                ["x", "d", "p"], na_position="last", kind="mergesort").index[:k[j]]
+            take[j] = False
+            take[j, at[order]] = True
+        j, i = np.nonzero(take)
+        found.append((p["qids"][q][j], ds[i], pks[i], dist[j, i]))
+    return pd.DataFrame({c: np.concatenate([f[x] for f in found]) for x, c in
+                         enumerate(("qid", "dataset_id", "pk", "distance"))})
 
 
 def _first_k(hits: pd.DataFrame, qids: np.ndarray, qk: np.ndarray) -> pd.DataFrame:
@@ -184,7 +186,7 @@ def _knn_block(store: DataFrame, qpdf: pd.DataFrame, metric: str) -> DataFrame:
         held, most = [], max(10_000, 4 * int(p["qk"].sum()))
         for pdf in it:
             if len(pdf):
-                held.append(_local_topk(pdf, p["Q"], p["qn"], p["qids"], p["qds"], p["qk"], metric))
+                held.append(_local_topk(pdf, p, metric))
             if sum(map(len, held)) > most:
                 held = [_first_k(pd.concat(held, ignore_index=True), p["qids"], p["qk"])]
         if held:

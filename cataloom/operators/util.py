@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows above which a side is never broadcast (the other way is a shuffle join).
 BROADCAST_MAX_ROWS = 200_000
@@ -17,17 +18,27 @@ SPLIT_BYTES = 128 * 1024 * 1024
 MIN_TASK_BYTES = 1024 * 1024
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count if it is at most ``max_rows`` else None.  Counts at most
-    max_rows + 1 rows, so the check itself is bounded."""
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the frame is proven small; otherwise leave the
-    join strategy to Catalyst/AQE (sort-merge or shuffle-hash)."""
-    return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: 8 a field, the length of texts, 8 an array element."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + F.coalesce(F.size(c), F.lit(0)) * 8
+        size = size + 8
+    return size
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                    max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when the frame is proven small in rows and bytes (at
+    most max_rows + 1 rows are looked at); otherwise leave the join strategy to
+    Catalyst/AQE (sort-merge or shuffle-hash)."""
+    seen = df.select(_row_bytes(df).alias("b")).limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes else df
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -36,10 +36,11 @@ def semantic_hits(store: DataFrame, questions: DataFrame, k: int, metric: str) -
     # a question without a vector has no semantic half
     questions = questions.where(F.col("embedding").isNotNull())
     keys = knn.knn_batch(store, questions, k=k, metric=metric)
-    nq = questions.count()
+    own = F.col("k") if "k" in questions.columns else F.lit(k)
+    most = questions.agg(F.sum(own.cast("long")).alias("n")).first()["n"] or 0
     # hit keys are ~60 bytes a row: up to a million rows are broadcast, so the
     # store's text is read once and never shuffled; beyond that a shuffle join
-    keys_side = F.broadcast(keys) if nq * k <= HIT_KEYS_BROADCAST_ROWS else keys
+    keys_side = F.broadcast(keys) if most <= HIT_KEYS_BROADCAST_ROWS else keys
     text = store.select("dataset_id", "pk", "text_chunk")
     return text.join(keys_side, ["dataset_id", "pk"]).select(
         "qid", "dataset_id", "pk", "text_chunk", "distance", "rank")

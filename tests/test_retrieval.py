@@ -233,3 +233,36 @@ def test_hybrid_retrieve_embeds_question_texts(spark):
         assert [p for _, _, p in got] == [p for _, p in sims[:2]]
         assert np.allclose([d for _, d, _ in got], [d for d, _ in sims[:2]])
     assert {r.qid for r in hits} == {1, 2}          # blank, wordless and null questions
+
+
+def test_local_topk_keeps_the_nearest_of_every_question(monkeypatch):
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    n, m = 200, 23
+    pdf = pd.DataFrame({"dataset_id": [f"d{i % 3}" for i in range(n)], "pk": [str(i) for i in range(n)],
+                        "embedding": [None if i % 17 == 0 else
+                                      rng.integers(-1, 2, size=2).astype(np.float32) for i in range(n)]})
+    Q = rng.integers(-1, 2, size=(m, 2)).astype(np.float64)
+    p = {"Q": Q, "qn": np.sqrt((Q * Q).sum(axis=1)), "qids": np.arange(m),
+         "qds": [None, "d1", "none"] * 7 + [None, "d2"], "qk": np.array([1, 5, 500] * 7 + [3, 60])}
+    for cells, ties in ((4_000_000, 64), (n * 4, 0)):           # several groups, crowds at the cut
+        monkeypatch.setattr(knn, "MATRIX_CELLS", cells)
+        monkeypatch.setattr(knn, "TIES_KEPT", ties)
+        for metric in ("cosine", "inner"):
+            got = knn._first_k(knn._local_topk(pdf, p, metric), p["qids"], p["qk"])
+            for j in range(m):
+                rows = []
+                for ds, pk, v in pdf.itertuples(index=False):
+                    if p["qds"][j] in (None, ds):
+                        bad = v is None or (metric == "cosine" and not (Q[j].any() and v.any()))
+                        dot = 0 if v is None else float(v @ Q[j])
+                        x = None if bad else (-dot if metric == "inner" else
+                                              1 - dot / (np.linalg.norm(v.astype(float)) * np.linalg.norm(Q[j])))
+                        rows.append((bad, 0 if bad else round(x, 9), ds, pk))
+                want = [r[2:] for r in sorted(rows)[:p["qk"][j]]]
+                mine = got[got["qid"] == j]
+                if ties or metric == "inner":
+                    mine = mine.assign(x=mine["distance"].round(9)).sort_values(
+                        ["x", "dataset_id", "pk"], na_position="last")
+                    assert list(zip(mine["dataset_id"], mine["pk"])) == want
+                assert len(mine) == len(want)
