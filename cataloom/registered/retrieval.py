@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cataloom.operators import knn, search
@@ -91,7 +92,8 @@ def q_theta_ilike_join(spark, sf):
     return j.select("qid", "dataset_id", "pk")
 
 
-def _hybrid_sql(k, k_exact, cap, metric, order, exact_mode, wildcards, style):
+def _hybrid_sql(k, k_exact, cap, metric, order, exact_mode, wildcards, style,
+                store_sql=STORE_SQL, ask_sql=ASK_SQL):
     dist = cos_sql("s.embedding", "q.qv") if metric == "cosine" else f"-{dot_sql('s.embedding', 'q.qv')}"
     phrase = NORM_SQL.format(x="q.question") if exact_mode == "normalized" else "q.question"
     if wildcards:
@@ -101,7 +103,7 @@ def _hybrid_sql(k, k_exact, cap, metric, order, exact_mode, wildcards, style):
     o_sem, o_ex = (0, 1) if order == "semantic_first" else (1, 0)
     bad = "NULL" if style == "ask" else "0.0"
     return f"""
-WITH s AS ({STORE_SQL}), q AS ({ASK_SQL}),
+WITH s AS ({store_sql}), q AS ({ask_sql}),
 sd AS (SELECT q.qid, s.dataset_id, s.pk, s.text_chunk, {dist} AS distance FROM s, q
        WHERE q.qv IS NOT NULL AND {IN_SCOPE_SQL}),
 sem AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, dataset_id, pk) AS rnk FROM sd),
@@ -125,12 +127,26 @@ def q_hybrid_retrieve(spark, sf):
                        "preview")
 
 
-@query("hybrid_retrieve_text")
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """An embedder that SQL can state too: how often each of the letters a-z occurs."""
+    n = np.stack([np.bincount(np.frombuffer(x.encode(), np.uint8), minlength=256) for x in texts])
+    return n[:, 97:123] + n[:, 65:91]
+
+
+def _letters_sql(x):
+    counts = (f"list_transform(range(97, 123), lambda c: CAST(length({x}) - length("
+              f"replace(replace({x}, chr(CAST(c AS INTEGER)), ''), chr(CAST(c - 32 AS INTEGER)), '')) AS FLOAT))")
+    return f"CASE WHEN list_sum({counts}) > 0 THEN {counts} END"
+
+
+@query("hybrid_retrieve_text", _hybrid_sql(
+    **ask.ASK, store_sql=f"SELECT * REPLACE ({_letters_sql('text_chunk')} AS embedding) FROM ({STORE_SQL})",
+    ask_sql=f"SELECT * REPLACE ({_letters_sql('question')} AS qv) FROM ({ASK_SQL})"))
 def q_hybrid_retrieve_text(spark, sf):
-    """Ask with question texts only: every document and every question is embedded
-    by the built-in embedder (its hash has no SQL form, so there is no oracle)."""
-    store = embed_text(store_frame(spark, sf).drop("embedding"))
-    hits = ask.hybrid_retrieve(store, ask_frame(spark, sf).drop("embedding"), **ask.ASK)
+    """Ask with question texts only: every document and every question is embedded."""
+    store = embed_text(store_frame(spark, sf).drop("embedding"), dims=26, embedder=letter_counts)
+    hits = ask.hybrid_retrieve(store, ask_frame(spark, sf).drop("embedding"), dims=26,
+                               embedder=letter_counts, **ask.ASK)
     return hits.select("qid", "rank", "origin", "dataset_id", "pk", r6("distance").alias("distance"),
                        "preview")
 
