@@ -3,12 +3,14 @@
 Pass 1 parses every page, hashes its element subtrees (tag, attributes, text,
 children) and counts, per host in Spark, the pages each subtree occurs on.
 Pass 2 parses again, deletes the subtrees that recur on many pages of their
-host, deletes what is never article text (menus, headers and footers outside
-the article, sidebars, notices, adverts, forms, scripts, styles, comments) and
-joins the remaining blocks.
-
-Subtrees inside the article element are never templates: a paragraph that many
-articles of a site quote is still their text.
+host from the whole tree, chooses the content roots, deletes what is never
+article text (menus, headers and footers outside the article, sidebars, notices,
+adverts, forms, scripts, styles, comments) and joins the remaining blocks.
+
+Inside article and main elements boxes (div, section, lists, tables) that recur
+go, paragraphs, headings, quotes and preformatted text never: a paragraph that
+many articles of a site quote is still their text.  The root with the most text
+of a page and the elements around it stay.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl div article section main body td th".split())
+#: Elements inside an article that are its text however often they recur, and elements
+#: that go only with the box they are in.
+QUOTED = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre".split())
+CELLS = frozenset("li dt dd tbody thead tfoot tr td th caption figcaption".split())
 #: Class, id and role words of page furniture (whole words of the attribute).
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|"
@@ -172,21 +178,62 @@ def content_roots(root: Node) -> list[Node]:
     return [root]
 
 
-def template_candidates(root: Node) -> set[int]:
-    """Hashes of the elements with content outside the article."""
-    inside = {id(x) for x in content_roots(root)} - {id(root)}
-    keys, todo = set(), [root]
+def _length(root: Node) -> int:
+    n, todo = 0, [root]
     while todo:
-        node = todo.pop()
-        if id(node) in inside or node.tag in RAW or node.tag == "head":
-            continue
-        if node.tag not in ("#root", "html", "body") and node.tag not in INLINE and node.parts:
-            keys.add(node.key)
-        todo.extend(p for p in node.parts if not isinstance(p, str))
-    return keys
+        for p in todo.pop().parts:
+            if isinstance(p, str):
+                n += len(p)
+            else:
+                todo.append(p)
+    return n
+
+
+def _deletable(root: Node) -> Iterator[tuple[Node, Node]]:
+    """(parent, element) of the elements that go when they recur."""
+    roots = [x for x in content_roots(root) if x is not root]
+    inside = {id(x) for x in roots}
+    kept = {id(root)}
+    if roots:
+        way, todo = {}, [root]
+        while todo:
+            node = todo.pop()
+            for p in node.parts:
+                if not isinstance(p, str):
+                    way[id(p)] = node
+                    todo.append(p)
+        top = roots[0] if len(roots) == 1 else max(roots, key=_length)
+        while top is not root:
+            kept.add(id(top))
+            top = way[id(top)]
+    stack = [(root, False)]
+    while stack:
+        parent, article = stack.pop()
+        for node in parent.parts:
+            if isinstance(node, str) or node.tag in RAW or node.tag == "head":
+                continue
+            if article and node.tag in QUOTED:
+                continue
+            if (id(node) not in kept and node.tag not in ("html", "body") and node.parts
+                    and node.tag not in INLINE and not (article and node.tag in CELLS)):
+                yield parent, node
+            stack.append((node, article or id(node) in inside))
+
+
+def template_candidates(root: Node) -> set[int]:
+    """Hashes of the elements with content that go when they recur."""
+    return {node.key for _, node in _deletable(root)}
+
+
+def delete(root: Node, templates: frozenset[int] | set[int]) -> None:
+    """Take the recurring elements out of the tree."""
+    found = [x for x in _deletable(root) if x[1].key in templates]
+    gone = {id(node) for _, node in found}
+    for parent in {id(parent): parent for parent, _ in found}.values():
+        parent.parts = [Node("div") if id(p) in gone else p for p in parent.parts]
 
 
-def main_text(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(root: Node) -> str:
     """The blocks of the content roots in page order, white space collapsed."""
     blocks: list[str] = []
     run: list[str] = []
@@ -205,8 +252,7 @@ def main_text(root: Node, templates: frozenset[int] | set[int] = frozenset()) ->
                 flush()
             elif isinstance(node, str):
                 run.append(node)
-            elif node is not top and (is_furniture(node, article)
-                                      or not article and node.key in templates):
+            elif node is not top and is_furniture(node, article):
                 if node.tag not in INLINE:
                     flush()
             elif node.tag in INLINE:
@@ -280,7 +326,8 @@ def extract(df: DataFrame, id_col: str, url_col: str, html_col: str,
                 root = parse(t)
                 if gone:
                     hash_tree(root)
-                found.append(main_text(root, set(gone or ())))
+                    delete(root, set(gone))
+                found.append(main_text(root))
             found = [t.encode("utf-8", "replace").decode() for t in found]
             yield out(schema, b.column(1), b.column(2), found, [len(t) for t in found])
 

@@ -62,6 +62,16 @@ def test_templates(spark):
     assert html_text.extract(df.limit(0), "page_id", "url", "html").count() == 0
 
 
+def test_templates_in_article(spark):
+    """Recurring boxes go also inside article and main, quoted paragraphs and the article itself stay."""
+    rows = [(i, f"http://d.org/{i}", f"<body><div><article><p>Teaser</p></article></div><article><p>Quote</p><p>Own story {i}</p><div>Share this</div>"
+             f"<section><ul><li>Notice</ul></section><ul><li>Point {i}<li>Same</ul></article></body>") for i in range(8)]
+    rows += [(10 + i, f"http://e.org/{i}", f"<body><main><div><div>Told {i}</div><div>Letter</div></div></main></body>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in html_text.extract(df, "page_id", "url", "html").collect()}
+    assert got == {i: f"Quote Own story {i} Point {i} Same" if i < 10 else f"Told {i - 10}" for i, _, _ in rows}
+
+
 # --- 5 embeddings ---------------------------------------------------------------------------
 
 def test_near_vectors(spark, monkeypatch):
