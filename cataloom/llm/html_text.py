@@ -1,7 +1,10 @@
 """Main text of web pages with site template removal.
 
 Pass 1 parses every page, hashes its element subtrees (tag, attributes, text,
-children) and counts, per host in Spark, the pages each subtree occurs on.
+children) and counts, per host in Spark, the different pages each subtree occurs
+on.  Copies count once: pages are different when their main roots (the article
+or main element with the most text) are, without one when their html is, and a
+box inside a root counts once for equal roots.
 Pass 2 parses again, deletes the subtrees that recur on many pages of their
 host from the whole tree, chooses the content roots, deletes what is never
 article text (menus, headers and footers outside the article, sidebars, notices,
@@ -26,10 +29,8 @@ from pyspark.sql import functions as F
 
 from cataloom.llm.common import out, sub_batches
 
-#: A subtree is a template when it occurs on at least this many pages of a host
-#: and on at least this share of the host's pages.
+#: A subtree is a template when it occurs on at least this many different pages of a host.
 MIN_PAGES = 5
-MIN_SHARE = 0.2
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -189,11 +190,13 @@ def _length(root: Node) -> int:
     return n
 
 
-def _deletable(root: Node) -> Iterator[tuple[Node, Node]]:
-    """(parent, element) of the elements that go when they recur."""
+def _deletable(root: Node) -> Iterator[tuple[Node, Node, Node]]:
+    """(parent, element, owner) of the elements that go when they recur; the owner is
+    the content root they are in, else the main root of the page (``root`` if none)."""
     roots = [x for x in content_roots(root) if x is not root]
     inside = {id(x) for x in roots}
     kept = {id(root)}
+    main = root
     if roots:
         way, todo = {}, [root]
         while todo:
@@ -202,11 +205,11 @@ def _deletable(root: Node) -> Iterator[tuple[Node, Node]]:
                 if not isinstance(p, str):
                     way[id(p)] = node
                     todo.append(p)
-        top = roots[0] if len(roots) == 1 else max(roots, key=_length)
+        main = top = roots[0] if len(roots) == 1 else max(roots, key=_length)
         while top is not root:
             kept.add(id(top))
             top = way[id(top)]
-    stack = [(root, False)]
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
     while stack:
         parent, article = stack.pop()
         for node in parent.parts:
@@ -216,20 +219,23 @@ def _deletable(root: Node) -> Iterator[tuple[Node, Node]]:
                 continue
             if (id(node) not in kept and node.tag not in ("html", "body") and node.parts
                     and node.tag not in INLINE and not (article and node.tag in CELLS)):
-                yield parent, node
-            stack.append((node, article or id(node) in inside))
+                yield parent, node, article or main
+            stack.append((node, article or (node if id(node) in inside else None)))
 
 
-def template_candidates(root: Node) -> set[int]:
-    """Hashes of the elements with content that go when they recur."""
-    return {node.key for _, node in _deletable(root)}
+def template_candidates(root: Node, html: str) -> set[tuple[int, int]]:
+    """(hash of the element, hash of the content it counts for) of the elements with
+    content that go when they recur."""
+    own = xxhash.xxh3_64_intdigest(html.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return {(node.key, own if owner is root else owner.key)
+            for _, node, owner in _deletable(root)}
 
 
 def delete(root: Node, templates: frozenset[int] | set[int]) -> None:
     """Take the recurring elements out of the tree."""
     found = [x for x in _deletable(root) if x[1].key in templates]
-    gone = {id(node) for _, node in found}
-    for parent in {id(parent): parent for parent, _ in found}.values():
+    gone = {id(node) for _, node, _ in found}
+    for parent in {id(parent): parent for parent, _, _ in found}.values():
         parent.parts = [Node("div") if id(p) in gone else p for p in parent.parts]
 
 
@@ -270,35 +276,36 @@ def host_of(url):
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """pages (row, host, html) -> (row, host, subtree): distinct per page."""
+    """pages (row, host, html) -> (row, host, subtree, content): distinct per page; the
+    content is what the subtree counts for, once however many copies there are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("host", pa.string()), ("subtree", pa.int64())])
+        schema = pa.schema([("row", pa.int64()), ("host", pa.int64()), ("subtree", pa.int64()),
+                            ("content", pa.int64())])
         for b, texts in sub_batches(batches, "html"):
             at, keys = [], []
             for i, t in enumerate(texts):
                 root = parse(t)
                 hash_tree(root)
-                own = template_candidates(root)
+                own = template_candidates(root, t)
                 at += [i] * len(own)
                 keys += own
             index = pa.array(at, pa.int64())
-            yield out(schema, b.column(0).take(index), b.column(1).take(index), keys)
+            yield out(schema, b.column(0).take(index), b.column(1).take(index),
+                      [k for k, _ in keys], [c for _, c in keys])
 
-    return pages.select("row", "host", "html").mapInArrow(
-        run, "row long, host string, subtree long")
+    return pages.select("row", F.xxhash64("host").alias("host"), "html").mapInArrow(
+        run, "row long, host long, subtree long, content long")
 
 
-def templates(subtrees: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES,
-              min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) of the subtrees that recur on many pages of their host."""
-    per_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = subtrees.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    return (counts.filter(F.col("n") >= min_pages).join(per_host, "host")
-            .filter(F.col("n") >= F.col("pages") * min_share).select("host", "subtree"))
+def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, subtree) of the subtrees that recur on many different pages of their host."""
+    return (subtrees.select("host", "subtree", "content").distinct()
+            .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= min_pages).select("host", "subtree"))
 
 
 def extract(df: DataFrame, id_col: str, url_col: str, html_col: str,
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+            min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per input row: id, url, text, n_chars.
 
     Null html is empty and gives an empty text; a null url belongs to the host
@@ -311,7 +318,7 @@ def extract(df: DataFrame, id_col: str, url_col: str, html_col: str,
                          host_of(F.col("url")).alias("host"), "html")
     id_type = pages.schema["id"].dataType.simpleString()
     subtrees = page_subtrees(pages)
-    found = templates(subtrees, pages, min_pages, min_share)
+    found = templates(subtrees, min_pages)
     hits = (subtrees.join(found, ["host", "subtree"]).groupBy("row")
             .agg(F.collect_set("subtree").alias("gone")))
     joined = pages.select("row", "id", "url", "html").join(hits, "row", "left")

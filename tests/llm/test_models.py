@@ -72,6 +72,21 @@ def test_templates_in_article(spark):
     assert got == {i: f"Quote Own story {i} Point {i} Same" if i < 10 else f"Told {i - 10}" for i, _, _ in rows}
 
 
+def test_templates_count_different_pages(spark):
+    """Copies of a page are one page; a menu on a small share of a large host goes."""
+    body = "<body><div>{}</div><div>Whole story {}</div></body>"
+    rows = [(i, f"http://f.org/{i}", body.format("Copied head", 0)) for i in range(9)]
+    rows += [(10 + i, f"http://f.org/x{i}", body.format(f"Head {i}", i + 1)) for i in range(3)]
+    rows += [(20 + i, f"http://g.org/{i}", f"<title>{i}</title><main><div>Printed again</div></main>") for i in range(9)]
+    rows += [(100 + i, f"http://h.org/{i}", body.format("Menu" if i < 9 else f"Head {i}", i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in html_text.extract(df, "page_id", "url", "html").collect()}
+    want = {i: "Copied head Whole story 0" for i in range(9)} | {10 + i: f"Head {i} Whole story {i + 1}" for i in range(3)}
+    want |= {20 + i: "Printed again" for i in range(9)}
+    want |= {100 + i: ("" if i < 9 else f"Head {i} ") + f"Whole story {i}" for i in range(90)}
+    assert got == want
+
+
 # --- 5 embeddings ---------------------------------------------------------------------------
 
 def test_near_vectors(spark, monkeypatch):
