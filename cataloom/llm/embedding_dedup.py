@@ -6,6 +6,11 @@ each vector with the next ``window`` vectors of the order.  Pairs at or above
 the threshold (cosine in double precision) are united over all passes into
 components.  A bounded window cannot list every pair of a dense group, so links
 are then counted exactly inside each component, block against block.
+
+The number of passes follows the size of the label: a pair at the threshold
+differs in a random bit with probability acos(threshold) / pi and meets in a
+window when it agrees in the log2(n / window) bits that lead there, so the
+passes for a wanted recall are known (for evenly spread vectors).
 """
 
 from __future__ import annotations
@@ -21,11 +26,14 @@ from pyspark.sql import functions as F
 from cataloom.llm.common import out, written
 from cataloom.llm.components import components
 
-PASSES = 12
+#: Wanted share of the pairs at the threshold that meet in a window.
+RECALL = 0.999
 BITS = 48
-WINDOW = 24
+WINDOW = 256
 #: Vectors in one block of the sorted order, and of the count inside a component.
 BLOCK = 2048
+#: Vectors of a block that are compared at once.
+STEP = 256
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -49,8 +57,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _keys(vecs: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """(pass, label, dim, key, row, vec): a row for each vector and pass."""
+def passes_for(n, threshold: float, window: int, recall: float = RECALL):
+    """Passes (a column) after which a pair at the threshold has met in a window with
+    probability ``recall`` among ``n`` (a column) evenly spread vectors."""
+    same = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    meets = F.pow(F.lit(same), F.greatest(F.log2(n / F.lit(float(window))), F.lit(0.0)))
+    needed = F.ceil(F.lit(math.log(1 - recall)) / F.log1p(-F.least(meets, F.lit(0.9))))
+    return F.when(n <= window + 1, 1).otherwise(needed).cast("int")
+
+
+def _with_passes(vecs: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
+    """(row, label, vec, passes): passes by the number of vectors that are compared."""
+    vecs = vecs.select("row", "label", "vec", F.size("vec").alias("dim"))
+    sizes = vecs.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("label", "dim", passes_for(F.col("n"), threshold, window, recall)
+                         .alias("passes"))
+    return vecs.join(sizes, ["label", "dim"]).select("row", "label", "vec", "passes")
+
+
+def _keys(vecs: DataFrame, bits: int, seed: int) -> DataFrame:
+    """(pass, label, dim, key, row, vec): a row for each vector and each of its passes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
@@ -58,9 +84,11 @@ def _keys(vecs: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
                 part = b.slice(lo, BLOCK)
                 sizes = part.column(2).value_lengths().to_numpy()
                 for d in np.unique(sizes):
-                    own = part.filter(pa.array(sizes == d))
-                    x = _matrix(own.column(2))
-                    for k in range(passes):
+                    every = part.filter(pa.array(sizes == d))
+                    wanted = every.column(3).to_numpy()
+                    for k in range(wanted.max()):
+                        own = every.filter(pa.array(wanted > k))
+                        x = _matrix(own.column(2))
                         if (k, d) not in planes:
                             planes[k, d] = np.random.default_rng([seed, k, d]).normal(
                                 size=(d, bits))
@@ -73,39 +101,65 @@ def _keys(vecs: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
                              own.column(0), own.column(2)],
                             names=["pass", "label", "dim", "key", "row", "vec"])
 
-    return vecs.select("row", "label", "vec").mapInArrow(
+    return vecs.select("row", "label", "vec", "passes").mapInArrow(
         run, "pass int, label string, dim int, key binary, row long, vec array<double>")
 
 
 def _windows(sorted_rows: DataFrame, window: int, threshold: float) -> DataFrame:
     """(a, b) links between neighbours; every block also holds the ``window``
-    rows before it, so no border hides a pair."""
+    rows before it, so no border hides a pair.  A block gives the links that connect
+    its rows, at most one for each row."""
     block = F.col("idx") - F.col("idx") % BLOCK
-    blocks = F.when(F.col("idx") % BLOCK >= BLOCK - window,
-                    F.array(block, block + BLOCK)).otherwise(F.array(block))
-    spread = sorted_rows.withColumn("block", F.explode(blocks))
+    after = F.col("idx") + window
+    spread = sorted_rows.withColumn(
+        "block", F.explode(F.sequence(block, after - after % BLOCK, F.lit(BLOCK).cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for t in _groups(batches, "block"):
-            rows = t["row"].combine_chunks().to_numpy()
-            same = [t[c].combine_chunks().dictionary_encode().indices.to_numpy()
-                    for c in ("pass", "label", "dim")]
-            group = (same[0] * (same[1].max() + 1) + same[1]) * (same[2].max() + 1) + same[2]
+            rows, idx, dim = (t[c].combine_chunks().to_numpy() for c in ("row", "idx", "dim"))
+            first = t["block"][0].as_py()
+            same = [t[c].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+                    for c in ("pass", "label")]
+            group = same[0] * (same[1].max() + 1) + same[1]
             vec = t["vec"].combine_chunks()
-            for g in np.unique(group):
-                at = np.flatnonzero(group == g)
-                x = _matrix(vec.take(pa.array(at)))
-                for gap in range(1, min(window, len(at) - 1) + 1):
-                    cos = np.einsum("ij,ij->i", x[:-gap], x[gap:])
-                    hit = np.flatnonzero(cos >= threshold)
-                    if len(hit):
-                        yield out(schema, rows[at[hit]], rows[at[hit + gap]])
+            for d in np.unique(dim):
+                at = np.flatnonzero(dim == d)
+                x, place, g = _matrix(vec.take(pa.array(at))), idx[at], group[at]
+                a, b = [], []
+                for lo in range(int(np.searchsorted(place, first)), len(at), STEP):
+                    hi = min(lo + STEP, len(at))
+                    low = int(np.searchsorted(place, place[lo] - window))
+                    gap = place[lo:hi, None] - place[None, low:hi]
+                    hit = ((x[lo:hi] @ x[low:hi].T >= threshold) & (gap > 0) & (gap <= window)
+                           & (g[lo:hi, None] == g[None, low:hi]))
+                    i, j = np.nonzero(hit)
+                    a.append(j + low)
+                    b.append(i + lo)
+                if a:
+                    root = _connect(len(at), np.concatenate(a), np.concatenate(b))
+                    tied = np.flatnonzero(root != np.arange(len(at)))
+                    if len(tied):
+                        yield out(schema, rows[at[root[tied]]], rows[at[tied]])
 
     return (spread.repartition("block").sortWithinPartitions("block", "idx")
             .mapInArrow(run, "a long, b long"))
 
 
+def _connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0..n-1 that each is connected with by the links a-b."""
+    root = np.arange(n)
+    while True:
+        u, v = root[a], root[b]
+        open_ = u != v
+        if not open_.any():
+            return root
+        a, b, u, v = a[open_], b[open_], u[open_], v[open_]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (up := root[root]).tolist() != root.tolist():
+            root = up
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of equal ``key`` from batches sorted by it; one group in memory."""
     held: list[pa.RecordBatch] = []
@@ -168,7 +222,7 @@ def _count(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def near_dedup(df: DataFrame, id_col: str, vec_col: str, label_col: str,
-               threshold: float = 0.93, passes: int = PASSES, bits: int = BITS,
+               threshold: float = 0.93, recall: float = RECALL, bits: int = BITS,
                window: int = WINDOW, seed: int = 17) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
@@ -181,7 +235,7 @@ def near_dedup(df: DataFrame, id_col: str, vec_col: str, label_col: str,
     from cataloom.operators.util import with_index
     vecs = written(vectors(df, id_col, vec_col, label_col), "vectors")
     usable = vecs.filter("vec is not null")
-    keyed = _keys(usable, passes, bits, seed)
+    keyed = _keys(_with_passes(usable, threshold, window, recall), bits, seed)
     order = with_index(keyed, ["pass", "label", "dim", "key", "row"])
     comp = components(_windows(order, window, threshold).distinct())
     members = usable.join(comp, usable.row == comp.node).select("root", "row", "id", "vec")

@@ -119,6 +119,21 @@ def test_near_vectors(spark, monkeypatch):
     assert embedding_dedup.near_dedup(df.limit(0), "vec_id", "embedding", "label").count() == 0
 
 
+def test_near_vectors_recall(spark):
+    """The passes follow the size of a label: isolated pairs at the threshold are found."""
+    rng = np.random.default_rng(5)
+    a, e = rng.normal(size=(2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e -= (e * a).sum(axis=1, keepdims=True) * a
+    b = 0.931 * a + (1 - 0.931 ** 2) ** 0.5 * e / np.linalg.norm(e, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([a, b]))], "id long, v array<double>, label int")
+    got = embedding_dedup.near_dedup(df, "id", "v", "label", 0.93, window=1).collect()
+    assert len(got) == 4000 and sum(r.n_links == 1 and r.component_id == r.id % 2000 for r in got) >= 0.99 * 4000
+    n = spark.createDataFrame([(2,), (257,), (10**4,), (10**6,), (10**7,)], "n long")
+    passes = [r[0] for r in n.select(embedding_dedup.passes_for(n.n, 0.93, 256)).collect()]
+    assert passes[:2] == [1, 1] and passes == sorted(passes) and passes[-1] > 2 * passes[2]
+
+
 # --- 6 quality, 10 language -----------------------------------------------------------------
 
 def test_quality_held_out(spark):
