@@ -11,6 +11,9 @@ The number of passes follows the size of the label: a pair at the threshold
 differs in a random bit with probability acos(threshold) / pi and meets in a
 window when it agrees in the log2(n / window) bits that lead there, so the
 passes for a wanted recall are known (for evenly spread vectors).
+
+Equal vectors of a label are compared as one: copies take one place in the order
+and count by their number.
 """
 
 from __future__ import annotations
@@ -37,8 +40,9 @@ STEP = 256
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(row, id, label, vec): unit vectors in double precision; vec is null for rows that
-    link with nothing (null, empty, zero or non-finite vectors, null labels)."""
+    """(row, id, label, vec, same): unit vectors in double precision; vec is null for rows
+    that link with nothing (null, empty, zero or non-finite vectors, null labels).  ``same``
+    is a 128-bit digest of label and vector, in two parts; that of a row without is its own."""
     src = df.select(df[id_col].alias("id"), df[label_col].cast("string").alias("label"),
                     df[vec_col].cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
@@ -50,7 +54,11 @@ def vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFra
     return (src.withColumn("s", F.when(ok, scaled))
             .select("id", "label", F.when(F.col("s").isNotNull(),
                                           F.transform("s", lambda x: x / norm)).alias("vec"))
-            .withColumn("row", F.monotonically_increasing_id()))
+            .withColumn("row", F.monotonically_increasing_id())
+            .withColumn("same", F.when(F.col("vec").isNull(), F.struct(
+                F.col("row").alias("h"), F.lit(0).cast("long").alias("k"))).otherwise(F.struct(
+                    F.xxhash64("label", "vec").alias("h"),
+                    F.xxhash64(F.lit("same"), "vec", "label").alias("k")))))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -180,44 +188,50 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _links(members: DataFrame, threshold: float) -> DataFrame:
-    """members (root, row, vec) -> (row, links): exact link counts inside each component,
-    as partial sums of block pairs; no pair is ever a row."""
+    """members (root, row, vec, n) -> (row, links): exact counts of the linked vectors inside
+    each component, ``n`` copies each and without the own ones, as partial sums of block
+    pairs; no pair is ever a row."""
     sizes = members.groupBy("root").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb"))
     # a block meets every block of its component; many small components share a task
     m = (members.join(sizes, "root")
          .withColumn("own", F.pmod(F.xxhash64("row"), F.col("nb")).cast("int"))
          .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-         .select("root", "row", "vec", "own", F.least("own", "other").alias("i"),
+         .select("root", "row", "vec", "n", "own", F.least("own", "other").alias("i"),
                  F.greatest("own", "other").alias("j")))
     m = m.withColumn("pair", F.xxhash64("root", "i", "j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("row", pa.int64()), ("links", pa.int64())])
         for t in _groups(batches, "pair"):
-            root, rows, own, i, j = (t[c].combine_chunks().to_numpy()
-                                     for c in ("root", "row", "own", "i", "j"))
+            root, rows, n, own, i, j = (t[c].combine_chunks().to_numpy()
+                                        for c in ("root", "row", "n", "own", "i", "j"))
             vec = t["vec"].combine_chunks()
             for key in sorted(set(zip(root.tolist(), i.tolist(), j.tolist()))):
                 at = np.flatnonzero((root == key[0]) & (i == key[1]) & (j == key[2]))
                 if key[1] == key[2]:
                     x = _matrix(vec.take(pa.array(at)))
-                    yield out(schema, rows[at], _count(x, x, threshold) - 1)
+                    yield out(schema, rows[at], _count(x, x, n[at], threshold, True))
                 else:
                     a, b = at[own[at] == key[1]], at[own[at] == key[2]]
                     x, y = _matrix(vec.take(pa.array(a))), _matrix(vec.take(pa.array(b)))
                     if len(a) and len(b):
-                        yield out(schema, rows[a], _count(x, y, threshold))
-                        yield out(schema, rows[b], _count(y, x, threshold))
+                        yield out(schema, rows[a], _count(x, y, n[b], threshold))
+                        yield out(schema, rows[b], _count(y, x, n[a], threshold))
 
     return (m.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "row long, links long")
             .groupBy("row").agg(F.sum("links").alias("links")))
 
 
-def _count(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+def _count(x: np.ndarray, y: np.ndarray, copies: np.ndarray, threshold: float,
+           itself: bool = False) -> np.ndarray:
+    """For each of x the copies of those of y that link; ``itself``: x is y, none with itself."""
     n = np.zeros(len(x), np.int64)
     for lo in range(0, len(x), 256):
-        n[lo:lo + 256] = (x[lo:lo + 256] @ y.T >= threshold).sum(axis=1)
+        hit = x[lo:lo + 256] @ y.T >= threshold
+        if itself:
+            hit[np.arange(len(hit)), lo + np.arange(len(hit))] = False
+        n[lo:lo + 256] = np.where(hit, copies, 0).sum(axis=1)
     return n
 
 
@@ -235,16 +249,23 @@ def near_dedup(df: DataFrame, id_col: str, vec_col: str, label_col: str,
     from cataloom.operators.util import with_index
     vecs = written(vectors(df, id_col, vec_col, label_col), "vectors")
     usable = vecs.filter("vec is not null")
-    keyed = _keys(_with_passes(usable, threshold, window, recall), bits, seed)
+    copies = usable.groupBy("same").agg(F.min("row").alias("row"), F.min("id").alias("low"),
+                                        F.count(F.lit(1)).alias("n"))
+    # one vector for each group of equal ones, known by its first row
+    single = written(usable.select("row", "label", "vec").join(copies, "row"), "distinct-vectors")
+    keyed = _keys(_with_passes(single, threshold, window, recall), bits, seed)
     order = with_index(keyed, ["pass", "label", "dim", "key", "row"])
     comp = components(_windows(order, window, threshold).distinct())
-    members = usable.join(comp, usable.row == comp.node).select("root", "row", "id", "vec")
-    low = comp.join(vecs.select("row", "id"), F.col("node") == F.col("row")).groupBy("root").agg(
-        F.min("id").alias("low"))
-    links = _links(members.select("root", "row", "vec"), threshold)
+    members = single.join(comp, single.row == comp.node).select("root", "row", "vec", "n", "low")
+    low = members.groupBy("root").agg(F.min("low").alias("all_low"))
+    links = _links(members.select("root", "row", "vec", "n"), threshold)
     found = comp.join(low, "root").join(links, F.col("node") == F.col("row")).select(
-        "node", "low", "links")
-    return (vecs.select("row", "id").join(found, F.col("row") == F.col("node"), "left")
+        "node", "all_low", "links")
+    groups = (single.select("row", "same", "n", "low")
+              .join(found, F.col("row") == F.col("node"), "left")
+              .select("same", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+                      F.coalesce("all_low", "low").alias("low")))
+    return (vecs.select("id", "same").join(groups, "same", "left")
             .select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("low", "id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))))

@@ -134,6 +134,23 @@ def test_near_vectors_recall(spark):
     assert passes[:2] == [1, 1] and passes == sorted(passes) and passes[-1] > 2 * passes[2]
 
 
+def test_near_vectors_copies(spark):
+    """Groups of copies find a near group of copies: they take one place in the order."""
+    rng = np.random.default_rng(6)
+    a, e = rng.normal(size=(2, 400, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e -= (e * a).sum(axis=1, keepdims=True) * a
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    both = np.concatenate([a, 0.94 * a + (1 - 0.94 ** 2) ** 0.5 * e])
+    link = both @ both.T >= 0.93
+    rows = [(int(c) * 800 + i, v.tolist(), 0) for c in range(30) for i, v in enumerate(both)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    got = {r.id: r for r in embedding_dedup.near_dedup(df, "id", "v", "label", 0.93).collect()}
+    assert len(got) == len(rows)
+    hits = sum(r.n_links == 30 * link[i % 800].sum() - 1 for i, r in got.items())
+    assert hits >= 0.998 * len(rows) and sum(r.component_id <= i % 400 for i, r in got.items()) >= 0.998 * len(rows)
+
+
 # --- 6 quality, 10 language -----------------------------------------------------------------
 
 def test_quality_held_out(spark):
