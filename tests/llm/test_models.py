@@ -206,6 +206,22 @@ def test_language_edges(spark):
     assert model.predict([far])[0][3] and not model.predict(["alpha beta gamma"])[0][3]
 
 
+def test_language_model_of_any_size(spark):
+    """Beyond the broadcast bound the model is whole: same predictions, rare languages too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").filter("doc_id % 4 = 0")
+    docs = docs.unionByName(spark.createDataFrame([(5001, "xx", "ωχψ ξζθ ωχξ"), (5002, None, "ωχψ ξζ"), (None, None, "42"), (5001, "xx", "ωχψ ξζθ ωχξ")], docs.schema))
+    whole, tables = langid.fit(docs, "lang", "text"), langid.fit(docs, "lang", "text", max_grams=100)
+    assert whole.langs == tables.langs and "xx" in tables.langs
+    assert all(abs(np.subtract(tables.limits[k], whole.limits[k])).max() < 1e-3 for k in whole.limits)
+    order = ["lang_pred", "bits"]
+    a, b = (langid.score_documents(docs, "doc_id", "text", m).fillna(-1, ["id"]).orderBy("id", *order).collect() for m in (whole, tables))
+    assert len(a) == len(b) == docs.count()
+    assert all((x.id, x.lang_pred, x.rejected) == (y.id, y.lang_pred, y.rejected) and abs(x.score - y.score) < 1e-3 and abs(x.bits - y.bits) < 1e-3
+               for x, y in zip(a, b))
+    kept = langid.keep_identified(docs, "text", tables)
+    assert kept.columns == docs.columns and kept.count() == langid.keep_identified(docs, "text", whole).count()
+
+
 # --- registered queries and the pipeline ------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
