@@ -222,6 +222,20 @@ def test_language_model_of_any_size(spark):
     assert kept.columns == docs.columns and kept.count() == langid.keep_identified(docs, "text", whole).count()
 
 
+def test_language_limits(spark, monkeypatch):
+    """Every language has a limit, however rare; a group of copies is one text of the sample."""
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 20)
+    rows = [("aa", f"the cat sat on mat {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)] + [("aa", "the cat sat")] * 300
+    rows += [("bb", f"ωχψ ξζθ {c}") for c in "αβγ"] + [("cc", "the cat sat"), ("cc", None), ("cc", "12")]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.fit(train, "lang", "text")
+    assert sorted(model.limits) == model.langs == ["aa", "bb", "cc"]
+    assert model.predict(["ЖЩЮ ЙЪ " * 60])[0][3]
+    sample = Counter((r.lang, r.text) for r in langid.calibration_sample(train, 20).collect())
+    per = Counter(k[0] for k in sample)
+    assert max(sample.values()) == 1 and per["bb"] == 3 and per["cc"] == 1 and 5 <= per["aa"] <= 40
+
+
 # --- registered queries and the pipeline ------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
