@@ -99,13 +99,16 @@ def fit_vectors(docs: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EP
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
         rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Fit on at most about ``rows`` labelled documents.  Null labels and ids are
-    ignored; without both labels the model is a constant."""
+    ignored; of rows with one id one counts, that with the smallest text hash; without
+    both labels the model is a constant."""
     own = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
            .select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("label"))
            .dropDuplicates(["i"]))
     # at most about ``rows`` rows of 12 bytes, by construction
     own = F.broadcast(hash_sample(own, ["i"], rows))
     src = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(own, "i")
+    src = src.groupBy("i").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("d")
+                               ).select("d.text", "d.label")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("label", pa.int32()), ("h", pa.int64()),
@@ -126,9 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         seen = []
         for b in batches:
             for i in range(b.num_rows):
-                if len(seen) < 2 * rows:  # repeated ids could join more
-                    seen.append((b.column(0)[i].as_py(), np.asarray(b.column(2)[i].values),
-                                 np.asarray(b.column(3)[i].values)))
+                seen.append((b.column(0)[i].as_py(), np.asarray(b.column(2)[i].values),
+                             np.asarray(b.column(3)[i].values)))
         classes = {s[0] for s in seen}
         if len(classes) == 2:
             value, bias = fit_vectors(seen)

@@ -171,6 +171,17 @@ def test_quality_edges(spark):
     assert quality.keep_good(small(spark), "text", model, 0.0).count() == len(SMALL)
 
 
+def test_quality_repeated_ids(spark):
+    """Repeated rows of an id count once and cut no label off."""
+    rows = [(i, f"good words here {i}" if i % 2 else f"junk junk junk {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality.fit(docs, labels, "doc_id", "text", "quality", rows=40)
+    many = docs.unionByName(docs).unionByName(docs).unionByName(docs.filter("doc_id = 2").crossJoin(spark.range(100)).drop("id"))
+    value, bias = quality.fit(many, labels, "doc_id", "text", "quality", rows=40)
+    assert np.array_equal(value, once[0]) and bias == once[1] and value.any()
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["the cat sat on the mat", "a dog ran", "the the the"]
     grams, _ = langid.grams_of(texts)
