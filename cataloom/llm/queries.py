@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import (best_fit, embedding_dedup, exact_dedup, html_text, langid, line_dedup,
-                          ngram_join, quality, sentencepiece_codec, url_filter)
+from cataloom.llm import (best_fit, block_search, divergence, embedding_dedup, exact_dedup,
+                          hard_negatives, html_text, langid, line_dedup, ngram_join, quality,
+                          sentencepiece_codec, url_filter)
 from cataloom.llm.common import held_out, table
 
 #: Rules of the URL query: verdict, host, path.
@@ -17,6 +18,7 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"),
 COSINE = 0.93
 GOOD = 0.3
 LINE_DOCUMENTS = 10
+AUDIT_DOCUMENTS = 10
 
 
 def tokens() -> dict:
@@ -101,9 +103,27 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rejected")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, "vec_id", "embedding", label, F.col("vec_id") % 50 == 0
+                               ).drop("label")
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return block_search.nearest(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "text", "lang", "source")
+    return divergence.audit(docs, "text", "lang", "source", AUDIT_DOCUMENTS)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_url_filter, op3_best_fit, op4_html_text, op5_embedding_dedup,
-    op6_quality, op7_line_dedup, op8_exact_dedup, op9_ngram_join, op10_langid)}
+    op6_quality, op7_line_dedup, op8_exact_dedup, op9_ngram_join, op10_langid,
+    op11_hard_negatives, op12_nearest, op13_divergence)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
@@ -140,4 +160,59 @@ WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM d JOIN g USING (text_sha256)""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+           FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+            AND list_count(embedding) = len(embedding)
+            AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+a AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
+             CAST(list_dot_product(a.x, v.x) AS BIGINT) AS score
+      FROM a JOIN v ON a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3""",
+    "op12_nearest": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND list_count(embedding) = len(embedding)
+             AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.x, v.x) AS score
+      FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM d
+WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id)
+QUALIFY row_number() OVER w <= 10""",
+    "op13_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang,
+                  coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all({_LOWER.format('text')},
+             '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY ALL
+      HAVING count(DISTINCT i) >= {AUDIT_DOCUMENTS}),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+        CAST(1 + (1000000000 * CAST(coalesce(n, 0) + 2 AS HUGEINT)) // (total + 2 * v) AS BIGINT) AS p,
+        CAST(1 + (1000000000 * CAST(lang_n + 2 AS HUGEINT)) // (lang_total + 2 * v) AS BIGINT) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item,
+             CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+      FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p
+      WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM r
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER w <= 10""",
 }
