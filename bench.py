@@ -34,6 +34,7 @@ def build(spark, sf):
 
     from cataloom.operators import catalog as cat
     from cataloom.operators import chunk, knn, lineage, search, series
+    from cataloom.operators.gram_index import GramIndex
     from cataloom.plans import ask, sync
     from cataloom.queries import question_frame, store_frame, t
     from cataloom.session import scratch_path
@@ -54,14 +55,12 @@ def build(spark, sf):
     built = {}
 
     def exact_topk_indexed():
-        # the token index is built once (kept in the checkpoint folder), as a
-        # store would keep it next to its data; the timed part is the query
+        # the index is built once, as a store would keep it next to its data; the timed
+        # part is the query
         if "idx" not in built:
-            from cataloom.operators.util import cut_lineage
-            idx = cut_lineage(search.token_index(store_frame(spark, sf)))
-            built["idx"], built["df"] = idx, cut_lineage(search.token_doc_freq(idx))
-        return search.exact_topk_indexed(store_frame(spark, sf), question_frame(spark, sf), built["idx"],
-                                         k=3, mode="raw", doc_freq=built["df"])
+            built["idx"] = GramIndex(spark, scratch_path(spark, "gram-index"))
+            built["idx"].append(store_frame(spark, sf))
+        return built["idx"].topk(store_frame(spark, sf), question_frame(spark, sf), k=3, mode="raw")
 
     def hybrid_retrieve():
         return ask.hybrid_retrieve(store_frame(spark, sf), question_frame(spark, sf), **ask.ASK)

@@ -4,12 +4,11 @@
   column (the reference's CROSS JOIN with a one-row query), the distance a
   JVM expression, and ``orderBy().limit(k)`` becomes TakeOrderedAndProject -
   one pass, k rows per partition, no shuffle of the store.
-* many query vectors (``knn_batch``): ``mapInPandas`` over store partitions
-  with the question matrix broadcast (size checked; larger question sets
-  are split into bounded blocks).  Each task does a BLAS matmul per Arrow
-  batch and keeps only its local top-k per question (ties kept exactly), so
-  the shuffle before the final ``row_number() <= k`` carries at most
-  k rows per (task, question) - never all pairs.
+* many query vectors (``knn_batch``): question tiles and store tiles meet in
+  tasks (``blocks``); each task does a BLAS matmul per pair of tiles and keeps
+  only its local top-k per question (ties kept exactly), so the shuffle before
+  the final ``row_number() <= k`` carries at most k rows per (task, question) -
+  never all pairs.
 """
 
 from __future__ import annotations
@@ -18,18 +17,21 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cataloom.functions.vector import cosine_distance, neg_inner_product
+from cataloom.operators.blocks import Step, block_join
 from cataloom.operators.search import scope_column
-from cataloom.operators.util import spread, union_all
+from cataloom.operators.util import spread
 
 # Defaults of the reference (ask: cosine k=8 in 1..25; answer: inner k=5 in 1..50).
 COSINE_K, COSINE_K_MAX = 8, 25
 INNER_K, INNER_K_MAX = 5, 50
-# Largest question matrix shipped to the tasks in one broadcast.
+# Most bytes of questions that are broadcast at once.
 QUESTION_BLOCK_BYTES = 32 * 1024 * 1024
 
 
@@ -112,38 +114,63 @@ HIT_SCHEMA = T.StructType([
     T.StructField("dataset_id", T.StringType()),
     T.StructField("pk", T.StringType()),
     T.StructField("distance", T.DoubleType()),
+    T.StructField("k", T.LongType()),
 ])
+_HITS = pa.schema([("qid", pa.int64()), ("dataset_id", pa.string()), ("pk", pa.string()),
+                   ("distance", pa.float64()), ("k", pa.int64())])
 
 
-def _local_topk(pdf: pd.DataFrame, p: dict, metric: str) -> pd.DataFrame:
-    """Candidates of one Arrow batch: per question the rows up to the k-th distance
+class _Questions:
+    """The questions of a batch that have vectors of one length."""
+
+    def __init__(self, batch: pa.RecordBatch, dim: int):
+        own = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), dim))
+        self.Q = _matrix(own.column("embedding"), dim)
+        self.norm = np.sqrt((self.Q * self.Q).sum(axis=1))
+        self.qid = own.column("qid").to_numpy()
+        self.scope = own.column("dataset_id").to_pylist()
+        self.k = own.column("k").to_numpy()
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> list["_Questions"]:
+        dims = pc.unique(pc.list_value_length(batch.column("embedding"))).to_pylist()
+        return [_Questions(batch, d) for d in dims]
+
+
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _local_topk(store: pa.RecordBatch, p: _Questions, metric: str) -> pd.DataFrame:
+    """Candidates of one batch of the store: per question the rows up to the k-th distance
     (all ties at the cut), NULL distances only where fewer than k are left.
     Questions are taken in groups that keep the distance matrix bounded."""
-    n, d = len(pdf), p["Q"].shape[1]
+    n, d = store.num_rows, p.Q.shape[1]
+    vectors = store.column("embedding")
+    ok = pc.fill_null(pc.equal(pc.list_value_length(vectors), d), False).to_numpy(
+        zero_copy_only=False)
     E = np.zeros((n, d), dtype=np.float64)
-    vectors = pdf["embedding"].to_numpy()
-    ok = np.fromiter((v is not None and len(v) == d for v in vectors), bool, n)
-    if ok.any():
-        E[ok] = np.stack(vectors[ok])
+    E[ok] = _matrix(vectors.filter(pa.array(ok)), d)
     en = np.sqrt((E * E).sum(axis=1))
-    ds, pks = pdf["dataset_id"].to_numpy(), pdf["pk"].to_numpy()
+    ds = np.array(store.column("dataset_id").to_pylist(), object)
+    pks = np.array(store.column("pk").to_pylist(), object)
     found = []
     step = max(1, MATRIX_CELLS // n)
-    for lo in range(0, len(p["Q"]), step):
+    for lo in range(0, len(p.Q), step):
         q = slice(lo, lo + step)
-        dots = p["Q"][q] @ E.T                            # questions x rows
+        dots = p.Q[q] @ E.T                               # questions x rows
         if metric == "cosine":
-            denom = p["qn"][q, None] * en[None, :]
+            denom = p.norm[q, None] * en[None, :]
             dist = np.where(denom > 0, 1.0 - dots / np.where(denom > 0, denom, 1.0), np.nan)
         else:
             dist = -dots
         dist[:, ~ok] = np.nan
         open_to = np.ones(dist.shape, bool)
-        for j, scope in enumerate(p["qds"][q]):
+        for j, scope in enumerate(p.scope[q]):
             if scope is not None:
                 open_to[j] = ds == scope
         dist[~open_to] = np.nan
-        k = np.clip(p["qk"][q], 1, n)
+        k = np.clip(p.k[q], 1, n)
         kth = np.partition(dist, np.unique(k) - 1, axis=1)[np.arange(len(k)), k - 1]  # NaN last
         take = dist <= kth[:, None]
         few = np.isnan(kth)
@@ -155,44 +182,40 @@ def _local_topk(pdf: pd.DataFrame, p: dict, metric: str) -> pd.DataFrame:
             take[j] = False
             take[j, at[order]] = True
         j, i = np.nonzero(take)
-        found.append((p["qids"][q][j], ds[i], pks[i], dist[j, i]))
+        found.append((p.qid[q][j], ds[i], pks[i], dist[j, i], p.k[q][j]))
     return pd.DataFrame({c: np.concatenate([f[x] for f in found]) for x, c in
-                         enumerate(("qid", "dataset_id", "pk", "distance"))})
+                         enumerate(HIT_SCHEMA.fieldNames())})
 
 
-def _first_k(hits: pd.DataFrame, qids: np.ndarray, qk: np.ndarray) -> pd.DataFrame:
+def _first_k(hits: pd.DataFrame) -> pd.DataFrame:
     """The k nearest hits of each question, NULL distances last."""
     hits = hits.sort_values(["qid", "distance", "dataset_id", "pk"], na_position="last",
                             kind="mergesort")
-    limit = hits["qid"].map(dict(zip(qids.tolist(), qk.tolist())))
-    return hits[hits.groupby("qid").cumcount() < limit]
-
-
-def _knn_block(store: DataFrame, qpdf: pd.DataFrame, metric: str) -> DataFrame:
-    spark = store.sparkSession
-    Q = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["embedding"]])
-    payload = {
-        "Q": Q, "qn": np.sqrt((Q * Q).sum(axis=1)),
-        "qids": qpdf["qid"].to_numpy(dtype=np.int64),
-        "qds": [None if (x is None or (isinstance(x, float) and math.isnan(x))) else x
-                for x in qpdf["dataset_id"]],
-        "qk": qpdf["k"].to_numpy(dtype=np.int64),
-    }
-    bc = spark.sparkContext.broadcast(payload)
-
-    def run(it):
-        # a running top-k: at most k rows leave a task for each question
-        p = bc.value
-        held, most = [], max(10_000, 4 * int(p["qk"].sum()))
-        for pdf in it:
-            if len(pdf):
-                held.append(_local_topk(pdf, p, metric))
-            if sum(map(len, held)) > most:
-                held = [_first_k(pd.concat(held, ignore_index=True), p["qids"], p["qk"])]
-        if held:
-            yield _first_k(pd.concat(held, ignore_index=True), p["qids"], p["qk"])
-
-    return spread(store.select("dataset_id", "pk", "embedding")).mapInPandas(run, HIT_SCHEMA)
+    return hits[hits.groupby("qid").cumcount() < hits["k"]]
+
+
+class _TopK(Step):
+    """The running top-k of each question in a task: at most k rows leave it."""
+
+    def __init__(self, metric: str):
+        self.metric, self.questions, self.held, self.most = metric, {}, {}, {}
+
+    def add(self, key, left, right):
+        if key not in self.questions:
+            self.questions[key] = _Questions.of(right)
+            self.held[key] = []
+            self.most[key] = max(10_000, 4 * (pc.sum(right.column("k")).as_py() or 0))
+        for p in self.questions[key] if left.num_rows else ():
+            self.held[key].append(_local_topk(left, p, self.metric))
+        if sum(map(len, self.held[key])) > self.most[key]:
+            self.held[key] = [_first_k(pd.concat(self.held[key], ignore_index=True))]
+        return iter(())
+
+    def end(self):
+        for held in self.held.values():
+            if held:
+                hits = _first_k(pd.concat(held, ignore_index=True))
+                yield pa.RecordBatch.from_pandas(hits, schema=_HITS, preserve_index=False)
 
 
 def knn_batch(store: DataFrame, questions: DataFrame, k: int = COSINE_K,
@@ -201,38 +224,22 @@ def knn_batch(store: DataFrame, questions: DataFrame, k: int = COSINE_K,
 
     ``questions``: qid (long), embedding, optional dataset_id (NULL = all) and
     optional per-question k; 'all' and blank scopes mean all, questions without
-    a vector have no hits.  Returns qid, dataset_id, pk, distance, rank."""
+    a vector have no hits.  Vectors of another length than the question's are
+    as far as zero vectors (NULL distance).  Returns qid, dataset_id, pk, distance, rank.
+
+    Question tiles meet the store block by block (``blocks``); the top-k of each task are
+    merged by a ranked window, each question with its own k."""
     cols = set(questions.columns)
     q = questions.select(
-        F.col("qid").cast("long").alias("qid"), "embedding",
+        F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>"),
         scope_column(F.col("dataset_id") if "dataset_id" in cols else F.lit(None)).alias("dataset_id"),
         (F.col("k") if "k" in cols else F.lit(k)).cast("long").alias("k"))
-    q = q.where(F.col("embedding").isNotNull())
-    # Size check before anything is shipped: rows x dims x 8 bytes per block.
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n == 0:
-        return store.sparkSession.createDataFrame(
-            [], T.StructType(HIT_SCHEMA.fields + [T.StructField("rank", T.IntegerType())]))
-    per_block = max(1, block_bytes // max(1, d * 8))
-    n_blocks = max(1, math.ceil(n / per_block))
-    q = q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
-    parts = []
-    for b in range(n_blocks):
-        # one bounded block of questions per broadcast
-        qpdf = q.where(F.col("_blk") == b).drop("_blk").toPandas()
-        if len(qpdf):
-            parts.append(_knn_block(store, qpdf, metric))
-    local = union_all(parts)
+    q = q.where(F.col("embedding").isNotNull() & (F.col("k") > 0))
+    local = block_join(spread(store.select("dataset_id", "pk", "embedding")), q,
+                       lambda: _TopK(metric), HIT_SCHEMA, block_bytes=block_bytes)
     w = Window.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(),
                                           F.col("dataset_id").asc_nulls_last(),
                                           F.col("pk").asc_nulls_last())
-    ranked = local.withColumn("rank", F.row_number().over(w))
-    if "k" not in cols:
-        return ranked.where(F.col("rank") <= k)      # planned as a WindowGroupLimit
-    # per-question k: the local top-k above already used each question's own k
-    kmax = int(q.agg(F.max("k")).first()[0])
-    kq = q.select("qid", F.col("k").alias("_k"))
-    return (ranked.where(F.col("rank") <= kmax)
-            .join(F.broadcast(kq) if n <= 200_000 else kq, "qid")
-            .where(F.col("rank") <= F.col("_k")).drop("_k"))
+    own = F.col("k") if "k" in cols else F.lit(k)      # a constant is planned as a WindowGroupLimit
+    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= own)
+            .drop("k"))

@@ -1,10 +1,8 @@
 """Exact phrase search, hit shaping, ordered merge and the per-hit reports.
 
 Questions are a DataFrame (one row per question), so every operator answers a
-whole batch in one plan.  The substring join is a BroadcastNestedLoopJoin with
-the *question* side broadcast (its size is checked, and larger question sets
-are cut into bounded blocks); the store side streams once per block and is
-lower-cased once per row, not per pair.  Per-question top-k uses
+whole batch in one plan.  All phrases of a bounded block of questions are searched
+in one pass over each text (``phrases``).  Per-question top-k uses
 ``row_number() <= k``, which Spark plans as a WindowGroupLimit before the
 shuffle, so a phrase that matches a third of the store still moves only k
 rows per task.
@@ -12,13 +10,12 @@ rows per task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import normalize_question, preview, significant_tokens
-from cataloom.operators.util import BROADCAST_MAX_BYTES, spread, union_all
+from cataloom.operators.phrases import phrase_join
+from cataloom.operators.util import maybe_broadcast, spread, union_all, written
 
 # Defaults of the reference: exact k 3 in 0..10 (ask), merged cap 10 (ask),
 # max(3, k) (answer); snippet half-width 60.
@@ -26,8 +23,6 @@ EXACT_K, EXACT_K_MAX = 3, 10
 MERGE_CAP = 10
 SNIPPET_SPAN = 60
 NO_ANSWER = "I don't know."
-# Most questions broadcast in one block of the substring join.
-QUESTION_BLOCK_ROWS = 50_000
 
 
 def _c(c) -> Column:
@@ -65,24 +60,10 @@ def _phrase(q: Column, mode: str) -> Column:
     return normalize_question(q) if mode == "normalized" else q
 
 
-def _question_blocks(q: DataFrame, max_rows: int) -> list[DataFrame]:
-    """Blocks of at most about ``max_rows`` questions and BROADCAST_MAX_BYTES of phrases."""
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_phrase")).alias("b")).first()
-    nb = max(math.ceil(size["n"] / max_rows), math.ceil((size["b"] or 0) * 2 / BROADCAST_MAX_BYTES))
-    if nb <= 1:
-        return [q]
-    keyed = q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(nb)))
-    return [keyed.where(F.col("_blk") == b).drop("_blk") for b in range(nb)]
-
-
-def theta_ilike_join(store: DataFrame, questions: DataFrame, mode: str = "normalized",
-                     wildcards: bool = False, max_block_rows: int = QUESTION_BLOCK_ROWS) -> DataFrame:
-    """(qid, store columns...) for every store row that contains the phrase.
-
-    mode ``normalized``: the question is normalised first (ask); ``raw``: used
-    as typed (answer).  ``wildcards=True`` keeps ``%``, ``_`` and ``\\`` live
-    as in ``ILIKE '%' || q || '%'``; the default matches the phrase literally.
-    An empty phrase matches nothing."""
+def _questions(questions: DataFrame, mode: str, wildcards: bool) -> DataFrame:
+    """qid, _phrase, _lphrase (lower case), _wild, _qds and k, if given, of the questions that
+    have a phrase.  ILIKE is lower(a) LIKE lower(b): without a live wildcard it is exactly a
+    substring test on lower-cased text."""
     cols = set(questions.columns)
     q = questions.select(
         "qid",
@@ -90,45 +71,67 @@ def theta_ilike_join(store: DataFrame, questions: DataFrame, mode: str = "normal
         scope_column(F.col("dataset_id") if "dataset_id" in cols else F.lit(None)).alias("_qds"),
         *([F.col("k")] if "k" in cols else []))
     q = q.where(F.col("_phrase").isNotNull() & (F.length("_phrase") > 0))
-    # ILIKE is lower(a) LIKE lower(b): without a live wildcard in the phrase
-    # it is exactly a substring test on lower-cased text, which needs no
-    # per-row pattern compilation.  Only phrases with % _ or \ take the
-    # pattern path (evaluated lazily inside the CASE).
     q = q.withColumn("_lphrase", F.lower("_phrase"))
-    s = spread(store).withColumn("_ltext", F.lower("text_chunk"))
-    literal = F.col("_ltext").contains(F.col("_lphrase"))
     if not wildcards:
-        match = literal
-    else:
-        q = q.withColumn("_wild", F.col("_phrase").rlike(r"[%_\\]"))
-        # a backslash that escapes nothing stands for itself; a run of % is one %
-        q = q.withColumn("_lphrase", F.when(F.col("_wild"), F.regexp_replace(
-            "_lphrase", r"(?<!\\)(?:\\\\)*\\(?![%_\\])", "$0\\\\")).otherwise(F.col("_lphrase")))
-        q = q.withColumn("_lphrase", F.when(F.col("_wild"), F.regexp_replace(
-            "_lphrase", r"(?<!\\)%%+", "%")).otherwise(F.col("_lphrase")))
-        match = F.when(F.col("_wild"), F.expr("_ltext LIKE concat('%', _lphrase, '%')")).otherwise(literal)
-    scope = F.col("_qds").isNull() | (F.col("_qds") == F.col("dataset_id"))
-    parts = [s.join(F.broadcast(b), match & scope) for b in _question_blocks(q, max_block_rows)]
-    out = union_all(parts)
-    return out.drop(*[c for c in ("_ltext", "_lphrase", "_qds", "_wild") if c in out.columns])
+        return q.withColumn("_wild", F.lit(False))
+    q = q.withColumn("_wild", F.col("_phrase").rlike(r"[%_\\]"))
+    # a backslash that escapes nothing stands for itself
+    return q.withColumn("_lphrase", F.when(F.col("_wild"), F.regexp_replace(
+        "_lphrase", r"(?<!\\)(?:\\\\)*\\(?![%_\\])", "$0\\\\")).otherwise(F.col("_lphrase")))
 
 
-def exact_topk(store: DataFrame, questions: DataFrame, k: int = EXACT_K,
+def theta_ilike_join(store: DataFrame, questions: DataFrame, mode: str = "normalized",
+                     wildcards: bool = False) -> DataFrame:
+    """(store columns..., qid, _phrase, k if given) for every store row that contains the phrase.
+
+    mode ``normalized``: the question is normalised first (ask); ``raw``: used
+    as typed (answer).  ``wildcards=True`` keeps ``%``, ``_`` and ``\\`` live
+    as in ``ILIKE '%' || q || '%'``; the default matches the phrase literally.
+    An empty phrase matches nothing.  All questions of a block are searched in one
+    pass over each text (``phrases``)."""
+    s = spread(store).withColumn("_ltext", F.lower("text_chunk"))
+    return phrase_join(s, _questions(questions, mode, wildcards), "_ltext", "_lphrase", "_wild",
+                       "dataset_id", "_qds", drop=("_ltext", "_lphrase", "_wild", "_qds"))
+
+
+def exact_keys(store: DataFrame, questions: DataFrame, k: int = EXACT_K,
                mode: str = "normalized", wildcards: bool = False) -> DataFrame:
-    """First k matching rows per question ordered by pk (then dataset_id),
-    distance 0.  ``k = 0`` returns nothing.  Output: qid, dataset_id, pk,
-    text_chunk, distance, rank."""
-    if k <= 0 and "k" not in questions.columns:
-        return theta_ilike_join(store, questions, mode, wildcards).limit(0).select(
-            "qid", "dataset_id", "pk", "text_chunk",
-            F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
-    hits = theta_ilike_join(store, questions, mode, wildcards)
+    """qid, dataset_id, pk, distance, rank of ``exact_topk``: texts are read, not carried."""
+    s = spread(store.select("dataset_id", "pk", "text_chunk")).select(
+        "dataset_id", "pk", F.lower("text_chunk").alias("_ltext"))
+    hits = phrase_join(s, _questions(questions, mode, wildcards), "_ltext", "_lphrase", "_wild",
+                       "dataset_id", "_qds", drop=("_ltext", "_phrase", "_lphrase", "_wild", "_qds"))
+    return _first_by_key(hits, k)
+
+
+def _first_by_key(hits: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each question by (pk, dataset_id), distance 0; a column k of the
+    hits holds instead.  The limit is applied in each task before the shuffle."""
     w = Window.partitionBy("qid").orderBy(F.col("pk").asc_nulls_last(),
                                           F.col("dataset_id").asc_nulls_last())
     ranked = hits.withColumn("rank", F.row_number().over(w))
     ranked = ranked.where(F.col("rank") <= (F.col("k") if "k" in hits.columns else F.lit(k)))
-    return ranked.select("qid", "dataset_id", "pk", "text_chunk",
-                         F.lit(0.0).alias("distance"), "rank")
+    return ranked.withColumn("distance", F.lit(0.0)).drop("k")
+
+
+def with_text(keys: DataFrame, store: DataFrame) -> DataFrame:
+    """Hit keys with their ``text_chunk``.  The keys are written first, so their size is known:
+    small ones are broadcast and the texts are read once in place, others are joined by
+    shuffle."""
+    keys = written(keys, "hit-keys")
+    return (store.select("dataset_id", "pk", "text_chunk")
+            .join(maybe_broadcast(keys), ["dataset_id", "pk"])
+            .select("qid", "dataset_id", "pk", "text_chunk",
+                    *[c for c in keys.columns if c not in ("qid", "dataset_id", "pk")]))
+
+
+def exact_topk(store: DataFrame, questions: DataFrame, k: int = EXACT_K,
+               mode: str = "normalized", wildcards: bool = False) -> DataFrame:
+    """First k matching rows per question ordered by pk (then dataset_id),
+    distance 0.  ``k = 0`` returns nothing.  (dataset_id, pk) is the key of the store.
+    Output: qid, dataset_id, pk, text_chunk, distance, rank."""
+    keys = exact_keys(store, questions, max(0, k), mode, wildcards)
+    return with_text(keys, store).select("qid", "dataset_id", "pk", "text_chunk", "distance", "rank")
 
 
 # --- #52 shape_hits ---------------------------------------------------------------
@@ -218,76 +221,3 @@ def unanswered(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Questions with no hit at all, with the fixed answer."""
     return (questions.select("qid").join(hits.select("qid").distinct(), "qid", "left_anti")
             .withColumn("answer", F.lit(NO_ANSWER)))
-
-
-# --- indexed exact search ------------------------------------------------------------
-
-# Whitespace split shared by the index and the questions (same classes on both
-# sides keeps the prefilter exact).
-WS_SPLIT = r"(?U)\s+"
-
-
-def token_index(store: DataFrame) -> DataFrame:
-    """(dataset_id, pk, token): the distinct whitespace-delimited lower-case
-    tokens of every chunk.  Built once (a full pass over the text) and kept as
-    a table next to the store; every later question batch probes it."""
-    toks = F.array_distinct(F.split(F.lower("text_chunk"), WS_SPLIT))
-    return (store.select("dataset_id", "pk", F.explode(toks).alias("token"))
-            .where(F.col("token") != ""))
-
-
-def token_doc_freq(index: DataFrame) -> DataFrame:
-    """(token, df): in how many chunks a token occurs (partial counts per task)."""
-    return index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-
-def exact_topk_indexed(store: DataFrame, questions: DataFrame, index: DataFrame, k: int = EXACT_K,
-                       mode: str = "normalized", doc_freq: DataFrame | None = None) -> DataFrame:
-    """Same result as ``exact_topk`` (literal matching), without testing every
-    (question, chunk) pair.
-
-    If a phrase occurs in a text, each of its *interior* tokens (whitespace
-    on both sides inside the phrase) occurs there as a whole whitespace-
-    delimited token.  So each question probes the index with its rarest
-    interior token; only those candidate chunks are read and verified with the
-    same substring test, in one pass over the store joined to the candidate
-    list (broadcast while its counted size is small, else a shuffle join).
-    Phrases without an interior token (one or two words) use the nested-loop
-    path.  A ``k`` column of the questions holds as in ``exact_topk``."""
-    from cataloom.operators.util import cut_lineage, maybe_broadcast
-    cols = set(questions.columns)
-    q = questions.select(
-        "qid", _phrase(F.col("question"), mode).alias("_phrase"),
-        scope_column(F.col("dataset_id") if "dataset_id" in cols else F.lit(None)).alias("_qds"))
-    q = q.where(F.col("_phrase").isNotNull() & (F.length("_phrase") > 0)) \
-         .withColumn("_lphrase", F.lower("_phrase"))
-    parts = F.split(F.col("_lphrase"), WS_SPLIT)
-    toks = q.select("qid", F.size(parts).alias("_n"), F.posexplode(parts).alias("_pos", "token"))
-    interior = toks.where((F.col("_pos") > 0) & (F.col("_pos") < F.col("_n") - 1) & (F.col("token") != ""))
-    dfreq = doc_freq if doc_freq is not None else token_doc_freq(index)
-    # a question whose interior token is in no chunk has no candidate at all
-    rare = cut_lineage(interior.join(dfreq, "token").groupBy("qid")        # one row per question
-                       .agg(F.min_by("token", F.struct("df", "token")).alias("token")))
-    probe = q.join(rare, "qid").select("qid", "token", "_qds")
-    # candidate keys only (about 50 bytes a row): the phrase text is joined
-    # later from the question side, so the broadcast never repeats it
-    cand = (index.join(maybe_broadcast(probe), "token")
-            .where(F.col("_qds").isNull() | (F.col("_qds") == F.col("dataset_id")))
-            .select("qid", "dataset_id", "pk"))
-    cand = cut_lineage(cand)
-    short_q = q.join(interior.select("qid").distinct(), "qid", "left_anti")
-    phrases = q.join(rare.select("qid"), "qid", "left_semi").select("qid", "_lphrase")
-    verified = (store.select("dataset_id", "pk", "text_chunk")
-                .join(maybe_broadcast(cand), ["dataset_id", "pk"])
-                .join(phrases, "qid")
-                .where(F.lower("text_chunk").contains(F.col("_lphrase")))
-                .select("qid", "dataset_id", "pk", "text_chunk"))
-    short_q_in = questions.join(short_q.select("qid"), "qid", "left_semi")
-    nested = theta_ilike_join(store, short_q_in, mode).select("qid", "dataset_id", "pk", "text_chunk")
-    hits = verified.unionByName(nested)
-    w = Window.partitionBy("qid").orderBy(F.col("pk").asc_nulls_last(), F.col("dataset_id").asc_nulls_last())
-    limit = F.lit(k)
-    if "k" in cols:
-        hits, limit = hits.join(questions.select("qid", "k"), "qid"), F.col("k")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    return ranked.select("qid", "dataset_id", "pk", "text_chunk", F.lit(0.0).alias("distance"), "rank")

@@ -1,10 +1,9 @@
 """Hybrid retrieval for a batch of questions: exact phrase hits plus vector
 nearest neighbours, shaped, merged in order, de-duplicated and capped.
 
-The two halves are independent plans over the same store and are unioned
-before one shuffle on qid (merge + rank).  Semantic hits carry only keys out
-of the Python tasks; their text comes back through a broadcast hash join of
-the (bounded: questions x k) hit list with the store.
+The two halves are independent plans over the same store that yield keys only;
+they are merged and capped, and the texts of the few remaining hits are read at
+the end in one join with the store (``search.with_text``).
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from cataloom.operators import knn, search
 from cataloom.operators.embed import embed_text
 from cataloom.operators.util import cut_lineage
 
-HIT_KEYS_BROADCAST_ROWS = 1_000_000
-
 ASK = dict(k=knn.COSINE_K, k_exact=search.EXACT_K, cap=search.MERGE_CAP, metric="cosine",
            order="semantic_first", exact_mode="normalized", wildcards=False, style="ask")
 
@@ -32,18 +29,9 @@ def answer_settings(k: int = knn.INNER_K) -> dict:
                 exact_mode="raw", wildcards=True, style="answer")
 
 
-def semantic_hits(store: DataFrame, questions: DataFrame, k: int, metric: str) -> DataFrame:
-    # a question without a vector has no semantic half
-    questions = questions.where(F.col("embedding").isNotNull())
-    keys = knn.knn_batch(store, questions, k=k, metric=metric)
-    own = F.col("k") if "k" in questions.columns else F.lit(k)
-    most = questions.agg(F.sum(own.cast("long")).alias("n")).first()["n"] or 0
-    # hit keys are ~60 bytes a row: up to a million rows are broadcast, so the
-    # store's text is read once and never shuffled; beyond that a shuffle join
-    keys_side = F.broadcast(keys) if most <= HIT_KEYS_BROADCAST_ROWS else keys
-    text = store.select("dataset_id", "pk", "text_chunk")
-    return text.join(keys_side, ["dataset_id", "pk"]).select(
-        "qid", "dataset_id", "pk", "text_chunk", "distance", "rank")
+def semantic_keys(store: DataFrame, questions: DataFrame, k: int, metric: str) -> DataFrame:
+    """Hit keys of the questions that have a vector."""
+    return knn.knn_batch(store, questions.where(F.col("embedding").isNotNull()), k=k, metric=metric)
 
 
 def embed_questions(questions: DataFrame, dims: int = 64,
@@ -68,25 +56,23 @@ def hybrid_retrieve(store: DataFrame, questions: DataFrame, k: int = ASK["k"],
     without an ``embedding`` column are embedded here with ``embedder`` (the one the
     store was embedded with; default: the built-in one of ``dims``); a blank
     question has no vector.
-    ``index``: a token index of the store (``search.token_index``); when given,
-    literal exact search probes it instead of testing every pair."""
+    ``index``: a gram index of the store (``gram_index.GramIndex``); when given,
+    literal exact search probes it instead of reading every text."""
     if "embedding" not in questions.columns:
         questions = embed_questions(questions, dims, embedder)
     k = knn.clamp_k(k, 1, knn.COSINE_K_MAX if style == "ask" else knn.INNER_K_MAX)
     k_exact = max(0, min(search.EXACT_K_MAX if style == "ask" else knn.INNER_K_MAX, int(k_exact)))
-    parts = {}
-    parts["semantic"] = search.shape_hits(semantic_hits(store, questions, k, metric), style)
+    parts = {"semantic": semantic_keys(store, questions, k, metric)}
     if k_exact > 0:
         if index is not None and not wildcards:
-            ex = search.exact_topk_indexed(store, questions, index, k_exact, exact_mode)
+            parts["exact"] = index.topk_keys(store, questions, k_exact, exact_mode)
         else:
-            ex = search.exact_topk(store, questions, k_exact, exact_mode, wildcards)
-        parts["exact"] = search.shape_hits(ex, style)
+            parts["exact"] = search.exact_keys(store, questions, k_exact, exact_mode, wildcards)
     names = ["semantic", "exact"] if order == "semantic_first" else ["exact", "semantic"]
-    ordered = [(n, parts[n]) for n in names if n in parts]
-    merged = search.merge_dedupe(ordered, cap)
-    return merged.select("qid", "rank", "origin", "dataset_id", "pk", "distance",
-                         "preview", "text_chunk")
+    keys = search.merge_dedupe([(n, parts[n].select("qid", "dataset_id", "pk", "distance", "rank"))
+                                for n in names if n in parts], cap)
+    return search.shape_hits(search.with_text(keys, store), style).select(
+        "qid", "rank", "origin", "dataset_id", "pk", "distance", "preview", "text_chunk")
 
 
 def hybrid_answer(store: DataFrame, questions: DataFrame, k: int = knn.INNER_K, **kw) -> DataFrame:

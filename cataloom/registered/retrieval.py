@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cataloom.operators import knn, search
 from cataloom.operators.embed import embed_text
+from cataloom.operators.gram_index import GramIndex
 from cataloom.plans import ask
 from cataloom.queries import (ASK_SQL, IN_SCOPE_SQL, NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL,
                               ask_frame, cos_sql, dot_sql, query, question_frame, r6, store_frame, t)
+from cataloom.session import scratch_path
 
 # Query vector of the single-query searches: the vector of the first
 # benchmark item (vec_id = min(item_id)), read as one row.
@@ -158,15 +160,42 @@ def q_hybrid_answer(spark, sf):
                        "preview")
 
 
-@query("exact_topk_indexed", f"""
-WITH s AS ({STORE_SQL}), q AS ({QUESTIONS_SQL}),
+def _first_hits_sql(asked):
+    return f"""
+WITH s AS ({STORE_SQL}), q AS ({asked}),
 m AS (SELECT q.qid, s.dataset_id, s.pk,
              row_number() OVER (PARTITION BY q.qid ORDER BY s.pk, s.dataset_id) AS rank
-      FROM s JOIN q ON length(q.question) > 0 AND contains(lower(s.text_chunk), lower(q.question)))
-SELECT qid, dataset_id, pk, CAST(0.0 AS DOUBLE) AS distance, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 3""")
+      FROM s JOIN q ON length(q.question) > 0 AND contains(lower(s.text_chunk), lower(q.question)) AND {IN_SCOPE_SQL})
+SELECT qid, dataset_id, pk, CAST(0.0 AS DOUBLE) AS distance, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 3"""
+
+
+@query("exact_topk_indexed", _first_hits_sql(f"SELECT *, NULL AS scope FROM ({QUESTIONS_SQL})"))
 def q_exact_topk_indexed(spark, sf):
-    """exact_topk through the token index (same oracle as exact_topk)."""
+    """exact_topk through the gram index (same oracle as exact_topk)."""
+    store = store_frame(spark, sf)
+    index = GramIndex(spark, scratch_path(spark, "gram-index"))
+    index.append(store)
+    hits = index.topk(store, question_frame(spark, sf), k=3, mode="raw")
+    return hits.select("qid", "dataset_id", "pk", "distance", "rank")
+
+
+_SHORT_SQL = f"""SELECT * FROM ({ASK_SQL})
+  UNION ALL SELECT n_nationkey + 3000000, substr(n_name, 1, 1 + n_nationkey % 5), NULL, NULL FROM nation"""
+
+
+@query("exact_topk_appended", _first_hits_sql(_SHORT_SQL))
+def q_exact_topk_appended(spark, sf):
+    """Questions of all lengths, one letter and up, and scopes, through an index that was loaded
+    source by source in batches and merged."""
     store = store_frame(spark, sf)
-    idx = search.token_index(store)
-    hits = search.exact_topk_indexed(store, question_frame(spark, sf), idx, k=3, mode="raw")
+    asked = ask_frame(spark, sf).select("qid", "question", "dataset_id")
+    first = t(spark, sf, "nation").select(
+        (F.col("n_nationkey").cast("bigint") + 3_000_000).alias("qid"),
+        F.expr("substr(n_name, 1, 1 + n_nationkey % 5)").alias("question"),
+        F.lit(None).cast("string").alias("dataset_id"))
+    index = GramIndex(spark, scratch_path(spark, "gram-index"))
+    for batch in range(5):
+        index.append(store.where(F.pmod(F.xxhash64("dataset_id"), F.lit(5)) == batch))
+    index.merge()
+    hits = index.topk(store, asked.unionByName(first), k=3, mode="raw")
     return hits.select("qid", "dataset_id", "pk", "distance", "rank")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from cataloom.functions.text import normalize_question, significant_tokens
 from cataloom.operators import knn, search
 from cataloom.operators.embed import embed_text
+from cataloom.operators.gram_index import GramIndex
 from cataloom.plans import ask
+from cataloom.session import scratch_path
 
 STORE = "dataset_id string, pk string, text_chunk string, embedding array<float>"
 
@@ -87,7 +89,7 @@ def test_knn_batch_blocks_give_same_result(spark):
     store, rows = _store(spark)
     qs = spark.createDataFrame([(i, rows[i][3]) for i in range(10)], "qid long, embedding array<float>")
     a = {(r.qid, r.pk, r.rank) for r in knn.knn_batch(store, qs, k=3).collect()}
-    b = {(r.qid, r.pk, r.rank) for r in knn.knn_batch(store, qs, k=3, block_bytes=8 * 8 * 3).collect()}
+    b = {(r.qid, r.pk, r.rank) for r in knn.knn_batch(store, qs, k=3, block_bytes=2000).collect()}
     assert a == b
 
 
@@ -159,29 +161,117 @@ def test_hybrid_retrieve_and_reports(spark):
     assert [(r.qid, r.answer) for r in none.collect()] == [(2, "I don't know.")]
 
 
-def test_exact_topk_indexed_equals_nested_loop(spark):
+def _pairs(store, questions, k=4, mode="normalized", wild=False):
+    """Plain search: (qid, dataset_id, pk, rank)."""
+    from pyspark.sql import functions as F
+    texts = store.select("dataset_id", "pk", F.lower("text_chunk").alias("t")).collect()
+    out = set()
+    cols = set(questions.columns)
+    q = questions.withColumn("p", F.lower(normalize_question("question") if mode == "normalized" else F.col("question")))
+    for r in q.collect():
+        scope = r.dataset_id if "dataset_id" in cols else None
+        if r.p:
+            hits = sorted((x.pk, x.dataset_id) for x in texts if x.t is not None and r.p in x.t
+                          and (scope is None or scope == x.dataset_id))
+            out |= {(r.qid, d, p, i + 1) for i, (p, d) in enumerate(hits[:k])}
+    return out
+
+
+AWKWARD = ["Alpha  beta\tgamma, delta!", "alpha beta gamma", "", None, "a", "ab", "Straße İstanbul ΣΑΣ 日本語テキスト", "aaaaaaaaaaaaaaaaaaaaab",
+           "x" * 40_000 + "needle in hay" + "y" * 9_000, "zero\x00byte zero\x00", "row 1 text of", "tail-abcdefgh", "🙂🙃", "100% _sure_ \\ path"]
+
+
+def _awkward_store(spark):
     store, _ = _store(spark)
-    extra = spark.createDataFrame([("ds2", "x1", "Alpha  beta\tgamma, delta!", [1.0] * 8),
-                                   ("ds0", "x2", "alpha beta gamma", [1.0] * 8)], STORE)
-    store = store.unionByName(extra)
-    qs = spark.createDataFrame([(1, "text of the thing", None), (2, "blue gorilla", None),
-                                (3, "beta gamma, delta", None), (4, "row 1 text of", "ds1"),
-                                (5, "alpha beta gamma", None), (6, "no such words here", None),
-                                (7, "?!", None)], "qid long, question string, dataset_id string")
-    idx = search.token_index(store)
-    for mode in ("normalized", "raw"):
-        a = {(r.qid, r.dataset_id, r.pk, r.rank) for r in search.exact_topk(store, qs, 4, mode).collect()}
-        b = {(r.qid, r.dataset_id, r.pk, r.rank) for r in
-             search.exact_topk_indexed(store, qs, idx, 4, mode).collect()}
-        assert a == b and len(a) > 5
+    return store.unionByName(spark.createDataFrame(
+        [(f"ds{i % 3}", f"x{i}", text, [1.0] * 8) for i, text in enumerate(AWKWARD)], STORE))
+
+
+ASKED = ["text of the thing", "blue gorilla", "beta gamma, delta", "row 1 text of", "no such words here", "?!", "a", "ab", "aab", "aaaab", "needle in hay",
+         "xxxxxneedle", "straße", "ΣΑΣ", "日本", "本語テキスト", "🙃", "e", "zero\x00", "\x00", "abcdefgh", "tail-abcdefgh", "tail-abcdefghi", "_sure_", "%", "\\", "", None]
+
+
+def _awkward_questions(spark):
+    rows = [(i, p, None) for i, p in enumerate(ASKED)] + [(100 + i, p, "ds1") for i, p in enumerate(ASKED)]
+    return spark.createDataFrame(rows, "qid long, question string, dataset_id string")
+
+
+def test_phrases_in_one_pass(spark, monkeypatch):
+    """Literal phrases of all lengths against plain search, also in many tiles and rounds."""
+    from cataloom.operators import blocks
+    store, qs = _awkward_store(spark), _awkward_questions(spark)
+    for k, sizes in ((4, None), (1000, (3000, 1500, 2500))):
+        if sizes:
+            for name, v in zip(("TILE_BYTES", "QUESTION_TILE_BYTES", "BLOCK_BYTES"), sizes):
+                monkeypatch.setattr(blocks, name, v)
+        for mode in ("raw", "normalized"):
+            got = {(r.qid, r.dataset_id, r.pk, r.rank) for r in search.exact_topk(store, qs, k, mode).collect()}
+            assert got == _pairs(store, qs, k, mode) and len(got) > 30
+    plan = search.theta_ilike_join(store, qs)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_wildcard_patterns(spark):
+    """Live wildcards against Spark's own LIKE."""
+    store = _awkward_store(spark)
+    asked = ["%", "_", "a%b", "r_w 1_ t%t", "al%%ma", "a_pha%delta", "100\\%", "\\_sure\\_", "\\\\ path", "日_語", "____", "%x%needle%y", "a%z%q", "_%_", "zero_byte"]
+    qs = spark.createDataFrame(list(enumerate(asked)), "qid long, question string")
+    got = {(r.qid, r.pk) for r in search.theta_ilike_join(store, qs, "raw", wildcards=True).collect()}
+    want = {(r.qid, r.pk) for r in store.crossJoin(qs).where(
+        "lower(text_chunk) LIKE concat('%', lower(question), '%')").collect()}
+    assert got == want and len(want) > 200
+
+
+def test_longest_literal():
+    from cataloom.operators.phrases import longest_literal, pattern_regex
+    assert [longest_literal(p) for p in ("a%bcd_e", "%", "_", r"\%50\_", r"x\\y%", "")] == ["bcd", "", "", "%50_", "x\\y", ""]
+    assert pattern_regex("a%b_c").match("zza\nbb\nc") and not pattern_regex("a%b_c").match("b_c a")
+
+
+def test_gram_index_equals_search(spark, monkeypatch):
+    """Batches in any cut, merged or not, give the result of the plain search."""
+    from cataloom.operators import gram_index
+    monkeypatch.setattr(gram_index, "FANOUT", 3)
+    store, qs = _awkward_store(spark), _awkward_questions(spark)
+    index = gram_index.GramIndex(spark, scratch_path(spark, "grams"))
+    assert index.segments() == [] and index.topk(store, qs).count() == 0
+    parts = [store.where(F.pmod(F.xxhash64("pk"), F.lit(4)) == i) for i in range(4)]
+    for p in parts[:2]:
+        index.append(p)
+    half = parts[0].unionByName(parts[1])
+    got = {(r.qid, r.dataset_id, r.pk, r.rank) for r in index.topk(half, qs, 5, "raw").collect()}
+    assert got == _pairs(half, qs, 5, "raw")
+    for p in parts[2:]:
+        index.append(p)
+    index.append(parts[0])                      # rows appended again change nothing
+    before = sum(n for _, n in index.segments())
+    assert index.merge() and len(index.segments()) < 5 and sum(n for _, n in index.segments()) == before
+    for mode in ("raw", "normalized"):
+        got = {(r.qid, r.dataset_id, r.pk, r.rank) for r in index.topk(store, qs, 5, mode).collect()}
+        assert got == _pairs(store, qs, 5, mode)
+    gone = store.where("pk <> '0'")             # postings of rows that are no longer stored
+    got = {(r.qid, r.dataset_id, r.pk, r.rank) for r in index.topk(gone, qs, 5, "raw").collect()}
+    assert got == _pairs(gone, qs, 5, "raw")
+
+
+def test_postings_of_long_texts(monkeypatch):
+    from cataloom.operators import gram_index as g
+    texts = [b"abcabcab", b"", b"x", "日本語".encode() * 9]
+    want = sorted({(int.from_bytes((t + b"\0\0\0")[i:i + 4], "big"), d) for d, t in enumerate(texts) for i in range(len(t))})
+    for piece in (1 << 20, 5, 1):
+        monkeypatch.setattr(g, "PIECE_BYTES", piece)
+        gram, doc = g._postings(texts)
+        assert list(zip(gram.tolist(), doc.tolist())) == want
 
 
 def test_hybrid_with_index_equals_without(spark):
     store, rows = _store(spark)
     qs = spark.createDataFrame([(1, "text of the thing blue", rows[7][3]), (2, "gorilla", rows[8][3])],
                                "qid long, question string, embedding array<float>")
+    index = GramIndex(spark, scratch_path(spark, "grams"))
+    index.append(store)
     a = {tuple(r) for r in ask.hybrid_retrieve(store, qs).select("qid", "rank", "origin", "pk").collect()}
-    b = {tuple(r) for r in ask.hybrid_retrieve(store, qs, index=search.token_index(store))
+    b = {tuple(r) for r in ask.hybrid_retrieve(store, qs, index=index)
          .select("qid", "rank", "origin", "pk").collect()}
     assert a == b
 
@@ -202,8 +292,9 @@ def test_scope_words_backslash_and_own_k(spark):
     assert got == {1: 20, 2: 30, 3: 12, 4: 2}
     lit = q.where("qid < 4")
     want = {tuple(r) for r in search.exact_topk(store, lit, mode="raw").collect()}
-    idx = search.token_index(store)
-    assert {tuple(r) for r in search.exact_topk_indexed(store, lit, idx, mode="raw").collect()} == want
+    index = GramIndex(spark, scratch_path(spark, "grams"))
+    index.append(store)
+    assert {tuple(r) for r in index.topk(store, lit, mode="raw").collect()} == want
     assert len(want) == 62
 
 
