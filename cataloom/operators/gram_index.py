@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cataloom.operators import search
-from cataloom.operators.util import maybe_broadcast, spread, written
+from cataloom.operators.util import spread, written
 
 GRAM = 4
 # Documents and bytes of text of a lot, and bytes of text looked at in one go.
@@ -201,7 +201,6 @@ class GramIndex:
         """(qid, gram, need): the grams to look up, and how many of them a document needs."""
         wanted = questions.select(F.col("qid").cast("long"), "_lphrase").mapInArrow(
             _phrase_grams, "qid long, gram long, width int")
-        wanted = written(wanted, "phrase-grams")
         counts = self._counts(live)
         # a gram in no text ends the search for its phrase: it is the rarest
         found = wanted.where(F.col("width") == GRAM).join(counts, "gram", "left")
@@ -225,7 +224,7 @@ class GramIndex:
         probes = self._probes(questions, live)
         data = self._data(live)
         hits = (data.where("gram IS NOT NULL").select("gram", "lot", "docs")
-                .join(maybe_broadcast(probes), "gram")
+                .join(probes, "gram")
                 .select("qid", "need", "lot", F.explode("docs").alias("doc")))
         hits = (hits.groupBy("qid", "lot", "doc")
                 .agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
@@ -234,28 +233,29 @@ class GramIndex:
                .select("lot", "doc", "id.*"))
         return ids.join(hits, ["lot", "doc"]).select("qid", "dataset_id", "pk")
 
-    def topk_keys(self, store: DataFrame, questions: DataFrame, k: int = search.EXACT_K,
-                  mode: str = "normalized") -> DataFrame:
-        """Same keys as ``search.exact_keys`` (literal phrases) for a store whose rows have all
-        been appended."""
-        # read by several steps: computed once
+    def _verified(self, store: DataFrame, questions: DataFrame, mode: str) -> DataFrame:
+        """(qid, dataset_id, pk, text_chunk, k if given) of all texts that hold their phrase.
+        Phrases and candidates are written, so both joins are planned from their size: small
+        ones are broadcast and the texts are read in place."""
         q = written(search._questions(questions, mode, False), "phrases")
         limit = ["k"] if "k" in q.columns else []
         # only candidates in scope, each once (rows appended again have several postings)
         cand = (self.candidates(q).join(q.select("qid", "_qds"), "qid")
                 .where(F.col("_qds").isNull() | (F.col("_qds") == F.col("dataset_id")))
                 .select("qid", "dataset_id", "pk").distinct())
-        cand = written(cand, "candidates")
-        texts = (store.select("dataset_id", "pk", "text_chunk")
-                 .join(maybe_broadcast(cand), ["dataset_id", "pk"]))
-        hits = (texts.join(maybe_broadcast(q.select("qid", "_lphrase", *limit)), "qid")
-                .where(F.lower("text_chunk").contains(F.col("_lphrase")))
-                .select("qid", "dataset_id", "pk", *limit))
-        return search._first_by_key(hits, k)
+        return (store.select("dataset_id", "pk", "text_chunk")
+                .join(written(cand, "candidates"), ["dataset_id", "pk"])
+                .join(q.select("qid", "_lphrase", *limit), "qid")
+                .where(F.lower("text_chunk").contains(F.col("_lphrase"))).drop("_lphrase"))
+
+    def topk_keys(self, store: DataFrame, questions: DataFrame, k: int = search.EXACT_K,
+                  mode: str = "normalized") -> DataFrame:
+        """Same keys as ``search.exact_keys`` (literal phrases) for a store whose rows have all
+        been appended."""
+        return search._first_by_key(self._verified(store, questions, mode).drop("text_chunk"), k)
 
     def topk(self, store: DataFrame, questions: DataFrame, k: int = search.EXACT_K,
              mode: str = "normalized") -> DataFrame:
         """Same rows as ``search.exact_topk`` (literal phrases)."""
-        keys = self.topk_keys(store, questions, k, mode)
-        return search.with_text(keys, store).select("qid", "dataset_id", "pk", "text_chunk",
-                                                    "distance", "rank")
+        return search._first_by_key(self._verified(store, questions, mode), k).select(
+            "qid", "dataset_id", "pk", "text_chunk", "distance", "rank")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions.text import normalize_question, preview, significant_tokens
 from cataloom.operators.phrases import phrase_join
-from cataloom.operators.util import maybe_broadcast, spread, union_all, written
+from cataloom.operators.util import spread, union_all, written
 
 # Defaults of the reference: exact k 3 in 0..10 (ask), merged cap 10 (ask),
 # max(3, k) (answer); snippet half-width 60.
@@ -115,12 +115,12 @@ def _first_by_key(hits: DataFrame, k: int) -> DataFrame:
 
 
 def with_text(keys: DataFrame, store: DataFrame) -> DataFrame:
-    """Hit keys with their ``text_chunk``.  The keys are written first, so their size is known:
-    small ones are broadcast and the texts are read once in place, others are joined by
-    shuffle."""
+    """Hit keys with their ``text_chunk``.  The keys are written first, so the join is planned
+    from their size: small ones are broadcast and the texts are read once in place, others are
+    joined by shuffle."""
     keys = written(keys, "hit-keys")
     return (store.select("dataset_id", "pk", "text_chunk")
-            .join(maybe_broadcast(keys), ["dataset_id", "pk"])
+            .join(keys, ["dataset_id", "pk"])
             .select("qid", "dataset_id", "pk", "text_chunk",
                     *[c for c in keys.columns if c not in ("qid", "dataset_id", "pk")]))
 
