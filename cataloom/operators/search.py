@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions.text import normalize_question, preview, significant_tokens
 from cataloom.operators.phrases import phrase_join
-from cataloom.operators.util import spread, union_all, written
+from cataloom.operators.util import rank_within, spread, union_all, written
 
 # Defaults of the reference: exact k 3 in 0..10 (ask), merged cap 10 (ask),
 # max(3, k) (answer); snippet half-width 60.
@@ -166,9 +166,9 @@ def merge_dedupe(parts: list[tuple[str, DataFrame]], cap: int = MERGE_CAP) -> Da
 
 
 def ranked_context(hits: DataFrame, order_cols=("rank",)) -> DataFrame:
-    """1-based rank of each hit inside its question."""
-    w = Window.partitionBy("qid").orderBy(*order_cols)
-    return hits.withColumn("rank", F.row_number().over(w))
+    """1-based rank of each hit inside its question; a question's hits may be any number
+    and are ranked by many tasks."""
+    return rank_within(hits, ["qid"], list(order_cols))
 
 
 # --- #40 context_string -------------------------------------------------------------------

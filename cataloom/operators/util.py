@@ -87,6 +87,26 @@ def with_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> DataF
             .drop("_pid", "_mid", "_min", "_off"))
 
 
+def rank_within(df: DataFrame, keys: list[str], order_cols: list, name: str = "rank") -> DataFrame:
+    """1-based position of each row among those of its keys, in ``order_cols`` order, with no
+    key in one task: rows are sorted over all tasks by (keys, order), counted in each task, and
+    the counts of earlier tasks (a row for each task and key) are added."""
+    from pyspark.sql import Window
+    tagged = written(df.orderBy(*keys, *order_cols)
+                     .withColumn("_pid", F.spark_partition_id())
+                     .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
+    per = tagged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_n")
+    offsets = per.withColumn("_before", before).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_p"), "_first", "_before")
+    same = F.col("_pid") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rank = (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("int")
+    return (tagged.join(offsets, same).withColumn(name, rank)
+            .drop("_pid", "_mid", "_p", "_first", "_before", *[f"_k{i}" for i in range(len(keys))]))
+
+
 def _file_bytes(spark, path: str) -> int:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))

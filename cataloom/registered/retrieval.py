@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cataloom.operators import knn, search
 from cataloom.operators.embed import embed_text
 from cataloom.operators.gram_index import GramIndex
+from cataloom.operators.vector_cells import CellStore
 from cataloom.plans import ask
-from cataloom.queries import (ASK_SQL, IN_SCOPE_SQL, NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL,
+from cataloom.queries import (ASK_SQL, IN_SCOPE_SQL, NORM_SQL, ORACLE, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL,
                               ask_frame, cos_sql, dot_sql, query, question_frame, r6, store_frame, t)
 from cataloom.session import scratch_path
 
@@ -53,6 +54,23 @@ def q_knn_inner(spark, sf):
     return hits.select("dataset_id", "pk", r6("distance").alias("distance"))
 
 
+@query("knn_cosine_cells", ORACLE["knn_cosine"])
+def q_knn_cosine_cells(spark, sf):
+    """knn_cosine over a store laid out in cells: only cells that can matter are read."""
+    cells = CellStore.build(store_frame(spark, sf), scratch_path(spark, "cells"))
+    return cells.knn_cosine(_q0(spark, sf), k=8).select("dataset_id", "pk", r6("distance").alias("distance"))
+
+
+@query("knn_inner_cells", ORACLE["knn_inner"])
+def q_knn_inner_cells(spark, sf):
+    e = t(spark, sf, "embeddings")
+    s = e.select(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("dataset_id"),
+                 F.col("vec_id").cast("string").alias("pk"), F.lit("").alias("text_chunk"),
+                 F.transform("embedding", lambda x: x * (1 + F.col("label"))).alias("embedding"))
+    cells = CellStore.build(s, scratch_path(spark, "cells"))
+    return cells.knn_inner(_q0(spark, sf), k=5).select("dataset_id", "pk", r6("distance").alias("distance"))
+
+
 @query("cross_query", f"""
 WITH s AS ({STORE_SQL}), q AS (SELECT embedding AS qv FROM {Q0_SQL} x)
 SELECT dataset_id, pk, round({cos_sql('embedding', 'qv')}, 6) AS distance FROM s, q""")

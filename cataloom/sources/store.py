@@ -2,9 +2,8 @@
 
 Plain Parquet has no MERGE/DELETE, so every change is an anti join plus a
 write.  The embedding store is a catalog table partitioned by dataset_id:
-replacing a dataset is a dynamic partition overwrite (only the partitions in
-the new data are rewritten) plus ``ALTER TABLE ... DROP PARTITION`` for
-datasets whose new data is empty.  Counted results are materialised with a
+replacing a dataset writes a new folder, points the partition to it (or drops it
+when the new data is empty) and then removes the old files.  Counted results are materialised with a
 reliable checkpoint before the write, so the count and the write see the same
 rows.
 """
@@ -68,15 +67,34 @@ def ensure_store(spark: SparkSession, table: str, path: str, schema: str = STORE
 
 # --- #12 replace_by_dataset --------------------------------------------------------------
 
+def _location(spark: SparkSession, table: str, dataset_id: str | None = None) -> str | None:
+    """Where the table, or one partition of it, is stored; None without that partition."""
+    part = "" if dataset_id is None else f" PARTITION (dataset_id = {_lit(dataset_id)})"
+    try:
+        rows = spark.sql(f"DESCRIBE FORMATTED {_ident(table)}{part}").collect()
+    except AnalysisException as e:
+        if dataset_id is not None and e.getCondition() == "PARTITIONS_NOT_FOUND":
+            return None
+        raise
+    return [r["data_type"] for r in rows if r["col_name"] == "Location"][0 if part else -1]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def replace_by_dataset(spark: SparkSession, new: DataFrame, table: str,
                        dataset_ids: list[str] | None = None,
                        on_duplicate: str = "error", rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Replace every listed dataset's rows by ``new``'s rows for it.
 
-    Datasets present in ``new`` are rewritten with a dynamic partition
-    overwrite; a listed dataset with no rows is overwritten by nothing, which
-    removes its files, and its partition is dropped.  ``on_duplicate``: 'error'
-    fails when (dataset_id, pk) repeats, 'keep_first' keeps the first by text.
+    The new rows are written beside the old ones, in a folder of their own below the
+    table's; then each partition is pointed to its new folder (one catalog change per
+    dataset; a listed dataset without rows loses its partition), and the old files are
+    removed last.  A run that fails before the switch leaves the old rows visible and
+    at most an unused folder.  ``on_duplicate``: 'error' fails when (dataset_id, pk)
+    repeats, 'keep_first' keeps the first by text.  A row without a dataset is an error.
     Rows are materialised once, then clustered by (dataset_id, hash(pk) mod the
     dataset's row count over ``rows_per_file``), so the number of writing tasks
     of a dataset follows its size.  Returns the table read back."""
@@ -90,28 +108,41 @@ def replace_by_dataset(spark: SparkSession, new: DataFrame, table: str,
                .where("c > 1").limit(1).collect())
         if dup:
             raise ValueError(f"duplicate key {dup[0]['dataset_id']}/{dup[0]['pk']}")
-    sizes = data.groupBy("dataset_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_files"))
-    present = {r[0] for r in sizes.select("dataset_id").collect()}  # catalog names
-    dealt = (data.join(sizes, "dataset_id")
-             .repartition("dataset_id", F.pmod(F.xxhash64("pk"), F.col("_files"))).select(*cols))
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        if present:
-            dealt.write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    none = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in data.schema
-                     if f.name != "dataset_id")
-    for d in sorted(set(dataset_ids or []) - present):
-        spark.sql(f"INSERT OVERWRITE TABLE {_ident(table)} PARTITION (dataset_id = {_lit(d)}) "
-                  f"SELECT {none} WHERE false")
-        spark.sql(f"ALTER TABLE {_ident(table)} DROP IF EXISTS PARTITION (dataset_id = {_lit(d)})")
+    files = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file))
+    sizes = data.groupBy("dataset_id").agg(files.alias("n")).collect()   # catalog names
+    present = {r["dataset_id"]: i for i, r in enumerate(sizes)}
+    if None in present:
+        raise ValueError("rows without a dataset_id")
+    root = f"{_location(spark, table)}/_versions/{uuid.uuid4().hex[:12]}"
+    if present:
+        _write_version(data, [(r["dataset_id"], present[r["dataset_id"]], r["n"]) for r in sizes], root)
+    name, old = _ident(table), []
+    for d in sorted(present):
+        old.append(_location(spark, table, d))
+        part = f"PARTITION (dataset_id = {_lit(d)})"
+        to = f"{root}/_part={present[d]}"
+        if old[-1] is None:
+            spark.sql(f"ALTER TABLE {name} ADD {part} LOCATION {_lit(to)}")
+        else:
+            spark.sql(f"ALTER TABLE {name} {part} SET LOCATION {_lit(to)}")
+    for d in sorted(set(dataset_ids or []) - set(present)):
+        old.append(_location(spark, table, d))
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (dataset_id = {_lit(d)})")
     spark.catalog.refreshTable(table)
+    for path in old:
+        if path is not None:
+            _remove(spark, path)
     return spark.table(table)
 
 
+def _write_version(data: DataFrame, parts: list[tuple], root: str) -> None:
+    """A folder for each dataset (numbered: names may hold any character)."""
+    numbers = data.sparkSession.createDataFrame(parts, "dataset_id string, _part int, _files long")
+    (data.join(F.broadcast(numbers), "dataset_id")           # one row for each dataset
+     .repartition("_part", F.pmod(F.xxhash64("pk"), F.col("_files")))
+     .drop("dataset_id", "_files").write.partitionBy("_part").parquet(root))
+
+
 def append_absent(spark: SparkSession, new: DataFrame, table: str, keys: list[str]) -> DataFrame:
     """Append the rows of ``new`` whose key the *table* doesn't have, through the
     table, so its partitions are known; returns the rows that were added."""

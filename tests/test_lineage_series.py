@@ -47,6 +47,22 @@ def test_closure_matches_bfs_with_cycle(spark):
     assert {(r.root, r.node) for r in capped} == {("a", "b"), ("x", "y")}
 
 
+def test_closure_of_long_chains_and_cycles(spark):
+    """Several rounds: a chain of 40 hops, a ring, a hub, repeated edges and loops."""
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("n10", "n25"), ("n30", "n5"), ("n7", "n7")]
+    pairs += [(f"r{i}", f"r{(i + 1) % 23}") for i in range(23)] + [("n3", "r0"), ("r20", "n39")]
+    pairs += [("hub", f"n{i}") for i in range(0, 40, 3)] + pairs[:5]
+    roots = ["n0", "n12", "r4", "hub", "nowhere", "n40"]
+    e = _edges(spark, pairs).unionByName(_edges(spark, [(None, "n1"), ("n1", None)]))
+    asked = spark.createDataFrame([(r,) for r in roots + [None, "n0"]], "root string")
+    for cap in (None, 1, 4, 5, 11, 40):
+        rows = lin.lineage_closure(e, asked, max_hops=cap).collect()
+        want = {(r, n): h for r in roots for n, h in _bfs(pairs, r, cap).items()}
+        assert {(r.root, r.node): r.hops for r in rows} == want and len(rows) == len(want)
+    assert lin.lineage_closure(e, asked, max_hops=0).count() == 0
+    assert lin.lineage_closure(e, asked.limit(0)).count() == 0
+
+
 def test_touching_self_loop_once(spark):
     e = _edges(spark, [("a", "a"), ("a", "b"), ("c", "a"), ("c", "d")])
     ids = spark.createDataFrame([("a",)], "dataset_id string")

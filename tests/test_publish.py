@@ -176,3 +176,41 @@ def test_only_a_missing_path_is_no_table(spark, tmp_path):
     (tmp_path / "bad" / "x.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         sink.read_or_none(spark, str(tmp_path / "bad")).count()
+
+
+def _store_rows(spark, name):
+    return sorted((r.dataset_id, r.pk, r.text_chunk) for r in spark.table(name).select("dataset_id", "pk", "text_chunk").collect())
+
+
+def test_replace_switches_in_one_step(spark, monkeypatch):
+    """A run that fails between write and switch shows the old rows; names may hold any character."""
+    import glob
+    name, path = sink.unique_name("switch"), scratch_path(spark, "switch")
+    sink.ensure_store(spark, name, path)
+
+    def frame(rows):
+        return spark.createDataFrame([(d, k, t, [1.0]) for d, k, t in rows], sink.STORE_SCHEMA)
+
+    odd = "a b/c=d:'e%"
+    first = [("x", "1", "old"), ("x", "2", "old"), (odd, "1", "old"), ("gone", "1", "old")]
+    sink.replace_by_dataset(spark, frame(first), name)
+    assert _store_rows(spark, name) == sorted(first)
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    real = sink._location
+    monkeypatch.setattr(sink, "_location", lambda s, t, d=None: real(s, t, d) if d is None else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        sink.replace_by_dataset(spark, frame([("x", "1", "new")]), name, ["x", "gone"])
+    monkeypatch.setattr(sink, "_location", real)
+    assert _store_rows(spark, name) == sorted(first)
+    second = [("x", "3", "new"), (odd, "1", "new"), ("more", "9", "new")]
+    sink.replace_by_dataset(spark, frame(second), name, ["x", odd, "gone", "never"])
+    assert _store_rows(spark, name) == sorted(second)
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+    added = sink.append_absent(spark, frame([("x", "3", "again"), ("x", "4", "plus"), ("z", "1", "plus")]), name, ["dataset_id", "pk"])
+    assert added.count() == 2
+    assert _store_rows(spark, name) == sorted(second + [("x", "4", "plus"), ("z", "1", "plus")])
+    files = glob.glob(path.removeprefix("file:") + "/**/*.parquet", recursive=True)
+    assert sum(spark.read.parquet(f).count() for f in files) == 5 + 1     # old rows are gone; one of the failed run
+    with pytest.raises(ValueError):
+        sink.replace_by_dataset(spark, frame([(None, "1", "x")]), name)
+    spark.sql(f"DROP TABLE {name}")

@@ -357,3 +357,61 @@ def test_local_topk_keeps_the_nearest_of_every_question(monkeypatch):
                         ["x", "dataset_id", "pk"], na_position="last")
                     assert list(zip(mine["dataset_id"], mine["pk"])) == want
                 assert len(mine) == len(want)
+
+
+def _clusters(spark, n=2400, d=16, centres=40):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(centres, d))
+    rows = []
+    for i in range(n):
+        v = (base[i % centres] + rng.normal(size=d) * 0.05) * rng.choice([0.5, 1.0, 3.0])
+        rows.append((f"ds{i % 3}", f"{i:05d}", f"t{i}", [float(x) for x in v.astype(np.float32)]))
+    rows += [("ds0", "zero", "z", [0.0] * d), ("ds1", "none", "n", None), ("ds2", "short", "s", [1.0, 2.0]),
+             ("ds2", "nan", "s", [float("nan")] * d), ("ds0", "twin", "w", rows[0][3]), ("ds0", "twin2", "w", rows[0][3])]
+    return rows, spark.createDataFrame(rows, STORE)
+
+
+def test_cells_give_the_full_scan(spark):
+    from cataloom.operators.vector_cells import CellStore
+    rows, store = _clusters(spark)
+    cells = CellStore.build(store, scratch_path(spark, "cells"))
+    total = {c["cell"]: c["n"] for c in cells.cells()}
+    assert sum(total.values()) == len(rows)
+    read = []
+    asked = [rows[0][3], rows[777][3], [0.0] * 16, [1.0] + [0.0] * 15]
+    for q in asked:
+        for ds in (None, "ds1") if q is asked[0] else (None,):
+            for ours, plain in ((cells.knn_cosine, knn.knn_cosine), (cells.knn_inner, knn.knn_inner)):
+                a, b = ([(r.dataset_id, r.pk, r.distance) for r in f.collect()] for f in
+                        (ours(q, dataset_id=ds), plain(store, q, dataset_id=ds)))
+                assert a == b or (q == [0.0] * 16 and [x[:2] for x in a] == [x[:2] for x in b])
+        read.append(sum(total[c] for c in cells.plan(q, 8, "cosine")))
+    assert min(read[:2]) > 0 and max(read[:2]) < len(rows) / 5       # near vectors: few cells are read
+    found = cells.knn_cosine(rows[0][3])
+    assert "PartitionFilters: [cell" in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.pk for r in found.collect()][:3] == ["00000", "twin", "twin2"]
+    tail = store.where("pk IN ('zero', 'none', 'short', '00001', '00002')")
+    few = CellStore.build(tail, scratch_path(spark, "cells"))
+    assert [(r.pk, r.distance) for r in few.knn_cosine(rows[1][3]).collect()] == [
+        (r.pk, r.distance) for r in knn.knn_cosine(tail, rows[1][3]).collect()]
+    empty = CellStore.build(store.limit(0), scratch_path(spark, "cells"))
+    assert empty.knn_cosine(rows[0][3]).count() == 0
+
+
+def test_rank_by_many_tasks(spark, monkeypatch):
+    """One question holds nearly all hits; no task sorts it alone."""
+    from cataloom.operators import util
+    seen = []
+    monkeypatch.setattr(util, "written", lambda df, name, w=util.written: seen.append(w(df, name)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hits = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.col("id") % 7).otherwise(99).alias("qid"),
+                                        F.xxhash64("id").alias("o"), F.col("id").alias("x"))
+        got = search.ranked_context(hits, ("o",)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for r in sorted(hits.collect(), key=lambda r: r.o):
+        want.setdefault(r.qid, []).append(r.x)
+    assert {(r.qid, r["rank"], r.x) for r in got} == {(q, i + 1, x) for q, xs in want.items() for i, x in enumerate(xs)}
+    assert seen[0].where("qid = 99").select("_pid").distinct().count() > 3
