@@ -110,7 +110,7 @@ def _short(c: F.Column, plain: F.Column) -> F.Column:
     return F.when(F.octet_length(c) > INLINE_BYTES, F.sha2(c.cast("binary"), 256)).otherwise(plain)
 
 
-def _slots(name: str, dt: T.DataType) -> F.Column:
+def value_slots(name: str, dt: T.DataType) -> F.Column:
     """A column's value as struct(i long, d double, s string): one slot is set,
     none for NULL, and equal slots mean equal values of that column."""
     c = F.col("`" + name.replace("`", "``") + "`")
@@ -148,7 +148,7 @@ def _exact_profile(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
         first, fields = len(names), df.schema.fields
         names += [(first + j, dataset_id_of(table), f.name, j + 1) for j, f in enumerate(fields)]
         numbers = [str(first + j) for j in range(len(fields))]
-        values = spread(df).select(*[_slots(f.name, f.dataType).alias(n)
+        values = spread(df).select(*[value_slots(f.name, f.dataType).alias(n)
                                      for n, f in zip(numbers, fields)])
         frames.append(values.unpivot([], numbers, "c", "v").select(F.col("c").cast("int"), "v.*"))
     per_value = _union_all(frames).groupBy("c", "i", "d", "s").agg(F.count(F.lit(1)).alias("n"))

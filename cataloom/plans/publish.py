@@ -42,7 +42,7 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], store_table: str,
     rows this run wrote.  ``truncate=False`` appends the rows whose key the
     table doesn't have.  Vectors are stored rounded and finite."""
     chunks = publish_chunks(tables, limit, include, exclude, hash_key=hash_key)
-    vectors = _stored(embed_text(chunks, "text_chunk", dims=dims, embedder=embedder))
+    vectors = stored(embed_text(chunks, "text_chunk", dims=dims, embedder=embedder))
     if truncate:
         added = sink.replace_by_dataset(spark, vectors, store_table, list(tables), on_duplicate)
         added = added.where(F.col("dataset_id").isin(list(tables)))
@@ -60,7 +60,8 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], store_table: str,
         "total_rows", "inserted", F.lit(store_table).alias("target"))
 
 
-def _stored(vectors: DataFrame) -> DataFrame:
+def stored(vectors: DataFrame) -> DataFrame:
+    """Vectors as the store holds them: finite, rounded, single precision."""
     return vectors.withColumn("embedding", sanitize_vector("embedding").cast("array<float>"))
 
 
@@ -88,22 +89,12 @@ def publish_append(spark: SparkSession, resolved: DataFrame, warehouse: str, sto
     if not parts:
         return summary.withColumn("total_rows", F.lit(0).cast("bigint")).withColumn(
             "inserted", F.lit(0).cast("bigint"))
-    batch = _stored(embed_text(union_all(parts), "text_chunk", dims=dims, embedder=embedder))
+    batch = stored(embed_text(union_all(parts), "text_chunk", dims=dims, embedder=embedder))
     batch = batch.select("dataset_id", "pk", "text_chunk", "embedding")
     totals = batch.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("total_rows"))
-    before = _keys_or_empty(spark, store_path)
-    after, _ = sink.insert_if_absent(spark, batch, store_path, ["dataset_id", "pk"])
-    ins = (after.select("dataset_id", "pk").join(before, ["dataset_id", "pk"], "left_anti")
-           .groupBy("dataset_id").agg(F.count(F.lit(1)).alias("inserted")))
+    _, added = sink.insert_absent_rows(spark, batch, store_path, ["dataset_id", "pk"], ledger=True)
+    ins = added.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("inserted"))
     return (summary.join(totals, "dataset_id", "left").join(ins, "dataset_id", "left")
             .select("dataset_id", "chosen_path", "tried_paths",
                     F.coalesce("total_rows", F.lit(0)).cast("bigint").alias("total_rows"),
                     F.coalesce("inserted", F.lit(0)).cast("bigint").alias("inserted")))
-
-
-def _keys_or_empty(spark: SparkSession, path: str) -> DataFrame:
-    from cataloom.operators.util import cut_lineage
-    store = sink.read_or_none(spark, path)
-    if store is None:
-        return spark.createDataFrame([], "dataset_id string, pk string")
-    return cut_lineage(store.select("dataset_id", "pk"))

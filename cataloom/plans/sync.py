@@ -14,21 +14,23 @@ from cataloom.sources.tables import dataset_id_of, list_columns
 def sync_catalog(spark: SparkSession, tables: dict[str, DataFrame],
                  now: _dt.datetime = cat.DEFAULT_NOW, approx: bool = False,
                  sizes: DataFrame | None = None, rsd: float = 0.05,
-                 indexed_dates=None) -> tuple[DataFrame, DataFrame]:
+                 indexed_dates=None, profile: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(catalog_datasets, catalog_columns) rebuilt in one pass.
 
     Datasets: one row per table with its row count.  Columns: every column
     with type text, PII flag, indexed flag and null/distinct ratios (always
     the 7-column form).  No tables -> two empty frames.  Distinct counts are
     exact; ``approx=True`` asks for HyperLogLog++ counts of relative error
-    ``rsd`` instead.  The size of a table never changes the method."""
+    ``rsd`` instead.  The size of a table never changes the method.  ``profile``: a
+    profile at hand (``profile_store``, which reads only changed files) is used
+    instead of reading the tables."""
     if not tables:
         return (spark.createDataFrame([], cat.DATASETS_SCHEMA),
                 spark.createDataFrame([], "dataset_id string, column_name string, data_type string, "
                                           "pii_flag boolean, null_ratio double, distinct_ratio double, "
                                           "indexed boolean"))
     present = {n: df for n, df in tables.items() if df is not None}
-    prof = cat.profile_columns(present, approx=approx, rsd=rsd)
+    prof = profile if profile is not None else cat.profile_columns(present, approx=approx, rsd=rsd)
     # one row per column: materialised once, read by both returned frames
     from cataloom.operators.util import cut_lineage
     prof = cut_lineage(prof)

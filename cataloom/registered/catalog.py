@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cataloom.functions import rules
 from cataloom.operators import catalog as cat
 from cataloom.operators import joins
+from cataloom.operators.profile_store import ProfileStore
 from cataloom.plans import sync
-from cataloom.queries import query, r6, t
+from cataloom.queries import ORACLE, query, r6, t
 from cataloom.registered.fixed import (DRIVER_SCHEMAS, columns_sql,
                                        datasets_sql, tables_in_sql)
+from cataloom.session import scratch_path
 from cataloom.sources import tables as src
 from cataloom.sources.schemas import BUSINESS_DDL
 from cataloom.sources.tables import load_tables
 
 
+INDEXED_SQL = ("({c} LIKE '%_id' OR {c} IN ("
+               + ", ".join(f"'{n}'" for n in rules.INDEXED_KEY_NAMES + rules.INDEXED_DATE_NAMES) + "))")
+
+
 def _datasets(spark, sf):
     return cat.build_datasets(spark, load_tables(spark, sf))
 
@@ -109,7 +116,7 @@ BUSINESS_VALUES = _business_values_static()
 
 @query("flag_pii", f"""
 SELECT dataset_id, column_name,
-       coalesce(regexp_matches(lower(column_name), '(email|phone|ssn|dob|address)'), false) AS pii_flag
+       coalesce(regexp_matches(lower(column_name), '{rules.CATALOG_PII}'), false) AS pii_flag
 FROM ({_all_columns_sql()}) a""")
 def q_flag_pii(spark, sf):
     return cat.flag_pii(_all_columns(spark, sf)).select("dataset_id", "column_name", "pii_flag")
@@ -117,9 +124,9 @@ def q_flag_pii(spark, sf):
 
 @query("pick_columns", f"""
 SELECT dataset_id, count(*) FILTER (WHERE NOT regexp_matches(lower(column_name),
-       '(ssn|social|dob|birth|email|phone|mobile|address|tax|tin|ein|pan)')) AS kept,
+       '{rules.PUBLISH_PII}')) AS kept,
        count(*) FILTER (WHERE regexp_matches(lower(column_name),
-       '(ssn|social|dob|birth|email|phone|mobile|address|tax|tin|ein|pan)')) AS dropped
+       '{rules.PUBLISH_PII}')) AS dropped
 FROM ({_all_columns_sql()}) a GROUP BY dataset_id""")
 def q_pick_columns(spark, sf):
     """Columns kept/dropped by the publish guard per dataset, computed by
@@ -137,9 +144,7 @@ def q_pick_columns(spark, sf):
 
 @query("flag_indexed", f"""
 SELECT dataset_id, column_name,
-       (column_name LIKE '%_id' OR column_name IN ('id', 'number')
-        OR column_name IN ('created','created_at','updated','updated_at','closed_at','resolved',
-                           'due_at','tran_timestamp')) AS indexed
+       {INDEXED_SQL.format(c='column_name')} AS indexed
 FROM ({_all_columns_sql()}) a""")
 def q_flag_indexed(spark, sf):
     return cat.flag_indexed(_all_columns(spark, sf)).select("dataset_id", "column_name", "indexed")
@@ -196,10 +201,8 @@ def q_profile_columns(spark, sf):
 
 @query("sync_catalog", f"""
 SELECT c.dataset_id, c.column_name, c.data_type,
-       coalesce(regexp_matches(lower(c.column_name), '(email|phone|ssn|dob|address)'), false) AS pii_flag,
-       (c.column_name LIKE '%_id' OR c.column_name IN ('id', 'number')
-        OR c.column_name IN ('created','created_at','updated','updated_at','closed_at','resolved',
-                             'due_at','tran_timestamp')) AS indexed,
+       coalesce(regexp_matches(lower(c.column_name), '{rules.CATALOG_PII}'), false) AS pii_flag,
+       {INDEXED_SQL.format(c='c.column_name')} AS indexed,
        p.null_ratio, p.distinct_ratio, d.row_count
 FROM ({columns_sql()}) c
 JOIN ({_profile_sql()}) p ON p.dataset_id = c.dataset_id AND p.column_name = c.column_name
@@ -212,6 +215,73 @@ def q_sync_catalog(spark, sf):
                     "row_count"))
 
 
+@query("sync_catalog_stored", ORACLE["sync_catalog"])
+def q_sync_catalog_stored(spark, sf):
+    """The catalog from a profile kept per file; the second sync finds nothing to read."""
+    kept = ProfileStore(spark, scratch_path(spark, "profile"))
+    kept.sync(sf)
+    if kept.sync(sf):
+        raise RuntimeError("unchanged files were read again")
+    datasets, columns = sync.sync_catalog(spark, load_tables(spark, sf), profile=kept.profile(sf))
+    return (columns.join(datasets.select("dataset_id", "row_count"), "dataset_id")
+            .select("dataset_id", "column_name", "data_type", "pii_flag", "indexed",
+                    r6("null_ratio").alias("null_ratio"), r6("distinct_ratio").alias("distinct_ratio"),
+                    "row_count"))
+
+
+_KINDS = ("orders", "customers", "accounts", "invoices", "payments", "payroll", "salaries", "tickets",
+          "incidents", "issues", "other")
+
+
+def _templates_sql(datasets: str) -> str:
+    """The template rule over (dataset_id, name), from the values in ``rules``."""
+    last = len(rules.SCHEMA_TEMPLATES)
+    cases = " ".join("WHEN " + " OR ".join(f"contains(name, '{w}')" for w in words) + f" THEN {i}"
+                     for i, (words, _) in enumerate(rules.SCHEMA_TEMPLATES))
+    columns = [c for _, c in rules.SCHEMA_TEMPLATES] + [rules.DEFAULT_TEMPLATE]
+    rows = ", ".join(f"({i}, '{c}', '{ty}', {str(pii).lower()}, {j})"
+                     for i, cols in enumerate(columns) for j, (c, ty, pii) in enumerate(cols, 1))
+    return f"""
+WITH tid AS (SELECT dataset_id, CASE {cases} ELSE {last} END AS template_id FROM ({datasets}) d),
+tpl(template_id, column_name, data_type, pii_flag, ordinal) AS (VALUES {rows})
+SELECT dataset_id, column_name, data_type, pii_flag, CAST(ordinal AS INTEGER) AS ordinal
+FROM tid JOIN tpl USING (template_id)"""
+
+
+@query("schema_infer_kinds", _templates_sql(f"""
+SELECT CAST(n_nationkey AS VARCHAR) AS dataset_id,
+       lower(n_name) || '_' || [{", ".join(f"'{k}'" for k in _KINDS)}][n_nationkey % {len(_KINDS)} + 1] AS name FROM nation"""))
+def q_schema_infer_kinds(spark, sf):
+    """Names that reach all templates."""
+    kinds = F.array(*[F.lit(k) for k in _KINDS])
+    d = t(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("string").alias("dataset_id"),
+        F.concat(F.lower("n_name"), F.lit("_"),
+                 F.element_at(kinds, F.col("n_nationkey") % len(_KINDS) + 1)).alias("name"))
+    return cat.schema_infer_by_name(spark, d)
+
+
+@query("detail_columns", f"""
+SELECT dataset_id, string_agg(column_name || ':' || data_type || ':' || pii_flag::VARCHAR || ':' || indexed::VARCHAR
+         || ':' || CAST(round(null_ratio * 1000000) AS BIGINT) || ':' || CAST(round(distinct_ratio * 1000000) AS BIGINT),
+         ',' ORDER BY column_name) AS columns_text
+FROM ({ORACLE["sync_catalog"]}) c GROUP BY dataset_id""")
+def q_detail_columns(spark, sf):
+    """All fields of the columns that the detail of a dataset shows."""
+    datasets, columns = sync.sync_catalog(spark, load_tables(spark, sf))
+    none = spark.createDataFrame([], "src_dataset_id string, dst_dataset_id string, transform_type string, "
+                                     "updated_at timestamp_ntz")
+    detail, _ = sync.assemble_detail(datasets, columns, none)
+
+    def millionths(c):
+        return F.round(F.round(c, 6) * 1_000_000).cast("bigint").cast("string")
+
+    line = F.transform("columns", lambda c: F.concat_ws(
+        ":", c["column_name"], c["data_type"], c["pii_flag"].cast("string"), c["indexed"].cast("string"),
+        millionths(c["null_ratio"]), millionths(c["distinct_ratio"])))
+    return detail.select("dataset_id", F.array_join(line, ",").alias("columns_text"))
+
+
 # --- reads over the datasets frame ----------------------------------------------------------
 
 @query("search_catalog", f"""
@@ -253,29 +323,7 @@ def q_display_status(spark, sf):
     return cat.display_status(d).select("doc_id", "status", "row_count_shown", "size_text")
 
 
-@query("schema_infer_by_name", f"""
-WITH d AS (SELECT dataset_id, name FROM ({datasets_sql()}) x),
-tid AS (SELECT dataset_id, CASE
-   WHEN contains(name, 'orders') THEN 0
-   WHEN contains(name, 'customers') OR contains(name, 'accounts') THEN 1
-   WHEN contains(name, 'invoices') OR contains(name, 'payments') OR contains(name, 'payroll')
-        OR contains(name, 'salaries') THEN 2
-   WHEN contains(name, 'tickets') OR contains(name, 'incidents') OR contains(name, 'issues') THEN 3
-   ELSE 4 END AS template_id FROM d),
-tpl(template_id, column_name, data_type, pii_flag, ordinal) AS (VALUES
-  (0, 'order_id', 'INTEGER', false, 1), (0, 'customer_id', 'INTEGER', false, 2),
-  (0, 'order_date', 'TIMESTAMP', false, 3), (0, 'total_amount', 'DECIMAL(18,2)', false, 4),
-  (0, 'notes', 'VARCHAR', true, 5),
-  (1, 'customer_id', 'INTEGER', false, 1), (1, 'email', 'VARCHAR', true, 2),
-  (1, 'full_name', 'VARCHAR', true, 3), (1, 'created_at', 'TIMESTAMP', false, 4),
-  (2, 'txn_id', 'INTEGER', false, 1), (2, 'amount', 'DECIMAL(18,2)', false, 2),
-  (2, 'currency', 'VARCHAR', false, 3), (2, 'posted_at', 'TIMESTAMP', false, 4),
-  (3, 'ticket_id', 'INTEGER', false, 1), (3, 'status', 'VARCHAR', false, 2),
-  (3, 'priority', 'VARCHAR', false, 3), (3, 'opened_at', 'TIMESTAMP', false, 4),
-  (3, 'requester_email', 'VARCHAR', true, 5),
-  (4, 'id', 'INTEGER', false, 1), (4, 'name', 'VARCHAR', true, 2), (4, 'updated_at', 'TIMESTAMP', false, 3))
-SELECT tid.dataset_id, tpl.column_name, tpl.data_type, tpl.pii_flag, CAST(tpl.ordinal AS INTEGER) AS ordinal
-FROM tid JOIN tpl USING (template_id)""")
+@query("schema_infer_by_name", _templates_sql(f"SELECT dataset_id, name FROM ({datasets_sql()}) x"))
 def q_schema_infer_by_name(spark, sf):
     return cat.schema_infer_by_name(spark, _datasets(spark, sf))
 

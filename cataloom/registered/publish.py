@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from cataloom.functions.vector import sanitize_vector
 from cataloom.operators import chunk
 from cataloom.operators.embed import embed_text
-from cataloom.operators.util import cut_lineage
+from cataloom.operators.util import cut_lineage, union_all
 from cataloom.plans import publish as pub
 from cataloom.queries import query, t
 from cataloom.registered.fixed import DRIVER_SCHEMAS
+from cataloom.registered.retrieval import letter_counts, letters_sql
 from cataloom.session import scratch_path
 from cataloom.sources import store as sink
 from cataloom.sources.tables import load_tables
@@ -91,6 +92,17 @@ def q_embed_text(spark, sf):
     return d.select("doc_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
 
 
+@query("embed_text_values", f"""
+SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(coalesce(v[i], 0) AS DOUBLE) AS value
+FROM (SELECT doc_id, {letters_sql('text')} AS v, unnest(range(1, 27)) AS i FROM documents)""")
+def q_embed_text_values(spark, sf):
+    """Every value of every vector, with an embedder that SQL can state."""
+    d = embed_text(t(spark, sf, "documents").select("doc_id", "text"), "text", dims=26,
+                   embedder=letter_counts)
+    return d.select("doc_id", F.posexplode("embedding").alias("p", "value")).select(
+        "doc_id", (F.col("p") + 1).alias("i"), F.col("value").cast("double").alias("value"))
+
+
 @query("sanitize_vector", """
 SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims,
        round(list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN round(CAST(x AS DOUBLE), 6) ELSE 0.0 END)), 6) AS s,
@@ -182,17 +194,19 @@ def q_publish_incremental(spark, sf):
 
 
 @query("insert_if_absent", """
-SELECT CAST(count(*) AS BIGINT) AS rows_after, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS keys_after
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+       CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS batch,
+       (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_orderstatus <> 'O') AS second_insert
 FROM orders""")
 def q_insert_if_absent(spark, sf):
-    """Orders written in two overlapping batches (open / not-open orders,
-    then all orders again): the second insert adds exactly the missing keys."""
-    o = t(spark, sf, "orders")
+    """Orders written in two overlapping batches (open orders, then all): rows of the first
+    batch stay as they were, the second adds exactly the missing keys."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     path = scratch_path(spark, "orders_ins")
-    sink.insert_if_absent(spark, o.where(F.col("o_orderstatus") == "O"), path, ["o_orderkey"])
-    after, _ = sink.insert_if_absent(spark, o, path, ["o_orderkey"])
-    return after.agg(F.count(F.lit(1)).alias("rows_after"),
-                     F.countDistinct("o_orderkey").alias("keys_after"))
+    first = o.where(F.col("o_orderstatus") == "O").withColumn("batch", F.lit(1))
+    sink.insert_if_absent(spark, first, path, ["o_orderkey"])
+    after, n = sink.insert_if_absent(spark, o.withColumn("batch", F.lit(2)), path, ["o_orderkey"])
+    return after.withColumn("second_insert", F.lit(n).cast("bigint"))
 
 
 @query("upsert_dataset", """
@@ -226,25 +240,30 @@ def q_update_attrs(spark, sf):
 
 
 @query("delete_cascade", """
-WITH ids AS (SELECT 'cust_' || CAST(c_custkey AS VARCHAR) AS dataset_id FROM customer WHERE c_mktsegment = 'MACHINERY'),
-e AS (SELECT 'cust_' || CAST(o_custkey AS VARCHAR) AS src_dataset_id, 'ord_' || CAST(o_orderkey AS VARCHAR) AS dst_dataset_id
-      FROM orders)
-SELECT 'datasets' AS frame, CAST(count(*) AS BIGINT) AS n FROM customer
-  WHERE 'cust_' || CAST(c_custkey AS VARCHAR) NOT IN (SELECT dataset_id FROM ids)
-UNION ALL SELECT 'edges', CAST(count(*) AS BIGINT) FROM e
-  WHERE src_dataset_id NOT IN (SELECT dataset_id FROM ids) AND dst_dataset_id NOT IN (SELECT dataset_id FROM ids)""")
+WITH ids AS (SELECT 'cust_' || CAST(c_custkey AS VARCHAR) AS dataset_id FROM customer WHERE c_mktsegment = 'MACHINERY'
+             UNION ALL SELECT 'ord_' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P'),
+d AS (SELECT 'cust_' || CAST(c_custkey AS VARCHAR) AS dataset_id, c_name AS name FROM customer),
+e AS (SELECT 'cust_' || CAST(o_custkey AS VARCHAR) AS src, 'ord_' || CAST(o_orderkey AS VARCHAR) AS dst FROM orders)
+SELECT 'datasets' AS frame, dataset_id AS a, name AS b FROM d WHERE dataset_id NOT IN (SELECT dataset_id FROM ids)
+UNION ALL SELECT 'columns', dataset_id, c FROM d, (VALUES ('c_name'), ('c_acctbal')) x(c)
+  WHERE dataset_id NOT IN (SELECT dataset_id FROM ids)
+UNION ALL SELECT 'edges', src, dst FROM e
+  WHERE src NOT IN (SELECT dataset_id FROM ids) AND dst NOT IN (SELECT dataset_id FROM ids)""")
 def q_delete_cascade(spark, sf):
-    c = t(spark, sf, "customer")
-    datasets = c.select(F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("dataset_id"))
-    columns = datasets.select("dataset_id", F.lit("c").alias("column_name"))
-    o = t(spark, sf, "orders")
-    edges = o.select(F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")).alias("src_dataset_id"),
-                     F.concat(F.lit("ord_"), F.col("o_orderkey").cast("string")).alias("dst_dataset_id"))
-    ids = c.where(F.col("c_mktsegment") == "MACHINERY").select(
-        F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("dataset_id"))
-    d, _, e = sink.delete_cascade(datasets, columns, edges, ids)
-    return (d.agg(F.count(F.lit(1)).alias("n")).select(F.lit("datasets").alias("frame"), "n")
-            .unionByName(e.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("frame"), "n")))
+    """Some customers and some orders are removed: rows of all three frames that are left."""
+    c, o = t(spark, sf, "customer"), t(spark, sf, "orders")
+    cust, order = (lambda k: F.concat(F.lit("cust_"), F.col(k).cast("string")),
+                   lambda k: F.concat(F.lit("ord_"), F.col(k).cast("string")))
+    datasets = c.select(cust("c_custkey").alias("dataset_id"), F.col("c_name").alias("name"))
+    columns = datasets.select("dataset_id", F.explode(F.array(F.lit("c_name"), F.lit("c_acctbal")))
+                              .alias("column_name"))
+    edges = o.select(cust("o_custkey").alias("src_dataset_id"), order("o_orderkey").alias("dst_dataset_id"))
+    ids = (c.where(F.col("c_mktsegment") == "MACHINERY").select(cust("c_custkey").alias("dataset_id"))
+           .unionByName(o.where(F.col("o_orderstatus") == "P").select(order("o_orderkey").alias("dataset_id"))))
+    left = sink.delete_cascade(datasets, columns, edges, ids)
+    return union_all([f.select(F.lit(n).alias("frame"), F.col(f.columns[0]).alias("a"),
+                               F.col(f.columns[1]).alias("b"))
+                      for n, f in zip(("datasets", "columns", "edges"), left)])
 
 
 @query("publish_append", """

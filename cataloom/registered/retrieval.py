@@ -153,15 +153,15 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     return n[:, 97:123] + n[:, 65:91]
 
 
-def _letters_sql(x):
+def letters_sql(x):
     counts = (f"list_transform(range(97, 123), lambda c: CAST(length({x}) - length("
               f"replace(replace({x}, chr(CAST(c AS INTEGER)), ''), chr(CAST(c - 32 AS INTEGER)), '')) AS FLOAT))")
     return f"CASE WHEN list_sum({counts}) > 0 THEN {counts} END"
 
 
 @query("hybrid_retrieve_text", _hybrid_sql(
-    **ask.ASK, store_sql=f"SELECT * REPLACE ({_letters_sql('text_chunk')} AS embedding) FROM ({STORE_SQL})",
-    ask_sql=f"SELECT * REPLACE ({_letters_sql('question')} AS qv) FROM ({ASK_SQL})"))
+    **ask.ASK, store_sql=f"SELECT * REPLACE ({letters_sql('text_chunk')} AS embedding) FROM ({STORE_SQL})",
+    ask_sql=f"SELECT * REPLACE ({letters_sql('question')} AS qv) FROM ({ASK_SQL})"))
 def q_hybrid_retrieve_text(spark, sf):
     """Ask with question texts only: every document and every question is embedded."""
     store = embed_text(store_frame(spark, sf).drop("embedding"), dims=26, embedder=letter_counts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions import text as tx
 from cataloom.operators import search
+from cataloom.operators.util import union_all
 from cataloom.plans import ask
 from cataloom.queries import (ASK_SQL, NORM_SQL, PREVIEW_SQL, QUESTIONS_SQL, STORE_SQL, ask_frame,
                               query, question_frame, store_frame, t)
@@ -48,6 +49,18 @@ def q_optional_filter(spark, sf):
     return search.optional_filter(store_frame(spark, sf), "all").select("dataset_id", "pk")
 
 
+@query("optional_filter_one", f"""
+SELECT 'src3' AS asked, dataset_id, pk FROM ({STORE_SQL}) s WHERE dataset_id = 'src3'
+UNION ALL SELECT 'blank', dataset_id, pk FROM ({STORE_SQL}) s
+UNION ALL SELECT 'null', dataset_id, pk FROM ({STORE_SQL}) s""")
+def q_optional_filter_one(spark, sf):
+    """One id, a blank and no id: a filter, and twice none."""
+    s = store_frame(spark, sf)
+    parts = [search.optional_filter(s, v).select(F.lit(n).alias("asked"), "dataset_id", "pk")
+             for n, v in (("src3", "src3"), ("blank", "  "), ("null", None))]
+    return union_all(parts)
+
+
 def _hits_sql() -> str:
     """The hybrid hits (ask settings) with their full text, as a CTE body."""
     base = _hybrid_sql(**ask.ASK)
@@ -89,6 +102,18 @@ def q_context_string(spark, sf):
     return ctx.join(chars, "qid").select("qid", F.sha2("context", 256).alias("context_sha"), "text_chars")
 
 
+@query("context_preview", f"""
+WITH q AS ({ASK_SQL}), h AS ({_hybrid_sql(**ask.answer_settings(5))}),
+c AS (SELECT qid, string_agg('#' || CAST(rank AS VARCHAR) || ' [dataset=' || dataset_id || ' pk=' || pk || '] '
+                             || preview, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY qid)
+SELECT qid, coalesce(context, '(none)') AS context FROM q LEFT JOIN c USING (qid)""")
+def q_context_preview(spark, sf):
+    """Answer style: previews in one line each, '(none)' for questions without a hit."""
+    qs = ask_frame(spark, sf)
+    hits = ask.hybrid_answer(store_frame(spark, sf), qs, k=5)
+    return search.context_or_none(qs, search.context_string(hits, "preview"))
+
+
 @query("token_presence", f"""
 WITH h AS ({_hits_sql()}), q AS ({ASK_SQL}),
 tk AS (SELECT qid, unnest({TOKENS_SQL.format(x='question')}) AS token,

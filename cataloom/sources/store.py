@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cataloom.operators.util import BROADCAST_MAX_ROWS, cut_lineage, maybe_broadcast
+from cataloom.sources.ledger import KeyLedger
 
 # Rows of one written file of a dataset.
 ROWS_PER_FILE = 1_000_000
@@ -117,6 +118,7 @@ def replace_by_dataset(spark: SparkSession, new: DataFrame, table: str,
     if present:
         _write_version(data, [(r["dataset_id"], present[r["dataset_id"]], r["n"]) for r in sizes], root)
     name, old = _ident(table), []
+    key_ledger(spark, table, ["dataset_id", "pk"]).forget()
     for d in sorted(present):
         old.append(_location(spark, table, d))
         part = f"PARTITION (dataset_id = {_lit(d)})"
@@ -143,14 +145,23 @@ def _write_version(data: DataFrame, parts: list[tuple], root: str) -> None:
      .drop("dataset_id", "_files").write.partitionBy("_part").parquet(root))
 
 
+def key_ledger(spark: SparkSession, table: str, keys: list[str]) -> KeyLedger:
+    """The ledger that is kept next to a store table (a hidden folder)."""
+    return KeyLedger(spark, f"{_location(spark, table)}/_keys", keys)
+
+
 def append_absent(spark: SparkSession, new: DataFrame, table: str, keys: list[str]) -> DataFrame:
     """Append the rows of ``new`` whose key the *table* doesn't have, through the
-    table, so its partitions are known; returns the rows that were added."""
+    table, so its partitions are known; returns the rows that were added.  Keys are
+    looked up in the table's ledger; the stored rows are not read."""
     cols = spark.table(table).columns
     batch = dedupe_batch(new.select(*cols), keys)
-    fresh = cut_lineage(batch.join(spark.table(table).select(*keys), keys, "left_anti").select(*cols))
+    ledger = key_ledger(spark, table, keys)
+    fresh = cut_lineage(ledger.absent(batch, spark.table(table)).select(*cols))
+    noted = ledger.begin(fresh)
     fresh.write.insertInto(table)
     spark.catalog.refreshTable(table)
+    ledger.commit(noted)
     return fresh
 
 
@@ -184,20 +195,37 @@ def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 def insert_if_absent(spark: SparkSession, new: DataFrame, target_path: str, keys: list[str],
                      order_by: list[str] | None = None, fmt: str = "parquet",
-                     partition_by: list[str] | None = None) -> tuple[DataFrame, int]:
-    """``INSERT ... ON CONFLICT (keys) DO NOTHING``: dedupe the batch, left
-    anti join against the target's keys, append.  Returns (target after,
-    number of rows actually inserted)."""
+                     partition_by: list[str] | None = None,
+                     ledger: bool = False) -> tuple[DataFrame, int]:
+    """``INSERT ... ON CONFLICT (keys) DO NOTHING``: dedupe the batch, drop the keys the
+    target has, append.  Returns (target after, number of rows actually inserted).
+    ``ledger``: keys are looked up in a ledger below the target (the first of ``keys`` is the
+    dataset) instead of in the target's rows."""
+    after, fresh = insert_absent_rows(spark, new, target_path, keys, order_by, fmt, partition_by, ledger)
+    return after, fresh.count()
+
+
+def insert_absent_rows(spark: SparkSession, new: DataFrame, target_path: str, keys: list[str],
+                       order_by: list[str] | None = None, fmt: str = "parquet",
+                       partition_by: list[str] | None = None,
+                       ledger: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As ``insert_if_absent``, but returns the inserted rows."""
     batch = dedupe_batch(new, keys, order_by)
     existing = read_or_none(spark, target_path, fmt)
-    fresh = batch if existing is None else batch.join(existing.select(*keys), keys, "left_anti")
-    fresh = cut_lineage(fresh)          # count and write the same rows
-    n = fresh.count()
+    book = KeyLedger(spark, f"{target_path.rstrip('/')}/_keys", keys) if ledger else None
+    if book is not None:
+        fresh = book.absent(batch, batch.limit(0) if existing is None else existing)
+    else:
+        fresh = batch if existing is None else batch.join(existing.select(*keys), keys, "left_anti")
+    fresh = cut_lineage(fresh)          # the rows that are counted are those written
+    noted = book.begin(fresh) if book else None
     w = fresh.write.mode("append").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(target_path)
-    return spark.read.format(fmt).load(target_path), n
+    if book:
+        book.commit(noted)
+    return spark.read.format(fmt).load(target_path), fresh
 
 
 # --- #14 / #15 / #16 catalog changes -------------------------------------------------------------

@@ -7,6 +7,8 @@ pruned reads only file metadata, in parallel), and schemas come from
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,8 +88,18 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(root).select("path", "length")
-    root_re = "^.*?" + root.rstrip("/").replace(".", r"\.") + "/"
-    return df.withColumn("rel_path", F.regexp_replace("path", root_re, ""))
+    return df.withColumn("rel_path", _below(F.col("path"), root))
+
+
+def _below(path, root: str) -> F.Column:
+    """The part of a file path below ``root``, whatever scheme either is written with."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root.rstrip("/"))
+    return F.regexp_replace(path, "^.*?" + re.escape(plain) + "/", "")
+
+
+def table_of_path(path, root: str) -> F.Column:
+    """The table a file below ``root`` belongs to."""
+    return _table_of(_below(path, root))
 
 
 def _table_of(rel_path) -> F.Column:

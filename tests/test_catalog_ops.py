@@ -136,3 +136,53 @@ def test_spread_only_of_small_inputs_in_few_files(spark, monkeypatch):
     assert util.spread(li, 4) is li                             # large: the scan has splits enough
     few = spark.range(10)
     assert util.spread(few, 4) is few                           # not a file scan
+
+
+def test_profile_store_reads_only_changed_files(spark):
+    """Files added, changed and removed: only new ones are read, and the profile is that of a full read."""
+    import os
+    import shutil
+
+    from cataloom.operators.profile_store import ProfileStore
+    from cataloom.session import scratch_path
+    root = scratch_path(spark, "profiled").removeprefix("file:")
+
+    def add(table, name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/tmp/{name}")
+        made = [f for f in os.listdir(f"{root}/tmp/{name}") if f.endswith(".parquet")][0]
+        os.makedirs(f"{root}/data/{table}", exist_ok=True)
+        shutil.copy(f"{root}/tmp/{name}/{made}", f"{root}/data/{table}/{name}.parquet")
+
+    a, b = "k long, `odd.name` string, v array<double>", "x double, d decimal(9,2)"
+    add("a", "one", [(i, f"s{i % 7}", [float(i % 3), -0.0]) for i in range(50)], a)
+    add("a", "two", [(i, None if i % 5 == 0 else "s1", None) for i in range(30, 90)], a)
+    add("b", "only", [(0.0, None), (-0.0, None), (float("nan"), None), (None, None)], b)
+
+    def full():
+        tables = {t: spark.read.parquet(f"{root}/data/{t}") for t in sorted(os.listdir(f"{root}/data"))}
+        return {(r.dataset_id, r.column_name): (r.row_count, r.null_ratio, r.distinct_ratio)
+                for r in cat.profile_columns(tables).collect()}
+
+    exact, sketch = (ProfileStore(spark, scratch_path(spark, "kept"), e) for e in (True, False))
+    assert exact.profile(f"{root}/data").count() == 0
+
+    def check(read):
+        for store in (exact, sketch):
+            assert [os.path.basename(p) for p in store.sync(f"{root}/data")] == read
+            got = {(r.dataset_id, r.column_name): (r.row_count, r.null_ratio, r.distinct_ratio)
+                   for r in store.profile(f"{root}/data").collect()}
+            want = full()
+            if store is exact:
+                assert got == want
+            else:
+                assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+                assert all(abs(got[k][2] - v[2]) <= 0.05 * v[2] + 1e-9 for k, v in want.items())
+
+    check(["one.parquet", "two.parquet", "only.parquet"])
+    check([])
+    add("a", "three", [(i, "new", [1.0]) for i in range(1000, 1010)], a)
+    check(["three.parquet"])
+    os.unlink(f"{root}/data/a/one.parquet")
+    check([])
+    add("b", "more", [(1.5, None)], b)
+    check(["more.parquet"])

@@ -209,8 +209,66 @@ def test_replace_switches_in_one_step(spark, monkeypatch):
     added = sink.append_absent(spark, frame([("x", "3", "again"), ("x", "4", "plus"), ("z", "1", "plus")]), name, ["dataset_id", "pk"])
     assert added.count() == 2
     assert _store_rows(spark, name) == sorted(second + [("x", "4", "plus"), ("z", "1", "plus")])
-    files = glob.glob(path.removeprefix("file:") + "/**/*.parquet", recursive=True)
+    files = [f for f in glob.glob(path.removeprefix("file:") + "/**/*.parquet", recursive=True) if "/_keys/" not in f]
     assert sum(spark.read.parquet(f).count() for f in files) == 5 + 1     # old rows are gone; one of the failed run
     with pytest.raises(ValueError):
         sink.replace_by_dataset(spark, frame([(None, "1", "x")]), name)
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_ledger_answers_without_the_store(spark, monkeypatch):
+    """A second run without new rows reads no key and no stored row; few new rows read few shards."""
+    from cataloom.sources import ledger as lg
+    path, keys = scratch_path(spark, "ledgered"), ["dataset_id", "pk"]
+
+    def batch(lo, hi, text="t"):
+        return spark.range(lo, hi).select(F.concat(F.lit("d"), F.col("id") % 3).alias("dataset_id"),
+                                          F.col("id").cast("string").alias("pk"), F.lit(text).alias("text_chunk"))
+
+    assert sink.insert_if_absent(spark, batch(0, 3000), path, keys, ledger=True)[1] == 3000
+    rebuilt = []
+    real = lg.KeyLedger.recover
+    monkeypatch.setattr(lg.KeyLedger, "recover", lambda self, s: rebuilt.append(real(self, s)) or rebuilt[-1])
+    book = lg.KeyLedger(spark, f"{path}/_keys", keys)
+    store = spark.read.parquet(path)
+    again = book.absent(batch(0, 3000, "other"), store)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert again.count() == 0 and "parquet" not in plan.lower()      # nothing is left to read
+    generation, doubt = book._state()
+    assert not doubt and book.changed(lg.digests(batch(0, 3000), keys), generation) == []
+    assert len(book.changed(lg.digests(batch(0, 3002), keys), generation)) <= 2
+    assert sink.insert_if_absent(spark, batch(0, 3002), path, keys, ledger=True)[1] == 2
+    assert sink.insert_if_absent(spark, batch(2990, 3010, "x"), path, keys, ledger=True)[1] == 8
+    assert sink.insert_if_absent(spark, batch(5, 9), path, keys, ledger=True)[1] == 0
+    assert not any(rebuilt)
+    # rows that came by other means, and a run that failed between its rows and its commit
+    batch(4000, 4004).write.mode("append").parquet(path)
+    assert sink.insert_if_absent(spark, batch(4000, 4005), path, keys, ledger=True)[1] == 1 and rebuilt[-1]
+    monkeypatch.setattr(lg.KeyLedger, "commit", lambda self, noted: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        sink.insert_if_absent(spark, batch(5000, 5002), path, keys, ledger=True)
+    monkeypatch.undo()
+    assert sink.insert_if_absent(spark, batch(5000, 5003), path, keys, ledger=True)[1] == 1
+    after = spark.read.parquet(path)
+    assert after.count() == after.select(*keys).distinct().count() == 3000 + 10 + 5 + 3
+    none = spark.createDataFrame([(None, "1", "t"), (None, "1", "t"), ("d", None, "t")], after.schema)
+    assert [sink.insert_if_absent(spark, none, path, keys, ledger=True)[1] for _ in range(2)] == [2, 0]
+
+
+def test_ledger_follows_a_replace(spark):
+    name = sink.unique_name("book")
+    sink.ensure_store(spark, name, scratch_path(spark, "book"))
+
+    def frame(*keys):
+        return spark.createDataFrame([(d, k, "t", [1.0]) for d, k in keys], sink.STORE_SCHEMA)
+
+    def add(*keys):
+        return sink.append_absent(spark, frame(*keys), name, ["dataset_id", "pk"]).count()
+
+    assert add(("a", "1"), ("b", "1")) == 2 and add(("a", "1"), ("b", "1")) == 0
+    sink.replace_by_dataset(spark, frame(("a", "2")), name, ["a"])
+    assert add(("a", "1"), ("a", "2"), ("b", "1")) == 1
+    sink.replace_by_dataset(spark, frame(("b", "1")).limit(0), name, ["a", "b"])
+    assert add(("a", "1"), ("b", "1")) == 2
+    assert spark.table(name).count() == 2
+    spark.sql(f"DROP TABLE {name}")
