@@ -50,14 +50,21 @@ SCOPE = frozenset("table ul ol dl div article section main body td th".split())
 #: that go only with the box they are in.
 QUOTED = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre".split())
 CELLS = frozenset("li dt dd tbody thead tfoot tr td th caption figcaption".split())
-#: Class, id and role words of page furniture (whole words of the attribute).
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|"
-    r"banner|cookie|cookies|consent|gdpr|notice|notices|newsletter|subscribe|popup|modal|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|widget|related|"
-    r"recommended|share|sharing|social|comment|comments|disqus|replies|respond|footer|"
-    r"header|masthead|pagination|pager|skip|toolbar|complementary|contentinfo|search)"
-    r"(?:$|[\s_-])", re.I)
+#: Words of the class, id and role names of boxes that are page furniture, and words that
+#: such names are completed with.  A name counts when all its words are of these two lists
+#: and at least one is of the first, so "share-buttons" does and "side-effects" does not.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies "
+    "consent gdpr notice notices newsletter subscribe popup modal nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar widget related recommended share sharing social comment "
+    "comments disqus replies respond footer masthead pagination pager skip toolbar complementary "
+    "contentinfo".split())
+COMPLETES = frozenset(
+    "area bar block box bottom button buttons container form inner item items left link links list "
+    "outer panel policy posts right section signup site slot thread top unit widgets wrap wrapper".split())
+WORDS = re.compile(r"[a-z]+|[0-9]+")
+#: A box is not furniture by its name when it holds more than this share of the text.
+MOST_TEXT = 0.75
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -153,29 +160,45 @@ def attributes(node: Node) -> dict[str, str]:
             for m in ATTR.finditer(node.attrs)}
 
 
+def named_furniture(name: str) -> bool:
+    """Whether one class, id or role name is that of page furniture."""
+    words = [w for w in WORDS.findall(name.lower()) if not w.isdigit()]
+    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in COMPLETES for w in words)
+
+
 def is_furniture(node: Node, in_article: bool) -> bool:
+    """By tag, or hidden."""
     if node.tag in DROP or node.tag == "header" and not in_article:
         return True
     if not node.attrs or node.tag in ("html", "body", "article", "main"):
         return False
     a = attributes(node)
-    if "hidden" in a or a.get("aria-hidden") == "true":
-        return True
-    return any(FURNITURE.search(a.get(k, "")) for k in ("class", "id", "role"))
+    return "hidden" in a or a.get("aria-hidden") == "true"
+
+
+def is_named_furniture(node: Node) -> bool:
+    """By a name; paragraphs, headings and quotes are never furniture by name."""
+    if not node.attrs or node.tag in QUOTED or node.tag in ("html", "body", "article", "main"):
+        return False
+    a = attributes(node)
+    return any(named_furniture(n) for k in ("class", "id", "role") for n in a.get(k, "").split())
 
 
 def content_roots(root: Node) -> list[Node]:
-    """The outermost article elements, else main elements, else the whole page."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == tag:
-                found.append(node)
-            elif node.tag not in DROP and not is_furniture(node, False):
-                todo.extend(p for p in reversed(node.parts) if not isinstance(p, str))
-        if found:
-            return found
+    """The outermost article elements, else main elements, else the whole page.  Boxes with a
+    name of furniture are searched only when there is none outside them."""
+    for inside in (False, True):
+        for tag in ("article", "main"):
+            found, todo = [], [root]
+            while todo:
+                node = todo.pop()
+                if node.tag == tag:
+                    found.append(node)
+                elif (node.tag not in DROP and not is_furniture(node, False)
+                        and (inside or not is_named_furniture(node))):
+                    todo.extend(p for p in reversed(node.parts) if not isinstance(p, str))
+            if found:
+                return found
     return [root]
 
 
@@ -251,6 +274,7 @@ def main_text(root: Node) -> str:
 
     for top in content_roots(root):
         article = top is not root
+        whole = None
         todo: list[Node | str | None] = [top]
         while todo:
             node = todo.pop()
@@ -258,7 +282,14 @@ def main_text(root: Node) -> str:
                 flush()
             elif isinstance(node, str):
                 run.append(node)
-            elif node is not top and is_furniture(node, article):
+            elif node is not top and (is_furniture(node, article) or is_named_furniture(node)):
+                if not is_furniture(node, article):
+                    whole = _length(top) if whole is None else whole
+                    if _length(node) > MOST_TEXT * whole:      # the page itself, whatever its name
+                        flush()
+                        todo.append(None)
+                        todo.extend(reversed(node.parts))
+                        continue
                 if node.tag not in INLINE:
                     flush()
             elif node.tag in INLINE:
@@ -310,8 +341,8 @@ def extract(df: DataFrame, id_col: str, url_col: str, html_col: str,
 
     Null html is empty and gives an empty text; a null url belongs to the host
     "".  Broken markup (unclosed or truncated tags) is read as far as it goes.
-    Pages whose rows are equal share one decision; repeated rows and null ids
-    pass through; an empty table gives no rows; other columns are ignored."""
+    Texts of any length are read whole.  Pages whose rows are equal share one decision;
+    repeated rows and null ids pass through; an empty table gives no rows; other columns are ignored."""
     pages = df.select(df[id_col].alias("id"), df[url_col].alias("url"),
                       df[html_col].alias("html"))
     pages = pages.select(F.xxhash64("url", "html").alias("row"), "id", "url",

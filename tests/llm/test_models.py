@@ -46,6 +46,26 @@ def test_page_text():
         html_text.main_text(html_text.parse(broken))
 
 
+def test_names_do_not_cost_articles():
+    """Wrappers and headings whose names hold a word of furniture keep their text; boxes named as furniture go."""
+    def text(html):
+        return html_text.main_text(html_text.parse(html))
+
+    art = "<article><h1>Head</h1><p>Story of one</p></article>"
+    for wrap in ("div class='layout sidebar-right'", "div class='content has-sidebar'", "div id='search-results-page'", "div class=sidebar",
+                 "section class='related'", "div class='no-ads comments'"):
+        assert text(f"<body><{wrap}>{art}</div><div class=ad>Buy</div></body>") == "Head Story of one"
+        assert text(f"<body><{wrap}>{art.replace('article', 'main')}</div></body>") == "Head Story of one"
+        assert text(f"<body><nav>Menu</nav><{wrap}><h1>Head</h1><p>Story of one and more of it</p></div></body>") == "Head Story of one and more of it"
+    inside = ("<article><div class='entry-header'><h1>Head</h1></div><h2 class='side-effects'>Effects</h2><p class=notice>Paragraph</p>"
+              "<section class='related-work'><p>Work</p></section><div class='share-buttons'>Like</div><div id='comments'><p>Nice</p></div>"
+              "<div class='cookie-notice'>Cookies</div><div class='newsletter-signup'><p>Mail</p></div><p>" + "Long end " * 20 + "</p></article>")
+    assert text(inside) == "Head Effects Paragraph Work " + " ".join(["Long end"] * 20)
+    assert text(f"<div class='related posts'><article>Teaser</article></div>{art}") == "Head Story of one"
+    long = "word " * 200_000
+    assert text(f"<article><p>{long}</p><div class=ad>x</div></article>") == long.strip()
+
+
 def test_templates(spark):
     """Boxes without telling names go when they recur on a host; article texts that recur stay."""
     rows = [(i, f"http://{h}.org/{i}", f"<body><div><div>Site {h} promise</div><div><p>Text {i}</p><p>Common</p></div></div></body>")
