@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import out, sub_batches, written
+from cataloom.llm.common import out, own_names, sub_batches, written
 
 CAPACITY = 2048
 OPEN_BINS = 4096
@@ -150,8 +150,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     offset are replaced."""
     pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
     n = max(1, -(-pieces.count() // task_pieces))
-    dealt = pieces.withColumn("__h", F.xxhash64(*pieces.columns)).repartition(n)
-    dealt = dealt.sortWithinPartitions("__h").drop("__h")
+    h, = own_names(pieces, "h")
+    dealt = pieces.withColumn(h, F.xxhash64(*pieces.columns)).repartition(n)
+    dealt = dealt.sortWithinPartitions(h).drop(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

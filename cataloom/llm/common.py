@@ -31,6 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` doesn't have (names differ in more than
+    case), for columns an operator adds for itself."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings; null is the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import out, sub_batches, written
+from cataloom.llm.common import out, own_names, sub_batches, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -266,12 +266,17 @@ class LineIndex:
         plus _n_lines and _n_dropped (before and dropped).
 
         Null text stays null if nothing is dropped and counts as one empty line.
-        Empty keys (below min_chars) are never dropped.  Repeated rows, null ids
-        and extra columns pass through; an empty table gives no rows."""
-        row = F.xxhash64(text_col)
-        gone = self.dropped(docs, text_col).withColumnRenamed("keys", "__gone")
-        joined = (docs.withColumn("__row", row).join(
-            gone.withColumnRenamed("row", "__row"), "__row", "left").drop("__row"))
+        Empty keys (below min_chars) are never dropped.  Texts of any length are read whole.
+        Repeated rows, null ids and extra columns pass through (columns named _n_lines or
+        _n_dropped are replaced); an empty table gives no rows."""
+        docs = docs.drop("_n_lines", "_n_dropped")
+        row, keys = own_names(docs, "row", "keys")
+        # written first: the join is planned from its size, and all copies of a hot text
+        # need not meet in one task
+        gone = written(self.dropped(docs, text_col).select(F.col("row").alias(row),
+                                                           F.col("keys").alias(keys)), "dropped")
+        joined = (docs.withColumn(row, F.xxhash64(text_col)).join(gone, row, "left")
+                  .select(*docs.columns, keys))
         names, types = docs.columns, [f.dataType.simpleString() for f in docs.schema]
         at, min_chars = names.index(text_col), self.min_chars
 

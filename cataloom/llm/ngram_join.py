@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import mix64, most_frequent, numbers, out, sub_batches, written
+from cataloom.llm.common import mix64, most_frequent, numbers, out, own_names, sub_batches, written
 from cataloom.llm.components import components
 
 WORDS = 5
@@ -424,6 +424,8 @@ def _cluster_links(members: DataFrame, size: int, percent: int) -> DataFrame:
     stats = stats.filter((F.col("sets") > 1) & (F.col("lowest") == F.col("zone"))).select(
         "root", "zone", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS),
                                    F.ceil(F.col("grams") / BLOCK_NGRAMS)).cast("int").alias("nb"))
+    # written: the join is planned from its size, and a large cluster is not one task's
+    stats = written(stats, "zones")
     m = (m.join(stats, ["root", "zone"])
          .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
          .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -538,12 +540,14 @@ def drop_near_copies(df: DataFrame, id_col: str, text_col: str, size: int = WORD
         F.max("keep_row").alias("keep"), F.count(F.lit(1)).alias("n"),
         F.max(F.col("cls").isNull()).alias("empty")), "kept-rows")
 
+    row, = own_names(df, "row")
+
     def rows(which: str) -> DataFrame:
-        keys = gone.filter(f"keep and {which}").select(F.col("row").alias("__row"))
-        return df.withColumn("__row", F.xxhash64(id_col, text_col)).join(keys, "__row")
+        keys = gone.filter(f"keep and {which}").select(F.col("row").alias(row))
+        return df.withColumn(row, F.xxhash64(id_col, text_col)).join(keys, row)
 
     once = rows("(n = 1 or empty)").select(df.columns)
     if gone.filter("keep and n > 1 and not empty").isEmpty():
         return once
-    again = rows("n > 1 and not empty").dropDuplicates(["__row"])
+    again = rows("n > 1 and not empty").dropDuplicates([row])
     return once.unionByName(again.select(df.columns))

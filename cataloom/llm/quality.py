@@ -99,11 +99,12 @@ def fit_vectors(docs: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EP
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
         rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Fit on at most about ``rows`` labelled documents.  Null labels and ids are
-    ignored; of rows with one id one counts, that with the smallest text hash; without
+    ignored; of rows with one id one counts, that with the smallest text hash, and of its labels
+    the smallest; texts are read whole; without
     both labels the model is a constant."""
     own = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
            .select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("label"))
-           .dropDuplicates(["i"]))
+           .groupBy("i").agg(F.min("label").alias("label")))
     # at most about ``rows`` rows of 12 bytes, by construction
     own = F.broadcast(hash_sample(own, ["i"], rows))
     src = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(own, "i")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cataloom.llm.common import ascii_lower
+from cataloom.llm.common import ascii_lower, own_names
 from cataloom.operators.util import bounded_rows
 
 #: A rule list up to this many rows is broadcast (about 60 bytes a row: 12 MB);
@@ -54,10 +54,12 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
     then the longer host) wins, at equal length ``block`` goes first.  No rule:
     rule null, verdict ``default``.  Null urls have empty host and path and fit
     no rule.  Rules with a null part are ignored; columns of the input named
-    host, path, rule or verdict are replaced.  Empty tables give no rows."""
+    host, path, rule or verdict are replaced, others of any name stay.  URLs of any
+    length are read whole.  Empty tables give no rows."""
     keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = split_url(F.col("url"))
     base = urls.select(*keep, host.alias("host"), path.alias("path"))
+    h, p, hit = own_names(base, "h", "p", "hit")
 
     r = (rules.select("verdict", ascii_lower(F.col("host")).alias("rh"), F.col("path").alias("rp"))
          .dropna().select("verdict", "rh", "rp", _digest(F.col("rh"), F.col("rp")).alias("full"))
@@ -90,8 +92,7 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
                                 F.length("rh").alias("m"),
                                 (F.col("verdict") == "block").alias("b"),
                                 "verdict", F.concat("rh", "rp").alias("rule"))).alias("w"))
-            .select(F.col("host").alias("h"), F.col("path").alias("p"),
-                    "w.rule", F.col("w.verdict").alias("v")))
-    return (base.join(hits, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-            .select(*keep, "host", "path", "rule",
-                    F.coalesce("v", F.lit(default)).alias("verdict")))
+            .select(F.col("host").alias(h), F.col("path").alias(p), F.col("w").alias(hit)))
+    return (base.join(hits, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+            .select(*keep, "host", "path", F.col(hit)["rule"].alias("rule"),
+                    F.coalesce(F.col(hit)["verdict"], F.lit(default)).alias("verdict")))
