@@ -271,10 +271,10 @@ class LineIndex:
         _n_dropped are replaced); an empty table gives no rows."""
         docs = docs.drop("_n_lines", "_n_dropped")
         row, keys = own_names(docs, "row", "keys")
-        # written first: the join is planned from its size, and all copies of a hot text
-        # need not meet in one task
+        # written first, and joined by shuffle at every size: both sides come straight from
+        # an exchange, so adaptive execution can split the copies of a hot text
         gone = written(self.dropped(docs, text_col).select(F.col("row").alias(row),
-                                                           F.col("keys").alias(keys)), "dropped")
+                                                           F.col("keys").alias(keys)), "dropped").hint("merge")
         joined = (docs.withColumn(row, F.xxhash64(text_col)).join(gone, row, "left")
                   .select(*docs.columns, keys))
         names, types = docs.columns, [f.dataType.simpleString() for f in docs.schema]
