@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cataloom.session import scratch_path
@@ -31,6 +31,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def positions(df: DataFrame, order_cols: list[str]) -> DataFrame:
+    """``df`` with ``idx``, the 0-based place of a row in the order of ``order_cols``: sorted over
+    all tasks and written with each row's place in its task, then shifted by the rows of the
+    tasks before (one number for each task)."""
+    part, at = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+    rows = written(df.orderBy(*order_cols).select("*", part, at), "ordered")
+    tasks = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_first")
+    shift = tasks.select("_part", before.alias("_shift"))
+    return (rows.join(F.broadcast(shift), "_part")
+            .withColumn("idx", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift"))
+
+
 def own_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like the wanted ones that ``df`` doesn't have (names differ in more than
     case), for columns an operator adds for itself."""

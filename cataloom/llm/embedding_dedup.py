@@ -7,10 +7,13 @@ the threshold (cosine in double precision) are united over all passes into
 components.  A bounded window cannot list every pair of a dense group, so links
 are then counted exactly inside each component, block against block.
 
-The number of passes follows the size of the label: a pair at the threshold
-differs in a random bit with probability acos(threshold) / pi and meets in a
-window when it agrees in the log2(n / window) bits that lead there, so the
-passes for a wanted recall are known (for evenly spread vectors).
+The hyperplanes go through the mean of the label, so vectors crowded around one
+direction still fall on both sides.  Passes and window follow the label: a pair at
+the threshold differs in a random bit with probability acos(r) / pi, where r is what
+the threshold becomes once the mean cosine of the label is taken out, and meets in a
+window when it agrees in the log2(n / window) bits that lead there.  Of the windows
+that reach the wanted recall the one with the least work is taken; a label no larger
+than the widest window is compared whole in one pass.
 
 Equal vectors of a label are compared as one: copies take one place in the order
 and count by their number.
@@ -26,13 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import out, written
+from cataloom.llm.common import out, positions, written
 from cataloom.llm.components import components
 
 #: Wanted share of the pairs at the threshold that meet in a window.
 RECALL = 0.999
 BITS = 48
+#: The narrowest window, and how often it may be doubled.
 WINDOW = 256
+DOUBLINGS = 5
+#: Comparisons that cost as much as sending one vector to a block.
+COMPARE = 400
+#: Least cosine that a pair at the threshold is taken to have around the label's mean.
+LEAST = 0.3
 #: Vectors in one block of the sorted order, and of the count inside a component.
 BLOCK = 2048
 #: Vectors of a block that are compared at once.
@@ -40,11 +49,14 @@ STEP = 256
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(row, id, label, vec, same): unit vectors in double precision; vec is null for rows
+    """(row, id, label, vec, same): vectors as they are (float or double); vec is null for rows
     that link with nothing (null, empty, zero or non-finite vectors, null labels).  ``same``
-    is a 128-bit digest of label and vector, in two parts; that of a row without is its own."""
+    is a 128-bit digest of label and unit vector, in two parts; that of a row without is its
+    own."""
+    kind = df.schema[vec_col].dataType
+    kind = kind.simpleString() if kind.simpleString() == "array<float>" else "array<double>"
     src = df.select(df[id_col].alias("id"), df[label_col].cast("string").alias("label"),
-                    df[vec_col].cast("array<double>").alias("v"))
+                    df[vec_col].cast(kind).alias("raw"), df[vec_col].cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
     # scaled by the largest component first, so that no square overflows
     top = F.array_max(F.transform("v", F.abs))
@@ -52,39 +64,101 @@ def vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFra
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
     ok = F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad & (top > 0)
     return (src.withColumn("s", F.when(ok, scaled))
-            .select("id", "label", F.when(F.col("s").isNotNull(),
-                                          F.transform("s", lambda x: x / norm)).alias("vec"))
+            .select("id", "label", F.when(F.col("s").isNotNull(), F.col("raw")).alias("vec"),
+                    F.when(F.col("s").isNotNull(), F.transform("s", lambda x: x / norm)).alias("unit"))
             .withColumn("row", F.monotonically_increasing_id())
             .withColumn("same", F.when(F.col("vec").isNull(), F.struct(
                 F.col("row").alias("h"), F.lit(0).cast("long").alias("k"))).otherwise(F.struct(
-                    F.xxhash64("label", "vec").alias("h"),
-                    F.xxhash64(F.lit("same"), "vec", "label").alias("k")))))
+                    F.xxhash64("label", "unit").alias("h"),
+                    F.xxhash64(F.lit("same"), "unit", "label").alias("k"))))
+            .drop("unit"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    """Rows of one size as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def passes_for(n, threshold: float, window: int, recall: float = RECALL):
-    """Passes (a column) after which a pair at the threshold has met in a window with
-    probability ``recall`` among ``n`` (a column) evenly spread vectors."""
-    same = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    meets = F.pow(F.lit(same), F.greatest(F.log2(n / F.lit(float(window))), F.lit(0.0)))
+def _units(column: pa.Array) -> np.ndarray:
+    """Unit vectors in double precision of non-zero vectors of one size."""
+    x = _matrix(column)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # first, so that no square overflows
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def passes_for(n, threshold, window: int, recall: float = RECALL):
+    """Passes (a column) after which a pair at the threshold (a number or column) has met in
+    a window with probability ``recall`` among ``n`` (a column) evenly spread vectors."""
+    cos = F.least(F.greatest(F.lit(threshold) if isinstance(threshold, float) else threshold,
+                             F.lit(-1.0)), F.lit(1.0))
+    same = 1 - F.acos(cos) / math.pi
+    meets = F.pow(same, F.greatest(F.log2(n / F.lit(float(window))), F.lit(0.0)))
     needed = F.ceil(F.lit(math.log(1 - recall)) / F.log1p(-F.least(meets, F.lit(0.9))))
     return F.when(n <= window + 1, 1).otherwise(needed).cast("int")
 
 
-def _with_passes(vecs: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
-    """(row, label, vec, passes): passes by the number of vectors that are compared."""
-    vecs = vecs.select("row", "label", "vec", F.size("vec").alias("dim"))
-    sizes = vecs.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("label", "dim", passes_for(F.col("n"), threshold, window, recall)
-                         .alias("passes"))
-    return vecs.join(sizes, ["label", "dim"]).select("row", "label", "vec", "passes")
+def _sums(single: DataFrame) -> DataFrame:
+    """(label, dim, n, total): numbers and sums of the unit vectors, a few rows for each label
+    and task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("n", pa.int64()),
+                            ("total", pa.list_(pa.float64()))])
+        held: dict[tuple[str, int], list] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(label, d, n, t) for (label, d), (n, t) in held.items()]
+            held.clear()
+            return out(schema, *map(list, zip(*rows)))
+
+        for b in batches:
+            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes):
+                part = b.filter(pa.array(sizes == d))
+                label = part.column(0).dictionary_encode()
+                at, x = label.indices.to_numpy(), _units(part.column(1))
+                for i, name in enumerate(label.dictionary.to_pylist()):
+                    own = x[at == i]
+                    n, t = held.get((name, int(d)), (0, 0.0))
+                    held[name, int(d)] = [n + len(own), t + own.sum(axis=0)]
+            if len(held) >= BLOCK:
+                yield flush()
+        if held:
+            yield flush()
+
+    return single.select("label", "vec").mapInArrow(
+        run, "label string, dim int, n long, total array<double>")
+
+
+def _label_plans(single: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
+    """(label, dim, centre, window, passes): a row for each label and vector size."""
+    sums = written(_sums(single), "label-sums")
+    n = sums.groupBy("label", "dim").agg(F.sum("n").alias("n"))
+    centre = (sums.select("label", "dim", F.posexplode("total").alias("at", "x"))
+              .groupBy("label", "dim", "at").agg(F.sum("x").alias("x"))
+              .groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s")))
+    # the order of a sum must not move a vector to another side
+    both = n.join(centre, ["label", "dim"]).select(
+        "label", "dim", "n", F.transform("s", lambda e: F.round(e["x"] / F.col("n"), 9)).alias("centre"))
+    square = F.aggregate("centre", F.lit(0.0), lambda a, x: a + x * x)
+    # the mean cosine of two different vectors of the label
+    both = both.withColumn("crowd", F.greatest(
+        F.lit(0.0), (square * F.col("n") - 1) / F.greatest(F.col("n") - 1, F.lit(1))))
+    left = F.when(F.col("crowd") < threshold, (F.lit(float(threshold)) - F.col("crowd"))
+                  / (1 - F.col("crowd")))
+    both = both.withColumn("cos", F.greatest(F.coalesce(left, F.lit(LEAST)), F.lit(LEAST)))
+    ways = []
+    for w in (window << k for k in range(DOUBLINGS + 1)):
+        passes = passes_for(F.col("n"), F.col("cos"), w, recall)
+        reach = F.least(F.lit(float(w)), F.col("n") / 2.0)
+        ways.append(F.struct((passes * (1 + reach / BLOCK + reach / COMPARE)).alias("cost"),
+                             F.lit(w).alias("window"), passes.alias("passes")))
+    return both.withColumn("way", F.array_min(F.array(*ways))).select(
+        "label", "dim", "centre", "way.window", "way.passes")
 
 
 def _keys(vecs: DataFrame, bits: int, seed: int) -> DataFrame:
-    """(pass, label, dim, key, row, vec): a row for each vector and each of its passes."""
+    """vecs (row, label, vec, centre, passes) -> (pass, label, dim, key, row): a row for each
+    vector and each of its passes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
@@ -93,39 +167,46 @@ def _keys(vecs: DataFrame, bits: int, seed: int) -> DataFrame:
                 sizes = part.column(2).value_lengths().to_numpy()
                 for d in np.unique(sizes):
                     every = part.filter(pa.array(sizes == d))
-                    wanted = every.column(3).to_numpy()
+                    wanted = every.column(4).to_numpy()
+                    x = _units(every.column(2)) - _matrix(every.column(3))
                     for k in range(wanted.max()):
-                        own = every.filter(pa.array(wanted > k))
-                        x = _matrix(own.column(2))
+                        own = np.flatnonzero(wanted > k)
                         if (k, d) not in planes:
                             planes[k, d] = np.random.default_rng([seed, k, d]).normal(
                                 size=(d, bits))
-                        side = np.packbits(x @ planes[k, d] > 0, axis=1)
-                        n = own.num_rows
+                        side = np.packbits(x[own] @ planes[k, d] > 0, axis=1)
+                        take = pa.array(own)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, k), pa.int32()), own.column(1),
-                             pa.array(np.full(n, d), pa.int32()),
+                            [pa.array(np.full(len(own), k), pa.int32()),
+                             every.column(1).take(take), pa.array(np.full(len(own), d), pa.int32()),
                              pa.array([r.tobytes() for r in side], pa.binary()),
-                             own.column(0), own.column(2)],
-                            names=["pass", "label", "dim", "key", "row", "vec"])
+                             every.column(0).take(take)],
+                            names=["pass", "label", "dim", "key", "row"])
 
-    return vecs.select("row", "label", "vec", "passes").mapInArrow(
-        run, "pass int, label string, dim int, key binary, row long, vec array<double>")
+    return vecs.select("row", "label", "vec", "centre", "passes").mapInArrow(
+        run, "pass int, label string, dim int, key binary, row long")
 
 
-def _windows(sorted_rows: DataFrame, window: int, threshold: float) -> DataFrame:
-    """(a, b) links between neighbours; every block also holds the ``window``
-    rows before it, so no border hides a pair.  A block gives the links that connect
-    its rows, at most one for each row."""
+def _windows(order: DataFrame, single: DataFrame, plans: DataFrame, threshold: float) -> DataFrame:
+    """order (pass, label, dim, row, idx) -> (a, b) links between neighbours.  A row goes to its
+    own block and to those that its window reaches within its label and pass, so no border
+    hides a pair; vectors travel only here.  A block gives the links that connect its rows, at
+    most one for each row."""
+    group = ["pass", "label", "dim"]
+    ends = written(order.groupBy(*group).agg(F.max("idx").alias("end"))
+                   .join(plans.select("label", "dim", "window"), ["label", "dim"]), "label-ends")
     block = F.col("idx") - F.col("idx") % BLOCK
-    after = F.col("idx") + window
-    spread = sorted_rows.withColumn(
-        "block", F.explode(F.sequence(block, after - after % BLOCK, F.lit(BLOCK).cast("long"))))
+    after = F.least(F.col("idx") + F.col("window"), F.col("end"))
+    sent = (order.join(ends, group).join(single.select("row", "vec"), "row")
+            .withColumn("block", F.explode(F.sequence(
+                block, after - after % BLOCK, F.lit(BLOCK).cast("long"))))
+            .select("block", "idx", "row", *group, "window", "vec"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for t in _groups(batches, "block"):
-            rows, idx, dim = (t[c].combine_chunks().to_numpy() for c in ("row", "idx", "dim"))
+            rows, idx, dim, window = (t[c].combine_chunks().to_numpy()
+                                      for c in ("row", "idx", "dim", "window"))
             first = t["block"][0].as_py()
             same = [t[c].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
                     for c in ("pass", "label")]
@@ -133,24 +214,28 @@ def _windows(sorted_rows: DataFrame, window: int, threshold: float) -> DataFrame
             vec = t["vec"].combine_chunks()
             for d in np.unique(dim):
                 at = np.flatnonzero(dim == d)
-                x, place, g = _matrix(vec.take(pa.array(at))), idx[at], group[at]
+                x, place, g, w = _units(vec.take(pa.array(at))), idx[at], group[at], window[at]
+                # where the label and pass of each row begin
+                new = np.concatenate([[True], g[1:] != g[:-1]])
+                start = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
                 a, b = [], []
                 for lo in range(int(np.searchsorted(place, first)), len(at), STEP):
                     hi = min(lo + STEP, len(at))
-                    low = int(np.searchsorted(place, place[lo] - window))
-                    gap = place[lo:hi, None] - place[None, low:hi]
-                    hit = ((x[lo:hi] @ x[low:hi].T >= threshold) & (gap > 0) & (gap <= window)
-                           & (g[lo:hi, None] == g[None, low:hi]))
-                    i, j = np.nonzero(hit)
-                    a.append(j + low)
-                    b.append(i + lo)
+                    low = int(np.maximum(start[lo:hi], np.searchsorted(
+                        place, place[lo:hi] - w[lo:hi])).min())
+                    i, j = np.nonzero(x[lo:hi] @ x[low:hi].T >= threshold)
+                    i, j = i + lo, j + low
+                    gap = place[i] - place[j]
+                    hit = (gap > 0) & (gap <= w[i]) & (g[i] == g[j])
+                    a.append(j[hit])
+                    b.append(i[hit])
                 if a:
                     root = _connect(len(at), np.concatenate(a), np.concatenate(b))
                     tied = np.flatnonzero(root != np.arange(len(at)))
                     if len(tied):
                         yield out(schema, rows[at[root[tied]]], rows[at[tied]])
 
-    return (spread.repartition("block").sortWithinPartitions("block", "idx")
+    return (sent.repartition("block").sortWithinPartitions("block", "idx")
             .mapInArrow(run, "a long, b long"))
 
 
@@ -210,11 +295,11 @@ def _links(members: DataFrame, threshold: float) -> DataFrame:
             for key in sorted(set(zip(root.tolist(), i.tolist(), j.tolist()))):
                 at = np.flatnonzero((root == key[0]) & (i == key[1]) & (j == key[2]))
                 if key[1] == key[2]:
-                    x = _matrix(vec.take(pa.array(at)))
+                    x = _units(vec.take(pa.array(at)))
                     yield out(schema, rows[at], _count(x, x, n[at], threshold, True))
                 else:
                     a, b = at[own[at] == key[1]], at[own[at] == key[2]]
-                    x, y = _matrix(vec.take(pa.array(a))), _matrix(vec.take(pa.array(b)))
+                    x, y = _units(vec.take(pa.array(a))), _units(vec.take(pa.array(b)))
                     if len(a) and len(b):
                         yield out(schema, rows[a], _count(x, y, n[b], threshold))
                         yield out(schema, rows[b], _count(y, x, n[a], threshold))
@@ -240,22 +325,24 @@ def near_dedup(df: DataFrame, id_col: str, vec_col: str, label_col: str,
                window: int = WINDOW, seed: int = 17) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
-    Vectors are compared when labels are equal and not null and sizes are equal.
+    ``window`` is the narrowest neighbour window (see the module text).  Vectors are
+    compared when labels are equal and not null and sizes are equal, over all their
+    components however many.
     Null, empty, zero and non-finite vectors link with nothing.  Repeated rows
     (also of one id) are vectors of their own and link with each other.
     component_id is the smallest id reachable by links, kept whether it is the
     row's own; null ids are never the smallest unless all are null.  An empty
     table gives no rows; other columns are ignored."""
-    from cataloom.operators.util import with_index
     vecs = written(vectors(df, id_col, vec_col, label_col), "vectors")
     usable = vecs.filter("vec is not null")
     copies = usable.groupBy("same").agg(F.min("row").alias("row"), F.min("id").alias("low"),
                                         F.count(F.lit(1)).alias("n"))
     # one vector for each group of equal ones, known by its first row
     single = written(usable.select("row", "label", "vec").join(copies, "row"), "distinct-vectors")
-    keyed = _keys(_with_passes(single, threshold, window, recall), bits, seed)
-    order = with_index(keyed, ["pass", "label", "dim", "key", "row"])
-    comp = components(_windows(order, window, threshold).distinct())
+    plans = written(_label_plans(single, threshold, window, recall), "label-plans")
+    sized = single.select("row", "label", "vec", F.size("vec").alias("dim")).join(plans, ["label", "dim"])
+    order = positions(_keys(sized, bits, seed), ["pass", "label", "dim", "key", "row"]).drop("key")
+    comp = components(_windows(order, single, plans, threshold).distinct())
     members = single.join(comp, single.row == comp.node).select("root", "row", "vec", "n", "low")
     low = members.groupBy("root").agg(F.min("low").alias("all_low"))
     links = _links(members.select("root", "row", "vec", "n"), threshold)

@@ -154,6 +154,27 @@ def test_near_vectors_recall(spark):
     assert passes[:2] == [1, 1] and passes == sorted(passes) and passes[-1] > 2 * passes[2]
 
 
+@pytest.mark.parametrize("crowd", [0.75, 0.85])
+def test_near_vectors_crowded(spark, crowd):
+    """Isolated pairs just above the threshold in one label whose vectors all lie around one
+    direction (mean cosine ``crowd``): found beyond the widest window, too."""
+    rng = np.random.default_rng(8)
+    n, dim = 12_000, 64
+    middle = np.zeros(dim)
+    middle[0] = 1
+    a, e = rng.normal(size=(2, n // 2, dim))
+    a[:, 0] = e[:, 0] = 0
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e -= (e * a).sum(axis=1, keepdims=True) * a
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    r = (0.931 - crowd) / (1 - crowd)
+    both = crowd ** 0.5 * middle + (1 - crowd) ** 0.5 * np.concatenate([a, r * a + (1 - r * r) ** 0.5 * e])
+    links = sum((both[i:i + 1000] @ both.T >= 0.93).sum() for i in range(0, n, 1000)) - n
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "id long, v array<double>, label int")
+    got = embedding_dedup.near_dedup(df, "id", "v", "label", 0.93).collect()
+    assert len(got) == n and 0.99 * links <= sum(r.n_links for r in got) <= links
+
+
 def test_near_vectors_copies(spark):
     """Groups of copies find a near group of copies: they take one place in the order."""
     rng = np.random.default_rng(6)
