@@ -1,18 +1,20 @@
 """Exact de-duplication by a tree merge of sorted digest runs, with DataFrame
 functions only.
 
-1. One scan turns every text into (run, digest, length, check hash); the run is
+1. One scan turns every text into (run, digest, length, check digest); the run is
    the scan partition, sorted by digest and written once.
-2. Level 0 folds each run to one row per digest.  Each later round merges
-   ``fan_in`` runs that differ in the lowest digit of the run number (a
-   binomial exchange: the run with that digit cleared receives the others) and
-   keeps the identifier that stays, the number of copies and the smallest and
-   largest check hash of the digest.  ceil(log(runs) / log(fan_in)) rounds.
+2. Rounds of a binomial exchange.  In each, ``fan_in`` runs that differ in the lowest
+   digit of the run number meet, and each of the tasks that held them takes one range
+   of their digests: the rows are dealt by (run, range) only, never by digest, sorted,
+   and neighbours of one digest are folded to the identifier that stays, the number of
+   copies and the smallest and largest check digest.  After ceil(log(runs) /
+   log(fan_in)) rounds one run is left, in as many ranges as there were runs, so no task
+   ever holds more than its share of the digests.  Level 0 folds each run by itself.
 3. The winner travels back down the same tree, so a text that fills a third of
    the table meets its rows run by run, never in one task.
 
 Equal digests are verified at every level: byte length is part of the key and
-an independent hash of the text must be the same for the whole group;
+an independent digest (MD5) of the text must be the same for the whole group;
 otherwise the job stops with an error instead of merging different texts.
 """
 
@@ -33,19 +35,25 @@ def digest_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     runs = (df.select(F.col(id_col).alias("id"), norm.alias("t"))
             .select("id", F.unhex(F.sha2("t", 256)).alias("digest"),
                     F.octet_length("t").cast("long").alias("n_bytes"),
-                    F.xxhash64("t").alias("chk"),
+                    F.unhex(F.md5("t")).alias("chk"),
                     F.spark_partition_id().cast("long").alias("run"))
             .sortWithinPartitions("digest"))
     return written(runs, "digest-runs")
 
 
-def _merge(runs: DataFrame, pick) -> DataFrame:
-    """Multiway merge of rows that share (run, digest), verified."""
-    return (runs.groupBy("run", *KEY)
+def _merge(rows: DataFrame, pick, ranges: int) -> DataFrame:
+    """One row for each (run, digest), verified: the rows of a run are dealt to ``ranges``
+    digest ranges, sorted, and neighbours are folded.  Binary check digests make Spark fold
+    the sorted rows one after the other (a sort aggregate), without a hash table."""
+    head = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    part = F.shiftright(head * F.lit(ranges), 32).alias("part")
+    dealt = rows.select("run", part, *KEY, "best", "n", "lo", "hi").repartition("run", "part")
+    return (dealt.sortWithinPartitions("run", "part", *KEY).groupBy("run", "part", *KEY)
             .agg(pick("best").alias("best"), F.sum("n").alias("n"),
                  F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             .filter(F.when(F.col("lo") == F.col("hi"), F.lit(True))
-                    .otherwise(F.raise_error(F.lit("digest collision")).cast("boolean"))))
+                    .otherwise(F.raise_error(F.lit("digest collision")).cast("boolean")))
+            .drop("part"))
 
 
 def exact_dedup(df: DataFrame, id_col: str, text_col: str, keep: str = "min",
@@ -63,12 +71,13 @@ def exact_dedup(df: DataFrame, id_col: str, text_col: str, keep: str = "min",
     n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1  # one number
     level = written(_merge(rows.select("run", *KEY, F.col("id").alias("best"),
                                        F.lit(1).cast("long").alias("n"),
-                                       F.col("chk").alias("lo"), F.col("chk").alias("hi")), pick),
+                                       F.col("chk").alias("lo"), F.col("chk").alias("hi")), pick, 1),
                     "level")
-    levels = [level]
+    levels, ranges = [level], 1
     while n_runs > 1:
-        n_runs = -(-n_runs // fan_in)
-        level = written(_merge(level.withColumn("run", F.expr(f"run div {fan_in}")), pick), "level")
+        n_runs, ranges = -(-n_runs // fan_in), ranges * fan_in
+        level = written(_merge(level.withColumn("run", F.expr(f"run div {fan_in}")), pick, ranges),
+                        "level")
         levels.append(level)
     win = levels[-1].select("run", *KEY, "best", "n")
     for below in reversed(levels[:-1]):
