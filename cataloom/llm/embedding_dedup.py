@@ -21,13 +21,16 @@ and count by their number.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cataloom.llm.common import out, positions, written
 from cataloom.llm.components import components
@@ -53,25 +56,46 @@ def vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFra
     that link with nothing (null, empty, zero or non-finite vectors, null labels).  ``same``
     is a 128-bit digest of label and unit vector, in two parts; that of a row without is its
     own."""
-    kind = df.schema[vec_col].dataType
-    kind = kind.simpleString() if kind.simpleString() == "array<float>" else "array<double>"
-    src = df.select(df[id_col].alias("id"), df[label_col].cast("string").alias("label"),
-                    df[vec_col].cast(kind).alias("raw"), df[vec_col].cast("array<double>").alias("v"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
-    # scaled by the largest component first, so that no square overflows
-    top = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda x: x / F.when(top > 0, top))
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
-    ok = F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad & (top > 0)
-    return (src.withColumn("s", F.when(ok, scaled))
-            .select("id", "label", F.when(F.col("s").isNotNull(), F.col("raw")).alias("vec"),
-                    F.when(F.col("s").isNotNull(), F.transform("s", lambda x: x / norm)).alias("unit"))
-            .withColumn("row", F.monotonically_increasing_id())
-            .withColumn("same", F.when(F.col("vec").isNull(), F.struct(
-                F.col("row").alias("h"), F.lit(0).cast("long").alias("k"))).otherwise(F.struct(
-                    F.xxhash64("label", "unit").alias("h"),
-                    F.xxhash64(F.lit("same"), "unit", "label").alias("k"))))
-            .drop("unit"))
+    kind = df.schema[vec_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    src = df.select(F.monotonically_increasing_id().alias("row"), df[id_col].alias("id"),
+                    df[label_col].cast("string").alias("label"), df[vec_col].cast(kind).alias("vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                yield _digests(b.slice(lo, BLOCK))
+
+    return (src.mapInArrow(run, StructType([*src.schema.fields, StructField("h", LongType()),
+                                            StructField("k", LongType())]))
+            .select("row", "id", "label", "vec", F.struct("h", "k").alias("same")))
+
+
+def _digests(b: pa.RecordBatch) -> pa.RecordBatch:
+    """row, id, label, vec (null where it links with nothing), and the digest's two parts."""
+    row, ids, label, vec = b.columns
+    size = np.nan_to_num(vec.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    x = vec.flatten().to_numpy(zero_copy_only=False)
+    end = np.cumsum(size)
+
+    def count(marks: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(marks)])
+        return total[end] - total[end - size]
+
+    good = (count(~np.isfinite(x)) == 0) & (count(x != 0) > 0) & label.is_valid().to_numpy(
+        zero_copy_only=False)
+    same = np.stack([row.to_numpy(), np.zeros(b.num_rows, np.int64)], axis=1)
+    for d in np.unique(size[good]):
+        at = np.flatnonzero(good & (size == d))
+        unit = _units(vec.take(pa.array(at))) + 0.0  # no negative zeros
+        names = label.take(pa.array(at)).to_pylist()
+        same[at] = np.frombuffer(b"".join(
+            hashlib.blake2b(u.tobytes() + n.encode(), digest_size=16).digest()
+            for u, n in zip(unit, names)), np.int64).reshape(-1, 2)
+    kept = pc.if_else(pa.array(good), vec, pa.scalar(None, vec.type))
+    return pa.RecordBatch.from_arrays(
+        [row, ids, label, kept, pa.array(same[:, 0]), pa.array(same[:, 1])],
+        names=["row", "id", "label", "vec", "h", "k"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
