@@ -13,6 +13,11 @@
 3. Classes of compatible sizes that share k prefix links are connected into
    clusters; nothing outside a cluster can reach the threshold.  Links of few
    classes are counted by pair; one of many connects all of them by itself.
+   Clusters of more than one block (texts of one long frame, say) are split once
+   more, by n-grams in the order of their counts: the smaller set of a pair needs
+   a much shorter prefix than the larger, and a list where no set has the n-gram
+   in its short prefix connects nothing.  A frame that is not by itself similar
+   enough lies behind the short prefixes.
 4. Each cluster, cut by size band and into blocks, goes into tries over its
    globally ordered sets.  A set is compared with a whole trie at once: common
    beginnings are counted once for all sets below, and subtrees are pruned when
@@ -43,8 +48,9 @@ PERCENT = 80
 FREQUENT = 1 << 20
 #: Seen this often, a link is worth moving.
 FREQUENT_FROM = 4
-#: N-grams per required shared prefix link, and the longest list that is counted by pair.
-SHARED_PER, SHORT_LIST = 50, 8
+#: N-grams per required shared prefix link, the same where large clusters are split by
+#: n-grams, and the longest list that is counted by pair.
+SHARED_PER, SPLIT_PER, SHORT_LIST = 50, 100, 8
 #: Prefix lists of links seen this often are dealt over SALTS tasks.
 HOT_FROM, SALTS = 512, 16
 #: Prefix links one task looks at together (20 bytes each).
@@ -52,6 +58,8 @@ TASK_LINKS = 2_000_000
 #: Sets in one trie block, and n-grams in one on average.
 BLOCK_SETS, BLOCK_NGRAMS = 256, 1 << 20
 BAND_BITS = 7
+#: Bytes of each of the two digests of a set.
+DIGEST_BYTES = 7
 #: Shared n-grams of an edge that needs no count.
 SURE = 1 << 40
 
@@ -115,23 +123,29 @@ def links_of(grams: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int
     return links, -(-(2 * percent - 100) * len(grams) // 100) - 1
 
 
-def shared_needed(percent: int = PERCENT) -> list[int]:
+def shared_needed(percent: int = PERCENT, per: int = SHARED_PER) -> list[int]:
     """By size band: how many prefix links a set must share with a partner."""
-    return [max(1, int(min((100 / percent) ** b, 1e12) / SHARED_PER))
-            for b in range(1 << BAND_BITS)]
+    return [max(1, int(min((100 / percent) ** b, 1e12) / per)) for b in range(1 << BAND_BITS)]
 
 
-def class_of(grams: np.ndarray, percent: int = PERCENT) -> int | None:
-    """A 56-bit digest of the set and its size band; null for the empty set."""
+def class_of(grams: np.ndarray, percent: int = PERCENT, width: int = DIGEST_BYTES,
+             clashes: frozenset[int] = frozenset()) -> tuple[int | None, int | None]:
+    """The class of a set (its digest and size band) and a second digest that tells apart
+    sets of one class; where classes are known to clash, the second digest is the class.
+    Nulls for the empty set."""
     if not len(grams):
-        return None
-    digest = int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=7).digest(), "big")
-    return digest << BAND_BITS | min(band(len(grams), percent), (1 << BAND_BITS) - 1)
-
-
-def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """docs (id, row, text) -> (kind, id, row, cls, n): kind 0 has one row per document;
-    kind 1 (cls a link, n a count) the links a task saw in more than one class."""
+        return None, None
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=2 * DIGEST_BYTES).digest()
+    first, second = (int.from_bytes(d, "big")
+                     for d in (digest[:width], digest[DIGEST_BYTES:]))
+    size = min(band(len(grams), percent), (1 << BAND_BITS) - 1)
+    cls = first << BAND_BITS | size
+    return (second << BAND_BITS | size if cls in clashes else cls), second
+
+
+def signatures(docs: DataFrame, size: int, percent: int, width: int = DIGEST_BYTES) -> DataFrame:
+    """docs (id, row, text) -> (kind, id, row, cls, n, second): kind 0 has one row per
+    document; kind 1 (cls a link, n a count) the links a task saw in more than one class."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,31 +158,64 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             grams, n = grams[n > 1].view(np.int64), n[n > 1]
             held.clear()
             zero = np.zeros(len(n), np.int64)
-            yield out(schema, zero + 1, pa.nulls(len(n), schema.field("id").type), zero, grams, n)
+            yield out(schema, zero + 1, pa.nulls(len(n), schema.field("id").type), zero, grams, n,
+                      zero)
 
         for batch, texts in sub_batches(batches, "text"):
             schema = schema or pa.schema(
                 [("kind", pa.int32()), ("id", batch.schema.field("id").type),
-                 ("row", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
-            cls, n = [], []
+                 ("row", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()),
+                 ("second", pa.int64())])
+            cls, n, seconds = [], [], []
             for grams in shingle_sets(texts, size):
-                c = class_of(grams, percent)
+                c, second = class_of(grams, percent, width)
                 cls.append(c)
+                seconds.append(second)
                 n.append(len(grams))
                 if c is not None and c not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(c)
                     held.append(links_of(grams, percent)[0])
-            yield out(schema, np.zeros(len(n), np.int64), batch.column(0), batch.column(1), cls, n)
+            yield out(schema, np.zeros(len(n), np.int64), batch.column(0), batch.column(1), cls, n,
+                      seconds)
             if sum(map(len, held)) > 4_000_000:
                 yield from repeated()
         if held:
             yield from repeated()
 
-    return docs.mapInArrow(run, f"kind int, id {id_type}, row long, cls long, n long")
+    return docs.mapInArrow(run, f"kind int, id {id_type}, row long, cls long, n long, second long")
+
+
+def _clashes(rows: DataFrame) -> frozenset[int]:
+    """Classes that hold different sets (of n sets about n * n / 2^57: none below 10^8)."""
+    both = rows.filter("cls is not null").groupBy("cls").agg(
+        F.min("second").alias("low"), F.max("second").alias("high"))
+    return frozenset(r["cls"] for r in both.filter("low <> high").select("cls").collect())
+
+
+def _ordered(grams: np.ndarray, known: np.ndarray, count: np.ndarray, n: int
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` in the global order (rare ones first), and their counts if known."""
+    weight = np.zeros(len(grams), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        weight = np.where(known[at] == grams, count[at], 0)
+    first = np.argsort(weight, kind="stable")[:n]
+    return grams[first], weight[first]
 
 
-def _prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
+def _order_hint(counts: DataFrame, name: str):
+    """(gram, n) -> broadcast arrays of the most frequent, at most FREQUENT of them."""
+    counts = written(counts.groupBy("gram").agg(F.sum("n").alias("n"))
+                     .filter(F.col("n") >= FREQUENT_FROM), name)
+    top = most_frequent(counts, "n", FREQUENT).toArrow()
+    known = top["gram"].to_numpy().view(np.uint64)
+    by = np.argsort(known)
+    return counts.sparkSession.sparkContext.broadcast((known[by], top["n"].to_numpy()[by]))
+
+
+def _prefixes(docs: DataFrame, frequent, size: int, percent: int, width: int,
+              clashes: frozenset[int]) -> DataFrame:
     """(gram, salt, cls) of the prefix links of every class a task meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64())])
@@ -178,22 +225,17 @@ def _prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
         for _, texts in sub_batches(batches, "text"):
             grams, salts, classes = [], [], []
             for own in shingle_sets(texts, size):
-                c = class_of(own, percent)
+                c, _ = class_of(own, percent, width, clashes)
                 if c is None or c in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
                 own, shared = links_of(own, percent)
                 n = len(own) - shared + needed[c & ((1 << BAND_BITS) - 1)]
-                weight = np.zeros(len(own), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    weight = np.where(known[at] == own, count[at], 0)
-                first = np.argsort(weight, kind="stable")[:n]
-                n = len(first)
-                grams.append(own[first].view(np.int64))
-                salts.append(np.where(weight[first] >= HOT_FROM, 1 + (c >> BAND_BITS) % SALTS, 0))
-                classes.append(np.full(n, c))
+                own, weight = _ordered(own, known, count, n)
+                grams.append(own.view(np.int64))
+                salts.append(np.where(weight >= HOT_FROM, 1 + (c >> BAND_BITS) % SALTS, 0))
+                classes.append(np.full(len(own), c))
             if grams:
                 yield out(schema, np.concatenate(grams), np.concatenate(salts),
                           np.concatenate(classes))
@@ -204,7 +246,11 @@ def _prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
 def _cluster_edges(prefixes: DataFrame, salted: bool, partitions: int) -> DataFrame:
     """(gram, a, b, n): pairs of size-compatible classes with the number of links of short
     lists they share here, and edges (n is SURE) that connect the classes of a long list;
-    with ``salted`` also rows (gram, a, null): what each band of a salted list sends on."""
+    with ``salted`` also rows (gram, a, null): what each band of a salted list sends on.
+
+    Where prefixes have a column ``low`` (1: also in the shorter prefix that the smaller
+    set of a pair needs), only pairs whose smaller set has it count.  Bands of a salted
+    list that have none here, but may have one elsewhere, give their edges with n = 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
                             ("n", pa.int64())])
@@ -213,39 +259,48 @@ def _cluster_edges(prefixes: DataFrame, salted: bool, partitions: int) -> DataFr
             return
         t = pa.Table.from_batches(held)
         gram, cls = (t[c].combine_chunks().to_numpy() for c in ("gram", "cls"))
-        salt = t["salt"].combine_chunks().to_numpy() if salted else np.ones(len(cls), np.int32)
+        one = np.ones(len(cls), np.int32)
+        salt = t["salt"].combine_chunks().to_numpy() if salted else one
+        low = (t["low"].combine_chunks().to_numpy() if "low" in t.column_names else one) > 0
         bands = cls & ((1 << BAND_BITS) - 1)
         order = np.lexsort((cls, bands, gram))
-        gram, cls, bands, salt = gram[order], cls[order], bands[order], salt[order]
+        gram, cls, bands, salt, low = (x[order] for x in (gram, cls, bands, salt, low))
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])])
-        gram, cls, bands, salt = gram[new], cls[new], bands[new], salt[new]
+        gram, cls, bands, salt, low = (x[new] for x in (gram, cls, bands, salt, low))
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         size = np.diff(start, append=len(cls))
         long = np.repeat((size > SHORT_LIST) | (salt[start] > 0), size)
-        yield from _pairs(schema, *_short_pairs(cls[~long], bands[~long], size[~long[start]]))
-        gram, cls, bands, salt = gram[long], cls[long], bands[long], salt[long]
+        yield from _pairs(schema, *_short_pairs(cls[~long], bands[~long], low[~long],
+                                                size[~long[start]]))
+        gram, cls, bands, salt, low = (x[long] for x in (gram, cls, bands, salt, low))
         if not len(cls):
             return
-        same = gram[1:] == gram[:-1]
-        head = np.flatnonzero(np.concatenate([[True], ~same | (bands[1:] != bands[:-1])]))
+        head = np.flatnonzero(np.concatenate(
+            [[True], (gram[1:] != gram[:-1]) | (bands[1:] != bands[:-1])]))
+        has = np.logical_or.reduceat(low, head)
         # every class of a band with the band's first, and that with the next band's first
-        star = np.repeat(head, np.diff(head, append=len(cls)))
         a, b = head[:-1], head[1:]
-        near = (gram[a] == gram[b]) & (bands[b] - bands[a] <= 1)
-        yield from _pairs(schema, np.concatenate([cls[star], cls[a[near]]]),
-                          np.concatenate([cls, cls[b[near]]]), SURE)
+        near = (gram[a] == gram[b]) & (bands[b] - bands[a] <= 1) & has[:-1]
+        length = np.diff(head, append=len(cls))
+        star = np.repeat(head, length)
+        joined = np.repeat(has | np.concatenate([[False], near]), length)
+        yield from _pairs(schema, np.concatenate([cls[star[joined]], cls[a[near]]]),
+                          np.concatenate([cls[joined], cls[b[near]]]), SURE)
         if salted:  # dealt by salt: classes of this n-gram may be elsewhere too
-            hot = head[salt[head] > 0]
+            hot = salt[head] > 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[hot]), pa.array(cls[hot]), pa.nulls(len(hot), pa.int64()),
-                 pa.array(np.zeros(len(hot), np.int64))], schema=schema)
+                [pa.array(gram[head[hot]]), pa.array(cls[head[hot]]),
+                 pa.nulls(int(hot.sum()), pa.int64()), pa.array(has[hot].astype(np.int64))],
+                schema=schema)
+            wait = np.flatnonzero(~joined & (salt > 0) & (cls[star] != cls))
+            yield out(schema, gram[wait], cls[star[wait]], cls[wait], np.zeros(len(wait), np.int64))
 
     keys = ["gram", "salt"] if salted else ["gram"]
     return prefixes.repartition(partitions, *keys).mapInArrow(
         run, "gram long, a long, b long, n long")
 
 
-def _short_pairs(cls: np.ndarray, bands: np.ndarray, size: np.ndarray
+def _short_pairs(cls: np.ndarray, bands: np.ndarray, low: np.ndarray, size: np.ndarray
                  ) -> tuple[np.ndarray, np.ndarray]:
     """All size-compatible pairs of each of the lists laid one after another."""
     of = np.repeat(np.arange(len(size)), size)
@@ -254,7 +309,8 @@ def _short_pairs(cls: np.ndarray, bands: np.ndarray, size: np.ndarray
     for gap in range(1, SHORT_LIST):
         at = at[at + gap < len(cls)]
         at = at[of[at] == of[at + gap]]
-        near = at[bands[at + gap] - bands[at] <= 1]
+        apart = bands[at + gap] - bands[at]
+        near = at[(apart <= 1) & (low[at] | low[at + gap] & (apart == 0))]
         a.append(np.minimum(cls[near], cls[near + gap]))
         b.append(np.maximum(cls[near], cls[near + gap]))
     return np.concatenate(a), np.concatenate(b)
@@ -273,12 +329,87 @@ def _pairs(schema: pa.Schema, a: np.ndarray, b: np.ndarray, sure: int = 0
     yield out(schema, np.zeros(len(first), np.int64), a[first], b[first], n)
 
 
-def _enough(edges: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs that share as many prefix links as their sizes ask."""
-    needed = F.array(*map(F.lit, shared_needed(percent)))
-    low = F.least(*(F.col(c).bitwiseAND((1 << BAND_BITS) - 1).cast("int") for c in "ab"))
-    return (edges.groupBy("a", "b").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= F.element_at(needed, low + 1)).select("a", "b"))
+def _band(col: str):
+    return F.col(col).bitwiseAND((1 << BAND_BITS) - 1).cast("int")
+
+
+def _clusters_of(prefixes: DataFrame, needed: list[int], partitions: int, name: str) -> DataFrame:
+    """Components (node, root) of the classes that share as many prefix links as their
+    sizes ask."""
+    edges = written(_cluster_edges(prefixes, True, partitions), name)
+    sent = edges.filter("b is null").select("gram", F.col("a").alias("cls"),
+                                            F.col("n").alias("low"))
+    pairs = edges.filter("b is not null and n > 0").unionByName(
+        _cluster_edges(sent, False, partitions))
+    if "low" in prefixes.columns:
+        live = sent.filter("low > 0").select(
+            "gram", F.explode(F.array(_band("cls"), _band("cls") + 1)).alias("band")).distinct()
+        wait = edges.filter("b is not null and n = 0").withColumn("band", _band("a"))
+        pairs = pairs.unionByName(wait.join(live, ["gram", "band"], "left_semi").select(
+            "gram", "a", "b", F.lit(SURE).alias("n")))
+    enough = F.element_at(F.array(*map(F.lit, needed)), F.least(_band("a"), _band("b")) + 1)
+    return components(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+                      .filter(F.col("n") >= enough).select("a", "b"))
+
+
+def _split(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """members (root, band, cls, n, text), clusters of more than a block split by prefixes
+    of n-grams; classes that are left alone go."""
+    large = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"))
+                    .filter(F.col("sets") > BLOCK_SETS), "large-clusters")
+    if large.isEmpty():
+        return members
+    inside = members.join(large, "root")
+    # lots of a cluster count together, so a frame shows however many tasks there are
+    lots = F.ceil(F.col("sets") / (8 * BLOCK_SETS))
+    dealt = inside.repartition("root", F.pmod(F.xxhash64("cls"), lots)).select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+        held: list[np.ndarray] = []
+
+        def repeated() -> pa.RecordBatch:
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return out(schema, grams[n > 1].view(np.int64), n[n > 1])
+
+        for _, texts in sub_batches(batches, "text"):
+            held.extend(shingle_sets(texts, size))
+            if sum(map(len, held)) > 4_000_000:
+                yield repeated()
+        if held:
+            yield repeated()
+
+    frequent = _order_hint(dealt.mapInArrow(count, "gram long, n long"), "frequent-grams")
+    needed = shared_needed(percent, SPLIT_PER)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()),
+                            ("low", pa.int32())])
+        known, counts = frequent.value
+        for batch, texts in sub_batches(batches, "text"):
+            roots, classes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = []
+            for root, c, own in zip(roots, classes, shingle_sets(texts, size)):
+                k, m = needed[c & ((1 << BAND_BITS) - 1)], len(own)
+                # what it shares with a set of its own size or more, and with any
+                short = m - -(-2 * percent * m // (100 + percent)) + k
+                own, weight = _ordered(own, known, counts, m - -(-percent * m // 100) + k)
+                with np.errstate(over="ignore"):
+                    own = mix64(own + np.uint64(root))
+                rows.append((own.view(np.int64),
+                             np.where(weight >= HOT_FROM, 1 + (c >> BAND_BITS) % SALTS, 0),
+                             np.full(len(own), c), (np.arange(len(own)) < short).astype(np.int32)))
+            yield out(schema, *map(np.concatenate, zip(*rows)))
+
+    total = inside.agg(F.sum("n")).first()[0]
+    parts = max(members.sparkSession.sparkContext.defaultParallelism,
+                total * (100 - percent) // 100 // TASK_LINKS)
+    again = _clusters_of(inside.select("root", "cls", "text").mapInArrow(
+        prefixes, "gram long, salt int, cls long, low int"), needed, parts, "split-edges")
+    parted = (inside.join(again.withColumnRenamed("root", "part"), F.col("cls") == F.col("node"))
+              .select(F.col("part").alias("root"), "band", "cls", "n", "text"))
+    return written(members.join(large, "root", "left_anti").unionByName(parted), "members")
 
 
 class Trie:
@@ -476,7 +607,7 @@ def _clusters(batches: Iterator[pa.RecordBatch], size: int):
 
 
 def ngram_join(df: DataFrame, id_col: str, text_col: str, size: int = WORDS,
-               percent: int = PERCENT) -> DataFrame:
+               percent: int = PERCENT, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, cls, root, keep_row, row.
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a text with
@@ -486,18 +617,22 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, size: int = WORDS,
     id reachable; null ids count only where all are null.  Repeated rows and
     ties are members like others; keep_row marks, by ``row`` (a hash of id and
     text), the row of the smallest (id, row) of each component.  Other columns are
-    ignored; an empty table gives no rows."""
+    ignored; an empty table gives no rows.  Texts of any length are read whole.  Sets are
+    the same where 112 bits of their digests are (``digest_bytes`` of the first narrow the
+    class; classes with two second digests are told apart by them)."""
     spark = df.sparkSession
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).select(
         "id", F.xxhash64("id", "text").alias("row"), "text")
-    sig = written(signatures(docs, size, percent), "signatures")
+    sig = written(signatures(docs, size, percent, digest_bytes), "signatures")
     rows = sig.filter("kind = 0").drop("kind")
-    counted = written(sig.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n"))
-                      .filter(F.col("n") >= FREQUENT_FROM), "frequent")
-    counted = most_frequent(counted, "n", FREQUENT).toArrow()  # an ordering hint
-    known = counted["cls"].to_numpy().view(np.uint64)
-    by = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[by], counted["n"].to_numpy()[by]))
+    clashes = _clashes(rows)
+    if clashes:
+        other = F.shiftleft("second", BAND_BITS).bitwiseOR(
+            F.col("cls").bitwiseAND((1 << BAND_BITS) - 1))
+        rows = rows.withColumn("cls", F.when(F.col("cls").isin(*clashes), other)
+                               .otherwise(F.col("cls")))
+    frequent = _order_hint(sig.filter("kind = 1").select(F.col("cls").alias("gram"), "n"),
+                           "frequent")
 
     classes = rows.filter("cls is not null").groupBy("cls").agg(
         F.min(F.struct("id", "row")).alias("rep"), F.min("id").alias("low"),
@@ -505,19 +640,15 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, size: int = WORDS,
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism,
                 total * 2 * (100 - percent) // 100 // TASK_LINKS)
-    edges = written(_cluster_edges(_prefixes(docs, frequent, size, percent), True, parts),
-                    "cluster-edges")
-    sent = edges.filter("b is null").select("gram", F.col("a").alias("cls"))
-    pairs = edges.filter("b is not null").unionByName(_cluster_edges(sent, False, parts))
-    clusters = components(_enough(pairs, percent))
+    clusters = _clusters_of(_prefixes(docs, frequent, size, percent, digest_bytes, clashes),
+                            shared_needed(percent), parts, "cluster-edges")
 
     reps = (clusters.join(classes, F.col("node") == F.col("cls"))
             .select("root", "cls", "n", F.col("rep.row").alias("rep_row")))
     members = (docs.join(reps, F.col("row") == F.col("rep_row")).select(
-        "root", F.col("cls").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band"),
-        "cls", "n", "text"))
-    links = components(written(_cluster_links(written(members, "members"), size, percent),
-                               "links"))
+        "root", _band("cls").alias("band"), "cls", "n", "text"))
+    members = _split(written(members, "members"), size, percent)
+    links = components(written(_cluster_links(members, size, percent), "links"))
     every = (classes.join(links, F.col("cls") == F.col("node"), "left")
              .select("cls", "rep", "low", F.coalesce("root", "cls").alias("root")))
     lows = every.groupBy("root").agg(F.min("low").alias("component_id"),

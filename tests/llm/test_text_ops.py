@@ -239,6 +239,30 @@ def test_join(spark, percent, monkeypatch):
     assert got == brute_join(rows, 5, percent)
 
 
+def test_join_frames(spark, monkeypatch):
+    """Texts of one long frame (similarity below 0.7) are no cluster; copies among them link."""
+    rng = np.random.default_rng(3)
+    frame = [f"f{x}" for x in range(200)]
+    rows = [(i, " ".join(frame + [f"o{x}" for x in rng.integers(0, 10**6, 45)])) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 600, 60)]
+    compared = []
+    links = ngram_join._cluster_links
+    monkeypatch.setattr(ngram_join, "_cluster_links", lambda m, *a: compared.append(m.count()) or links(m, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.id: r.component_id for r in ngram_join.ngram_join(df, "doc_id", "text").collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert 20 <= compared[0] <= 40  # the ten pairs, and a few frames that are short of own words
+
+
+def test_join_clashing_digests(spark):
+    """Sets whose first digests are equal stay apart: 400 sets in 256 values of one byte."""
+    rows = [(i, " ".join(f"{i % 400}x{k}" for k in range(12))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component_id
+           for r in ngram_join.ngram_join(df, "doc_id", "text", digest_bytes=1).collect()}
+    assert got == {i: i % 400 for i, _ in rows}
+
+
 def test_join_edges(spark):
     assert ngram_join.ngram_join(none(spark), "doc_id", "text").count() == 0
     kept = ngram_join.drop_near_copies(small(spark), "doc_id", "text").collect()
