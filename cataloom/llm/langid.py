@@ -8,7 +8,7 @@ context, so one search serves all languages.  The language with the lowest
 cross-entropy per character wins.  A model too large to send out stays in Spark:
 the same probabilities are tables, joined with the distinct n-grams of the texts.
 
-Rejection is calibrated on training documents: a text is rejected when it has
+Rejection is calibrated on all training documents: a text is rejected when it has
 no letter, or when its best cross-entropy lies far above what documents of that
 language have, allowing for the spread of short texts.
 """
@@ -33,8 +33,9 @@ MAX_GRAMS = 4_000_000
 #: Most n-grams times languages of such a model, which holds a number for each (64 MB; about
 #: 200 MB while it is fitted).
 MAX_CELLS = 8_000_000
-#: Different training texts of each language whose cross-entropy sets its limit of rejection.
-CALIBRATION_ROWS = 4000
+#: Different training texts of each language whose cross-entropy sets its limit of rejection;
+#: None: all of them.
+CALIBRATION_ROWS: int | None = None
 #: A text is rejected above this many standard deviations over the mean, if that is
 #: also this many times the mean, with more bits per character over the root of the
 #: length for short texts.
@@ -324,6 +325,22 @@ def calibration_sample(train: DataFrame, rows: int) -> DataFrame:
             .dropDuplicates(["lang", "key"]).select("lang", "text"))
 
 
+def calibration(train: DataFrame, model: Model) -> DataFrame:
+    """train (lang, text) -> (lang, mean, sd) of the bits per character of the different texts
+    with letters of each language.  Every text is scored where it is; copies, which count once,
+    are known by a hash, so no text is moved."""
+    key = F.struct("lang", F.xxhash64("text").alias("key")).alias("id")
+    scored = score_documents(train.select(key, "text"), "id", "text", model)
+    own = F.when(F.col("id.lang") == F.col("lang_pred"), F.col("bits"))
+    each = (scored.filter(F.col("lang_pred") != UNDETERMINED)
+            .select("id.lang", "id.key", "bits", own.alias("own"))
+            .groupBy("lang", "key").agg(F.min("bits").alias("bits"), F.min("own").alias("own")))
+    # a language none of whose texts is recognised is limited by all of them
+    return each.groupBy("lang").agg(
+        F.coalesce(F.avg("own"), F.avg("bits")).alias("mean"),
+        F.coalesce(F.stddev_pop("own"), F.stddev_pop("bits")).alias("sd"))
+
+
 def fit(train: DataFrame, lang_col: str, text_col: str, max_grams: int = MAX_GRAMS) -> Model:
     """A model of every non-null language of ``train``; null or empty texts add nothing.
     Without training rows it knows no language and rejects everything.  It has all n-grams;
@@ -340,14 +357,9 @@ def fit(train: DataFrame, lang_col: str, text_col: str, max_grams: int = MAX_GRA
         held = counts.toArrow()  # bounded by max_grams
         model = Model.fit(np.array(held["lang"].to_pylist(), object), held["gram"].to_numpy(),
                           held["n"].to_numpy())
-    sample = calibration_sample(train, CALIBRATION_ROWS)
-    scored = score_documents(sample.select(F.col("lang").alias("id"), "text"), "id", "text", model)
-    own = F.when(F.col("id") == F.col("lang_pred"), F.col("bits"))
-    # a language none of whose texts is recognised is limited by all of them
-    for r in scored.filter(F.col("lang_pred") != UNDETERMINED).groupBy("id").agg(
-            F.coalesce(F.avg(own), F.avg("bits")).alias("mean"),
-            F.coalesce(F.stddev_pop(own), F.stddev_pop("bits")).alias("sd")).collect():
-        model.limits[r["id"]] = (r["mean"], r["sd"])  # one row for each language
+    texts = calibration_sample(train, CALIBRATION_ROWS) if CALIBRATION_ROWS else train
+    for r in calibration(texts, model).collect():  # one row for each language
+        model.limits[r["lang"]] = (r["mean"], r["sd"])
     return model
 
 

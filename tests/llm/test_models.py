@@ -288,6 +288,15 @@ def test_language_limits(spark, monkeypatch):
     assert max(sample.values()) == 1 and per["bb"] == 3 and per["cc"] == 1 and 5 <= per["aa"] <= 40
 
 
+def test_language_limits_come_from_all_texts(spark):
+    """More texts than any sample held: mean and spread are those of every different text."""
+    texts = [f"the cat sat on mat {i:05d} " + "abcdefghij"[i % 10] * (i % 7) for i in range(9000)]
+    rows = [("aa", t) for t in texts + texts[:3000]] + [("aa", None), ("aa", "12")]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), "lang", "text")
+    bits = np.array([r[2] for r in model.predict(sorted(set(texts)))])
+    assert np.allclose(model.limits["aa"], (bits.mean(), bits.std()), rtol=0, atol=1e-9)
+
+
 # --- registered queries and the pipeline ------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
