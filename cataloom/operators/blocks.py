@@ -37,8 +37,11 @@ def _ipc(batches: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _batch(data: bytes) -> pa.RecordBatch:
-    t = pa.ipc.open_stream(pa.py_buffer(data)).read_all().combine_chunks()
+def _batch(data: pa.Scalar) -> pa.RecordBatch:
+    """The batch of a tile, in place where it is one piece."""
+    t = pa.ipc.open_stream(data.as_buffer()).read_all()
+    if t.num_rows and len(t.to_batches()) > 1:
+        t = t.combine_chunks()
     return (t.to_batches() or [pa.RecordBatch.from_pylist([], schema=t.schema)])[0]
 
 
@@ -104,9 +107,9 @@ def block_join(large: DataFrame, questions: DataFrame, step: Callable[[], Step],
             for i in range(b.num_rows):
                 l, q = (tuple(col[c][i].as_py().values()) for c in ("l", "q"))
                 if l != at:
-                    at, now = l, _batch(col["l_data"][i].as_py())
+                    at, now = l, _batch(col["l_data"][i])
                 if q not in seen:
-                    seen[q] = _batch(col["q_data"][i].as_py())
+                    seen[q] = _batch(pa.scalar(col["q_data"][i].as_py()))
                 yield from work.add(q, now, seen[q])
         yield from work.end()
 

@@ -102,8 +102,10 @@ def knn_inner(store: DataFrame, qvec, k: int = INNER_K, dataset_id: str | None =
     return _knn_one(store, qvec, answer_k(k), "inner", dataset_id)
 
 
-# Cells of the distance matrix a task holds at once (8 bytes each).
-MATRIX_CELLS = 4_000_000
+# Cells of the distance matrix a task holds at once (8 bytes each), and rows of the store it
+# compares at once (a tile of rows without vectors holds far more).
+MATRIX_CELLS = 1_000_000
+STORE_ROWS = 16_384
 # Rows at a question's cut kept beyond k before the tie order is applied.
 TIES_KEPT = 64
 
@@ -149,22 +151,22 @@ def _local_topk(store: pa.RecordBatch, p: _Questions, metric: str) -> pd.DataFra
     vectors = store.column("embedding")
     ok = pc.fill_null(pc.equal(pc.list_value_length(vectors), d), False).to_numpy(
         zero_copy_only=False)
-    E = np.zeros((n, d), dtype=np.float64)
-    E[ok] = _matrix(vectors.filter(pa.array(ok)), d)
+    E = _matrix(vectors.filter(pa.array(ok)), d)
     en = np.sqrt((E * E).sum(axis=1))
     ds = np.array(store.column("dataset_id").to_pylist(), object)
     pks = np.array(store.column("pk").to_pylist(), object)
+    by_key = None
     found = []
     step = max(1, MATRIX_CELLS // n)
     for lo in range(0, len(p.Q), step):
         q = slice(lo, lo + step)
-        dots = p.Q[q] @ E.T                               # questions x rows
+        dots = p.Q[q] @ E.T                               # questions x rows with vectors
+        dist = np.full((len(dots), n), np.nan)
         if metric == "cosine":
             denom = p.norm[q, None] * en[None, :]
-            dist = np.where(denom > 0, 1.0 - dots / np.where(denom > 0, denom, 1.0), np.nan)
+            dist[:, ok] = np.where(denom > 0, 1.0 - dots / np.where(denom > 0, denom, 1.0), np.nan)
         else:
-            dist = -dots
-        dist[:, ~ok] = np.nan
+            dist[:, ok] = -dots
         open_to = np.ones(dist.shape, bool)
         for j, scope in enumerate(p.scope[q]):
             if scope is not None:
@@ -173,8 +175,13 @@ def _local_topk(store: pa.RecordBatch, p: _Questions, metric: str) -> pd.DataFra
         k = np.clip(p.k[q], 1, n)
         kth = np.partition(dist, np.unique(k) - 1, axis=1)[np.arange(len(k)), k - 1]  # NaN last
         take = dist <= kth[:, None]
-        few = np.isnan(kth)
-        take[few] = open_to[few]
+        for j in np.flatnonzero(np.isnan(kth)):           # fewer than k: then the first by key
+            if by_key is None:
+                by_key = pd.DataFrame({"d": ds, "p": pks}).sort_values(
+                    ["d", "p"], na_position="last", kind="mergesort").index.to_numpy()
+            take[j] = known = ~np.isnan(dist[j])
+            rest = by_key[(open_to[j] & ~known)[by_key]]
+            take[j, rest[:k[j] - known.sum()]] = True
         for j in np.flatnonzero(take.sum(axis=1) > k + TIES_KEPT):   # a crowd at the cut
             at = np.flatnonzero(take[j])
             order = pd.DataFrame({"x": dist[j, at], "d": ds[at], "p": pks[at]}).sort_values(
@@ -205,10 +212,11 @@ class _TopK(Step):
             self.questions[key] = _Questions.of(right)
             self.held[key] = []
             self.most[key] = max(10_000, 4 * (pc.sum(right.column("k")).as_py() or 0))
-        for p in self.questions[key] if left.num_rows else ():
-            self.held[key].append(_local_topk(left, p, self.metric))
-        if sum(map(len, self.held[key])) > self.most[key]:
-            self.held[key] = [_first_k(pd.concat(self.held[key], ignore_index=True))]
+        for lo in range(0, left.num_rows, STORE_ROWS):
+            for p in self.questions[key]:
+                self.held[key].append(_local_topk(left.slice(lo, STORE_ROWS), p, self.metric))
+            if sum(map(len, self.held[key])) > self.most[key]:
+                self.held[key] = [_first_k(pd.concat(self.held[key], ignore_index=True))]
         return iter(())
 
     def end(self):

@@ -4,6 +4,7 @@ against brute force on small fixtures."""
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import normalize_question, significant_tokens
@@ -398,6 +399,84 @@ def test_cells_give_the_full_scan(spark):
     assert empty.knn_cosine(rows[0][3]).count() == 0
 
 
+def test_crowded_cell_is_split(spark, tmp_path):
+    """Most rows have no vector and share a cell: many tasks write it."""
+    from cataloom.operators.vector_cells import CellStore
+    rows, store = _clusters(spark, n=200)
+    crowd = spark.range(0, 20000, 1, 8).select(
+        F.lit("ds0").alias("dataset_id"), F.format_string("x%06d", "id").alias("pk"),
+        F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 512) for i in range(8)]).alias("text_chunk"),
+        F.lit(None).cast("array<float>").alias("embedding"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        both = store.select(crowd.columns).unionByName(crowd)
+        cells = CellStore.build(both, str(tmp_path / "cells"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "cells" / "rows" / "cell=-1").glob("*.parquet"))) > 4
+    assert cells._rows().count() == len(rows) + 20000
+    assert [r.pk for r in cells.knn_cosine(rows[0][3]).collect()] == [
+        r.pk for r in knn.knn_cosine(both, rows[0][3]).collect()]
+
+
+def test_topk_step_takes_store_rows_in_slices(spark, monkeypatch):
+    """A tile of many rows without vectors is compared in bounded pieces, with the same hits."""
+    seen, one = [], knn._local_topk
+    monkeypatch.setattr(knn, "_local_topk", lambda s, p, m: seen.append(s.num_rows) or one(s, p, m))
+    monkeypatch.setattr(knn, "STORE_ROWS", 64)
+    rng = np.random.default_rng(5)
+    rows = [{"dataset_id": f"d{i % 3}" if i % 11 else None, "pk": f"{i:04d}",
+             "embedding": rng.integers(-2, 3, size=4).astype(float).tolist() if i % 9 == 0 else None}
+            for i in range(500)]
+    store = pa.RecordBatch.from_pylist(rows, schema=pa.schema(
+        [("dataset_id", pa.string()), ("pk", pa.string()), ("embedding", pa.list_(pa.float64()))]))
+    asked = [{"qid": j, "dataset_id": [None, "d1"][j % 2], "k": [3, 40, 100][j % 3],
+              "embedding": rng.normal(size=4).tolist()} for j in range(12)]
+    questions = pa.RecordBatch.from_pylist(asked, schema=pa.schema(
+        [("qid", pa.int64()), ("dataset_id", pa.string()), ("k", pa.int64()),
+         ("embedding", pa.list_(pa.float64()))]))
+    step = knn._TopK("cosine")
+    list(step.add((0, 0), store, questions))
+    got = [r for b in step.end() for r in b.to_pylist()]
+    assert max(seen) == 64 and sum(seen) == 500
+    for q in asked:
+        def key(r):
+            v = np.zeros(4) if r["embedding"] is None else np.array(r["embedding"])
+            n = np.linalg.norm(v) * np.linalg.norm(q["embedding"])
+            far = 1 - v @ np.array(q["embedding"]) / n if n else None
+            return (far is None, round(far, 9) if n else 0, r["dataset_id"] is None, r["dataset_id"] or "", r["pk"])
+        mine = [r for r in rows if q["dataset_id"] in (None, r["dataset_id"])]
+        want = [r["pk"] for r in sorted(mine, key=key)[:q["k"]]]
+        own = [r for r in got if r["qid"] == q["qid"]]
+        assert sorted(r["pk"] for r in own) == sorted(want)
+        assert sum(r["distance"] is not None for r in own) == min(q["k"], sum(not key(r)[0] for r in mine))
+
+
+def test_index_verifies_few_candidates_of_a_common_phrase(spark, monkeypatch):
+    """A phrase of all texts is looked for in the first of them only, unless these fail; the hits
+    are those of the full search."""
+    from cataloom.operators import gram_index
+    monkeypatch.setattr(gram_index, "FIRST", 4)
+    sizes = []
+    monkeypatch.setattr(gram_index, "written", lambda df, name, w=gram_index.written: sizes.append(
+        (name, w(df, name))) or sizes[-1][1])
+    rows = [("ds1", f"p{i:03d}", f"alpha beta {'x' * (i % 3)} {i}", None) for i in range(300)]
+    rows += [("ds1", f"a{i:03d}", "abcd ... bcde" if i < 20 else "zz abcde zz", None) for i in range(25)]
+    store = spark.createDataFrame(rows, STORE)
+    index = GramIndex(spark, scratch_path(spark, "grams"))
+    index.append(store)
+    asked = spark.createDataFrame([(1, "a", 3), (2, "abcde", 3), (3, "alpha", 2), (4, "nowhere", 3), (5, "alpha", 9),
+                                   (6, "alpha", 1), (6, "beta", 6)], "qid long, question string, k int")
+    order = ["qid", "rank", "pk"]
+    for q in (asked.drop("k"), asked):
+        sizes.clear()
+        got = index.topk(store, q, 3, "raw").orderBy(*order).collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in search._first_by_key(search.theta_ilike_join(
+            store, q, "raw").drop("embedding", "_phrase"), 3).select(got[0].__fields__).orderBy(*order).collect()]
+        left = {r.qid for n, df in sizes if n == "candidates-left" for r in df.collect()}
+        assert 2 in left and not left & {1, 3, 4}
+
+
 def test_rank_by_many_tasks(spark, monkeypatch):
     """One question holds nearly all hits; no task sorts it alone."""
     from cataloom.operators import util
