@@ -74,7 +74,7 @@ class CellStore:
     def build(cls, store: DataFrame, path: str, cells: int | None = None,
               rows_per_file: int = 1_000_000) -> "CellStore":
         """Lay out all rows of ``store``.  ``cells``: default the square root of the rows, at
-        most ``MOST_CELLS``.  A cell is split by key into files of about ``rows_per_file``."""
+        most ``MOST_CELLS``.  Files hold at most ``rows_per_file`` rows."""
         self = cls(store.sparkSession, path)
         spark = self.spark
         known = store.where(F.col("embedding").isNotNull())
@@ -106,9 +106,12 @@ class CellStore:
 
         laid = store.select(*schema.fieldNames()).mapInArrow(
             run, schema.add("cell", "integer").add("gap", "double").add("length", "double"))
-        # a cell may hold a third of all rows: it is dealt by key over as many tasks as it needs
-        salt = F.pmod(F.xxhash64("pk"), F.lit(max(1, math.ceil(n / rows_per_file))))
-        (laid.repartition("cell", salt).write.partitionBy("cell").parquet(f"{self.path}/rows"))
+        # a cell may hold most rows (those without a vector are one): a crowded cell is split by
+        # its bytes over as many tasks as it needs, small ones share a task
+        (laid.hint("rebalance", "cell").write.option("maxRecordsPerFile", rows_per_file)
+         .partitionBy("cell").parquet(f"{self.path}/rows"))
+        # an empty store has no cell to read the columns from
+        spark.createDataFrame([], laid.schema).write.parquet(f"{self.path}/form")
         pivot_rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pivots)],
                                            "cell int, pivot array<double>")
         stats = self._rows().groupBy("cell").agg(
@@ -119,7 +122,8 @@ class CellStore:
         return self
 
     def _rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        form = self.spark.read.parquet(f"{self.path}/form").schema
+        return self.spark.read.schema(form).parquet(f"{self.path}/rows")
 
     def cells(self) -> list[dict]:
         """One entry for each cell (at most ``MOST_CELLS`` + 1)."""
