@@ -186,3 +186,29 @@ def test_profile_store_reads_only_changed_files(spark):
     check([])
     add("b", "more", [(1.5, None)], b)
     check(["more.parquet"])
+
+
+def test_profile_store_counts_in_bounded_pieces(spark, monkeypatch):
+    """A large file is counted by many tasks, with numbers for files, and merged by many."""
+    import json
+
+    from cataloom.operators import profile_store
+    from cataloom.session import scratch_path
+    monkeypatch.setattr(profile_store, "PIECE_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(profile_store, "MERGE_ROWS", 500, raising=False)
+    root = scratch_path(spark, "pieces").removeprefix("file:")
+    rows = spark.range(5000).select("id", (F.col("id") % 7).alias("few"), F.sha2(F.col("id").cast("string"), 512).alias("s"),
+                                    F.array(F.col("id") * 0.5, F.lit(-0.0)).alias("v"), F.lit(None).cast("date").alias("d"))
+    rows.coalesce(1).write.parquet(f"{root}/t")
+    kept = profile_store.ProfileStore(spark, scratch_path(spark, "kept"))
+    plans = []
+    per = profile_store.ProfileStore._counts
+    monkeypatch.setattr(profile_store.ProfileStore, "_counts", lambda *a: plans.append(per(*a)) or plans[-1])
+    kept.sync(root)
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    keys = next(x for x in plan.splitlines() if "HashAggregate" in x)
+    assert "REPARTITION_BY_NUM" in plan and "path" not in keys, json.dumps(keys)
+    got = {(r.column_name, r.row_count, r.null_ratio, r.distinct_ratio) for r in kept.profile(root).collect()}
+    assert got == {(r.column_name, r.row_count, r.null_ratio, r.distinct_ratio) for r in
+                   cat.profile_columns({"t": spark.read.parquet(f"{root}/t")}).collect()}
+    assert "REPARTITION_BY_NUM" in kept.profile(root)._jdf.queryExecution().executedPlan().toString()
