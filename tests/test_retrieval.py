@@ -2,6 +2,7 @@
 against brute force on small fixtures."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -337,11 +338,13 @@ def test_local_topk_keeps_the_nearest_of_every_question(monkeypatch):
     Q = rng.integers(-1, 2, size=(m, 2)).astype(np.float64)
     p = {"Q": Q, "qn": np.sqrt((Q * Q).sum(axis=1)), "qids": np.arange(m),
          "qds": [None, "d1", "none"] * 7 + [None, "d2"], "qk": np.array([1, 5, 500] * 7 + [3, 60])}
+    store = pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+    asked = SimpleNamespace(Q=Q, norm=p["qn"], qid=p["qids"], scope=p["qds"], k=p["qk"])
     for cells, ties in ((4_000_000, 64), (n * 4, 0)):           # several groups, crowds at the cut
         monkeypatch.setattr(knn, "MATRIX_CELLS", cells)
         monkeypatch.setattr(knn, "TIES_KEPT", ties)
         for metric in ("cosine", "inner"):
-            got = knn._first_k(knn._local_topk(pdf, p, metric), p["qids"], p["qk"])
+            got = knn._first_k(knn._local_topk(store, asked, metric))
             for j in range(m):
                 rows = []
                 for ds, pk, v in pdf.itertuples(index=False):
